@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, language_id
 
 
 def queries() -> dict:
-    return {"op5_decontamination": decontaminate.op5_decontamination}
+    return {
+        "op5_decontamination": decontaminate.op5_decontamination,
+        "op8_language_id": language_id.op8_language_id,
+    }
 
 
 def oracles() -> dict[str, str]:
