@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id
+from . import decontaminate, language_id, minhash_dedup
 
 
 def queries() -> dict:
     return {
+        "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op8_language_id": language_id.op8_language_id,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op4_minhash_dedup": minhash_dedup.ORACLE_SQL,
+        "op5_decontamination": decontaminate.ORACLE_SQL,
+    }
