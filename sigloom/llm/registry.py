@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash_dedup
+from . import decontaminate, language_id, minhash_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
         "op5_decontamination": decontaminate.op5_decontamination,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_language_id": language_id.op8_language_id,
     }
 
