@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash_dedup, suffix_dedup
+from . import decontaminate, language_id, minhash_dedup, mixing, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_mixing": mixing.op2_mixing,
         "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
@@ -16,6 +17,7 @@ def queries() -> dict:
 
 def oracles() -> dict[str, str]:
     return {
+        "op2_mixing": mixing.oracle_sql(),
         "op4_minhash_dedup": minhash_dedup.ORACLE_SQL,
         "op5_decontamination": decontaminate.ORACLE_SQL,
     }
