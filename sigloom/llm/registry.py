@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash_dedup, mixing, suffix_dedup
+from . import decontaminate, embedding_dedup, fixity, language_id, minhash_dedup, mixing, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op5_decontamination": decontaminate.op5_decontamination,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_language_id": language_id.op8_language_id,
+        "op9_fixity": fixity.op9_fixity,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
@@ -20,4 +22,6 @@ def oracles() -> dict[str, str]:
         "op2_mixing": mixing.oracle_sql(),
         "op4_minhash_dedup": minhash_dedup.ORACLE_SQL,
         "op5_decontamination": decontaminate.ORACLE_SQL,
+        "op9_fixity": fixity.ORACLE_SQL,
+        "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
     }
