@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, fixity, language_id, minhash_dedup, mixing, suffix_dedup
+import corpus_pipeline
+
+from . import chat, decontaminate, embedding_dedup, fixity, html_text, language_id, minhash_dedup, mixing, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_html_text": html_text.op1_html_text,
         "op2_mixing": mixing.op2_mixing,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
         "op5_decontamination": decontaminate.op5_decontamination,
+        "op6_chat": chat.op6_chat,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_language_id": language_id.op8_language_id,
         "op9_fixity": fixity.op9_fixity,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
