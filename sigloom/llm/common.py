@@ -28,11 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: its cleaner runs when the driver
+    collects garbage, so that disk follows the largest step and not the sum of all."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

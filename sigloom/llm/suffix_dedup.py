@@ -9,8 +9,9 @@ to be told apart to depth WIDTH, so the sort is bounded:
 2. name: tuples are dealt by hash, sorted, and get equal names where equal.  A name
    that occurs once ends the recursion for its suffix: nothing equals it;
 3. recurse and merge: the suffixes up to PERIOD-1 bytes before a repeated name are the
-   only ones still undecided.  They are named by their first WIDTH bytes, dealt and
-   sorted, and in each run of adjacent equal prefixes all but the earliest are marked.
+   only ones still undecided.  They are named by their first WIDTH bytes (first by a short
+   hash, which ends it for those that nothing equals), dealt and sorted, and in each run
+   of adjacent equal prefixes all but the earliest are marked.
 
 Names travel as packed hashes, one row for each block of documents and each hash
 range, and only bits come back: no row per suffix, no text in a shuffle after the
@@ -37,14 +38,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE2, prefix_sums, range_hash, shuffle_width, stored, text_bytes
+from .common import BASE2, prefix_sums, range_hash, release, shuffle_width, stored, text_bytes
 
 WIDTH = 100
-PERIOD = 73
-# A perfect difference set modulo 73
-COVER = (0, 1, 3, 7, 15, 31, 36, 54, 63)
+PERIOD = 57
+# A perfect difference set modulo 57
+COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 RANGE_BYTES = 64 << 20  # text behind one hash range
 TUPLE_BYTES = 5  # sent of a tuple's hash, beside its range
+PREFIX_BYTES = 4  # sent of an undecided prefix's hash, before those that repeat are sent in full
 LAST = (1 << 63) - 1
 MARKS = "kind string, block long, doc_id long, digest string, range int, bits binary"
 
@@ -140,14 +142,21 @@ class Plan:
         places = self.undecided(b)
         h = range_hash(prefix_sums(b.data), places, places + self.width)
         g = range_hash(prefix_sums(b.data, BASE2), places, places + self.width, BASE2)
-        order = np.lexsort((places, g, h))
+        order = np.argsort(h, kind="stable")
         h, g, places = h[order], g[order], places[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         return h[new], g[new], places, np.cumsum(new) - 1
 
+    def name_undecided(self, key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
+        h = self.prefixes(Block(texts, marks))[0]
+        return dealt(key[0].as_py(), h, h.view(np.uint8).reshape(-1, 8)[:, :PREFIX_BYTES], self.ranges)
+
     def name_prefixes(self, key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
-        h, g, _, _ = self.prefixes(Block(texts, marks))
+        b = Block(texts, marks)
+        h, g, _, _ = self.prefixes(b)
+        some = b.answers("prefix", h, self.ranges)
+        h, g = h[some], g[some]
         both = np.concatenate((h.view(np.uint8).reshape(-1, 8)[:, :6], g.view(np.uint8).reshape(-1, 8)[:, :4]), axis=1)
         return dealt(key[0].as_py(), h, both, self.ranges)
 
@@ -155,7 +164,9 @@ class Plan:
         """Per document of a block: removed spans and what is left."""
         b = Block(texts, marks)
         h, _, places, number = self.prefixes(b)
-        gone = b.answers("later", h, self.ranges)[number]
+        later = b.answers("prefix", h, self.ranges)
+        later[later] = b.answers("later", h[later], self.ranges)
+        gone = later[number]
         gone[1:] |= number[1:] == number[:-1]  # a later place in this very block
         step = np.zeros(len(b.data) + 1, np.int32)
         np.add.at(step, places[gone], 1)
@@ -180,15 +191,15 @@ class Plan:
         )
 
 
-def repeated_names(table: pa.Table) -> pa.Table:
+def repeated_names(table: pa.Table, kind: str, size: int) -> pa.Table:
     """Of one hash range: sort the names; for each block, which occur in another block too."""
-    raw = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, TUPLE_BYTES) for x in table.column("hashes").combine_chunks()]
+    raw = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, size) for x in table.column("hashes").combine_chunks()]
     wide = np.zeros((sum(map(len, raw)), 8), np.uint8)
-    np.concatenate(raw, out=wide[:, :TUPLE_BYTES])
+    np.concatenate(raw, out=wide[:, :size])
     names = wide.view(np.uint64)[:, 0]
     ordered = np.sort(names)
     again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    return answered(table, [len(x) for x in raw], np.isin(names, again), "name")
+    return answered(table, [len(x) for x in raw], np.isin(names, again), kind)
 
 
 def later_prefixes(table: pa.Table) -> pa.Table:
@@ -227,6 +238,7 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, period: int = PERIO
     placed = rows.repartitionByRange(blocks, "doc_id").select(F.spark_partition_id().cast("long").alias("block"), "doc_id", _digest().alias("digest"), "text")
     table = f"texts_{uuid.uuid4().hex}"
     placed.write.bucketBy(width_now, "block").sortBy("block").option("compression", "zstd").saveAsTable(table)
+    release(spark)
     texts = spark.table(table)
     firsts = texts.groupBy("digest").agg(F.min(F.struct("doc_id", "block")).alias("f"))
     nothing = {"range": F.lit(None).cast("int"), "bits": F.lit(None).cast("binary")}
@@ -235,9 +247,11 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, period: int = PERIO
     sent = "range int, block long, hashes binary"
     blocked = texts.groupBy("block")
     names = blocked.cogroup(keep.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_samples(k, t, m), sent)
-    marks = keep.unionByName(stored(names.groupBy("range").applyInArrow(repeated_names, MARKS), "named"))
-    prefixes = blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_prefixes(k, t, m), sent)
-    marks = marks.unionByName(stored(prefixes.groupBy("range").applyInArrow(later_prefixes, MARKS), "later"))
+    marks = keep.unionByName(stored(names.groupBy("range").applyInArrow(lambda t: repeated_names(t, "name", TUPLE_BYTES), MARKS), "named"))
+    names = blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_undecided(k, t, m), sent)
+    marks = marks.unionByName(stored(names.groupBy("range").applyInArrow(lambda t: repeated_names(t, "prefix", PREFIX_BYTES), MARKS), "named"))
+    names = blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_prefixes(k, t, m), sent)
+    marks = marks.unionByName(stored(names.groupBy("range").applyInArrow(later_prefixes, MARKS), "later"))
     schema = "doc_id long, digest string, n_bytes long, starts array<long>, ends array<long>, kept binary"
     return blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.cut(k, t, m), schema)
 
