@@ -100,16 +100,16 @@ def _alike(a: F.Column, b: F.Column) -> F.Column:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(key, members, node, n, typical) for the postings in each node's prefix.
+    """(key, members, pivot, node, n) for the postings in each node's prefix.
 
-    members: how many nodes the list has; typical: how common a node's postings are.
+    members: how many nodes the list has; pivot: the smallest of them.
     """
     posts = classes.select("node", "n", F.explode("signature").alias("key"))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = posts.join(sizes, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("p"), F.sum("members").alias("typical"))
+    sizes = posts.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).filter("members > 1")
+    shared = posts.join(sizes, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("members", "key", "pivot"))).alias("p"))
     # postings that nobody shares are the rarest, and come first in the prefix
-    first = F.slice("p", F.lit(1), F.greatest(F.lit(0), F.lit(K - MATCHES + 1 - K) + F.size("p")))
-    return shared.select("node", "n", "typical", F.explode(first).alias("p")).select("p.key", "p.members", "node", "n", "typical")
+    first = F.slice("p", F.lit(1), F.greatest(F.lit(0), F.lit(1 - MATCHES) + F.size("p")))
+    return shared.select("node", "n", F.explode(first).alias("p")).select("p.key", "p.members", "p.pivot", "node", "n")
 
 
 def _exact(width: int) -> Callable:
@@ -131,61 +131,112 @@ def _exact(width: int) -> Callable:
     return run
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Of the pairs (a, b), those whose signatures agree enough and whose full sets are similar."""
+def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose signatures agree in MATCHES coordinates or more."""
     for side in "ab":
         pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("signature").alias(f"signature_{side}")), side)
-    near = pairs.filter(F.size(F.array_intersect("signature_a", "signature_b")) >= MATCHES).select("a", "b").distinct()
+    return pairs.filter(F.size(F.array_intersect("signature_a", "signature_b")) >= MATCHES).select("a", "b").distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are similar."""
     for side in "ab":
-        near = near.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return near.select("a", "b", "text_a", "text_b").mapInArrow(_exact(width), "a long, b long").distinct()
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_exact(width), "a long, b long").distinct()
+
+
+def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of two blocks that agree with a node of another component, one of the two being open."""
+    for batch in batches:
+        nodes: list[np.ndarray] = [np.zeros(0, np.int64)]
+        keys: list[int] = []
+        for i in range(batch.num_rows):
+            left, right = _Side(batch.column("left")[i].values), _Side(batch.column("right")[i].values)
+            agree = np.zeros((len(left.node), len(right.node)), np.int16)
+            for c in range(K):
+                agree += left.signature[:, c, None] == right.signature[None, :, c]
+            pair = (agree >= MATCHES) & (left.component[:, None] != right.component[None]) & left.open[:, None]
+            hit = np.unique(np.concatenate((left.node[pair.any(1)], right.node[pair.any(0)])))
+            nodes.append(hit)
+            keys += [batch.column("key")[i].as_py()] * len(hit)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+
+class _Side:
+    def __init__(self, block: pa.StructArray) -> None:
+        self.node, self.component = (block.field(f).to_numpy(zero_copy_only=False) for f in ("node", "component"))
+        self.open = block.field("open").to_numpy(zero_copy_only=False).astype(bool)
+        self.signature = block.field("signature").flatten().to_numpy(zero_copy_only=False).reshape(len(self.node), K) if "signature" in [f.name for f in block.type] else None
+        self.texts = block.field("text") if "text" in [f.name for f in block.type] else None
 
 
 def _block_links(width: int) -> Callable:
-    """Links between the open members of block a and the members of block b: a spanning forest of them."""
+    """Links between the open members of block left and the members of block right: a spanning forest of them."""
     p, q = SIMILARITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
             for i in range(batch.num_rows):
-                left, right = batch.column("left")[i].as_py(), batch.column("right")[i].as_py()
-                left = [x for x in left if x["open"]]
-                if not left:
+                left, right = _Side(batch.column("left")[i].values), _Side(batch.column("right")[i].values)
+                pick = np.flatnonzero(left.open)
+                if not len(pick):
                     continue
-                g, of = shingle_sets(pa.array([x["text"] for x in left + right], pa.string()), width)
+                m = len(pick)
+                g, of = shingle_sets(pa.concat_arrays([left.texts.take(pa.array(pick)), right.texts]), width)
                 owner = np.repeat(np.arange(len(of) - 1), np.diff(of))
-                m = len(left)
-                shared = np.intersect1d(g[: of[m]], g[of[m] :])
-                at = np.searchsorted(shared, g)
-                at = np.where((at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == g), at, -1) if len(shared) else np.full(len(g), -1)
-                both = np.zeros((m, len(right)), np.float32)
-                for lo in range(0, len(shared), 16384):
-                    dense = np.zeros((len(of) - 1, min(16384, len(shared) - lo)), np.float32)
+                names, at = np.unique(g, return_inverse=True)
+                shared = np.zeros((2, len(names)), bool)
+                shared[(owner >= m).astype(int), at] = True
+                column = np.cumsum(shared.all(0)) - 1
+                inside = shared.all(0)[at]
+                owner, at = owner[inside], column[at[inside]]
+                both = np.zeros((m, len(of) - 1 - m), np.float32)
+                for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 16384):
+                    dense = np.zeros((len(of) - 1, 16384), np.float32)
                     some = (at >= lo) & (at < lo + 16384)
                     dense[owner[some], at[some] - lo] = 1
                     both += dense[:m] @ dense[m:].T
                 both = np.rint(both).astype(np.int64)
                 size = np.diff(of)
                 link = (q * both >= p * (size[:m, None] + size[None, m:] - both)) & (both > 0)
-                root = {x["component"]: x["component"] for x in left + right}
+                link &= left.component[pick][:, None] != right.component[None]
+                root: dict[int, int] = {}
 
                 def find(x: int, root: dict = root) -> int:
-                    while root[x] != x:
+                    while root.setdefault(x, x) != x:
                         root[x] = x = root[root[x]]
                     return x
 
                 for r, c in np.argwhere(link).tolist():
-                    u, v = find(left[r]["component"]), find(right[c]["component"])
+                    u, v = find(int(left.component[pick[r]])), find(int(right.component[c]))
                     if u != v:
                         root[max(u, v)] = min(u, v)
-                        out_a.append(left[r]["node"])
-                        out_b.append(right[c]["node"])
+                        out_a.append(int(left.node[pick[r]]))
+                        out_b.append(int(right.node[c]))
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _residual(member: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Links of open members of long lists with any member of another component.
+
+    Lists are cut into blocks and blocks are compared with blocks inside tasks: first by
+    signatures, which leaves the members that agree with anyone, then these by full sets.
+    """
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("part")
+
+    def sides(rows: DataFrame, *payload: str) -> DataFrame:
+        packed = stored(rows.groupBy("key", part).agg(F.collect_list(F.struct("node", "component", "open", *payload)).alias("block")), "blocks")
+        left = packed.filter(F.exists("block", lambda x: x["open"])).select("key", F.col("block").alias("left"))
+        return left.join(packed.select("key", F.col("block").alias("right")), "key")
+
+    active = stored(sides(member, "signature").mapInArrow(_active, "key long, node long").distinct(), "active")
+    rows = member.drop("signature").join(active, ["key", "node"]).join(texts.dropDuplicates(["node", "text"]), "node")
+    return stored(sides(rows, "text").select("left", "right").mapInArrow(_block_links(width), "a long, b long"), "links")
+
+
 def near_duplicates(documents: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of documents."""
     sketch = stored(sketches(documents, width), "sketches")
@@ -194,27 +245,31 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE_WORDS) -> DataFra
     lists = stored(postings(classes), "postings")
     light, heavy = lists.filter(F.col("members") <= LIGHT), lists.filter(F.col("members") > LIGHT)
     a, b = (light.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & _alike(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
-    top = heavy.groupBy("key").agg(F.max(F.struct("typical", -F.col("node"), "n")).alias("t"))
-    pivots = top.select("key", (-F.col("t.col2")).alias("pivot"), F.col("t.n").alias("n_pivot"))
-    stars = heavy.join(pivots, "key").filter((F.col("node") != F.col("pivot")) & _alike(F.col("n"), F.col("n_pivot")))
-    stars = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    pairs = stored(pairs.union(stars).distinct(), "candidates")
-    wanted = pairs.select("a").union(pairs.select("b")).union(heavy.select("node")).distinct().withColumnRenamed("a", "node")
+    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & _alike(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    stars = heavy.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    near = stored(agreeing(pairs.union(stars).distinct(), classes), "candidates")
+    wanted = near.select("a").union(near.select("b")).union(heavy.select("node")).distinct().withColumnRenamed("a", "node")
     texts = stored(documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi"), "texts")
     same = some.join(classes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    links = stored(confirmed(pairs, classes, texts, width), "links")
-    found = connected(links)
+    # first each node with its smallest candidate; then only pairs that are not connected yet
+    first = near.groupBy("b").agg(F.min("a").alias("a"))
+    links = stored(confirmed(first, texts, width), "links")
+    found = stored(connected(links), "found")
+    of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+    rest = near.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b")
+    more = stored(confirmed(rest, texts, width), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        found = connected(links)
     member = heavy.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    main = member.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_semi").groupBy("key").agg(F.min("component").alias("main"))
-    member = stored(member.join(main, "key").select("key", "members", "node", "component", (F.col("component") != F.col("main")).alias("open")), "members")
+    main = found.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
+    member = member.join(main, "pivot", "left").select("key", "members", "node", "component", (F.col("component") != F.coalesce("main", "pivot")).alias("open"))
+    member = stored(member, "members")
     undecided = member.filter("open").select("key").distinct()
     if not undecided.isEmpty():
-        packed = member.join(undecided, "key", "left_semi").join(texts.dropDuplicates(["node", "text"]), "node")
-        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
-        packed = stored(packed.groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("node", "component", "open", "text")).alias("block")), "blocks")
-        sides = packed.filter(F.exists("block", lambda x: x["open"])).select("key", F.col("block").alias("left")).join(packed.select("key", F.col("block").alias("right")), "key")
-        links = links.union(sides.select("left", "right").mapInArrow(_block_links(width), "a long, b long"))
+        packed = member.join(undecided, "key", "left_semi").join(classes.groupBy("node").agg(F.first("signature").alias("signature")), "node")
+        links = links.union(_residual(packed, texts, width))
     component = connected(links.union(same))
     return (
         sketch.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
