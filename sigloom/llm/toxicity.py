@@ -183,6 +183,19 @@ def _laid(inputs: np.ndarray, index: np.ndarray, dtype: type = np.float32) -> tu
     return np.ascontiguousarray(padded[index.T].transpose(0, 2, 1), dtype), (index.T >= 0).astype(dtype)
 
 
+def _gram_counts(pair: np.ndarray, grams: np.ndarray, heads: np.ndarray, y: np.ndarray, step: int = 64) -> np.ndarray:
+    """How many documents of label 1 and 0 hold each n-gram; a few documents at a time. pair: (word, document) by document."""
+    size, out = np.diff(np.append(heads, len(grams))), np.zeros((2, 1 << GRAM_BITS))
+    for lo in range(0, len(y), step):
+        some = pair[np.searchsorted(pair[:, 1], lo) : np.searchsorted(pair[:, 1], lo + step)]
+        many = size[some[:, 0]]
+        at = np.repeat(heads[some[:, 0]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        held = np.unique(grams[at].astype(np.int64) * len(y) + np.repeat(some[:, 1], many))
+        for k in (0, 1):
+            out[1 - k] += np.bincount(held // len(y), y[held % len(y)] == k, 1 << GRAM_BITS)
+    return out
+
+
 def fit(sample: list[tuple[str, int]], rounds: int = 60, rate: float = 0.03) -> Model:
     """Model from (text, label) rows."""
     y = np.array([label for _, label in sample], np.int64)
@@ -197,13 +210,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 60, rate: float = 0.03) ->
     one = np.bincount(pair[:, 0], y[pair[:, 1]], len(vocabulary))
     zero = np.bincount(pair[:, 0], 1 - y[pair[:, 1]], len(vocabulary))
     grams, heads = gram_ids(data, start[first], end[first]) if len(first) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    # documents that hold each n-gram, of either class
-    size = np.diff(np.append(heads, len(grams)))
-    many = size[pair[:, 0]]
-    gram_at = np.repeat(heads[pair[:, 0]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    held = np.unique(grams[gram_at].astype(np.int64) * len(sample) + np.repeat(pair[:, 1], many))
-    gram_one = np.bincount(held // len(sample), y[held % len(sample)], 1 << GRAM_BITS)
-    gram_zero = np.bincount(held // len(sample), 1 - y[held % len(sample)], 1 << GRAM_BITS)
+    gram_one, gram_zero = _gram_counts(pair[np.argsort(pair[:, 1], kind="stable")], grams, heads, y)
     model = Model(vocabulary, _odds(one, zero, n1, n0), _odds(gram_one, gram_zero, n1, n0))
     # inputs with the document's own label left out of the counts
     own = []
