@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, mix, slices, text_bytes, words
 
-TRAIN_TOXIC = 1500
-TRAIN_CLEAN = 3000
+TRAIN_TOXIC = 1000
+TRAIN_CLEAN = 2000
 WINDOW, STRIDE = 48, 32
 HIDDEN, INPUTS, ATTENTION = 8, 4, 8
 GRAM_BITS = 18
@@ -183,6 +183,34 @@ def _laid(inputs: np.ndarray, index: np.ndarray, dtype: type = np.float32) -> tu
     return np.ascontiguousarray(padded[index.T].transpose(0, 2, 1), dtype), (index.T >= 0).astype(dtype)
 
 
+def _read(texts: list[str], step: int = 128) -> tuple[np.ndarray, ...]:
+    """Word hashes and offsets of texts; distinct words, their n-grams and each word's first n-gram.
+
+    A few texts at a time, so that the driver never holds byte tables of the whole sample.
+    """
+    h, count, names, grams, sizes = ([] for _ in range(5))
+    for lo in range(0, len(texts), step):
+        data, offsets = text_bytes(pc.utf8_lower(pa.array(texts[lo : lo + step], pa.string())))
+        own, start, end, of = words(data, offsets, ALNUM)
+        h.append(own)
+        count.append(np.diff(of))
+        distinct, first = np.unique(own, return_index=True)
+        if len(distinct):
+            ids, heads = gram_ids(data, start[first], end[first])
+            names.append(distinct)
+            grams.append(ids)
+            sizes.append(np.diff(np.append(heads, len(ids))))
+    of = np.concatenate(([0], np.cumsum(np.concatenate(count))))
+    if not names:
+        return np.zeros(0, np.uint64), of, np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    size, ids = np.concatenate(sizes), np.concatenate(grams)
+    vocabulary, first = np.unique(np.concatenate(names), return_index=True)
+    many = size[first]
+    heads = np.cumsum(many) - many
+    at = np.repeat((np.cumsum(size) - size)[first], many) + np.arange(many.sum()) - np.repeat(heads, many)
+    return np.concatenate(h), of, vocabulary, ids[at], heads
+
+
 def _gram_counts(pair: np.ndarray, grams: np.ndarray, heads: np.ndarray, y: np.ndarray, step: int = 64) -> np.ndarray:
     """How many documents of label 1 and 0 hold each n-gram; a few documents at a time. pair: (word, document) by document."""
     size, out = np.diff(np.append(heads, len(grams))), np.zeros((2, 1 << GRAM_BITS))
@@ -202,24 +230,25 @@ def fit(sample: list[tuple[str, int]], rounds: int = 60, rate: float = 0.03) ->
     n1, n0 = float(y.sum()), float((1 - y).sum())
     if not n1 or not n0:
         return Model()
-    data, offsets = text_bytes(pc.utf8_lower(pa.array([t for t, _ in sample], pa.string())))
-    h, start, end, of = words(data, offsets, ALNUM)
-    vocabulary, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    doc = np.repeat(np.arange(len(sample)), np.diff(of))
-    pair = np.unique(np.stack((inverse, doc), 1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
+    h, of, vocabulary, grams, heads = _read([t for t, _ in sample])
+    inverse = np.searchsorted(vocabulary, h).astype(np.int32)
+    doc = np.repeat(np.arange(len(sample), dtype=np.int32), np.diff(of))
+    key = np.unique(inverse.astype(np.int64) * len(sample) + doc)
+    pair = np.stack((key // len(sample), key % len(sample)), 1)
     one = np.bincount(pair[:, 0], y[pair[:, 1]], len(vocabulary))
     zero = np.bincount(pair[:, 0], 1 - y[pair[:, 1]], len(vocabulary))
-    grams, heads = gram_ids(data, start[first], end[first]) if len(first) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     gram_one, gram_zero = _gram_counts(pair[np.argsort(pair[:, 1], kind="stable")], grams, heads, y)
+    del key, pair
     model = Model(vocabulary, _odds(one, zero, n1, n0), _odds(gram_one, gram_zero, n1, n0))
     # inputs with the document's own label left out of the counts
     own = []
     for a, b in ((0, 1), (1, 0)):
         counts = [np.maximum(c, 0) for c in (one - a, zero - b, gram_one - a, gram_zero - b)]
         own.append(_inputs(_odds(counts[0], counts[1], n1, n0), (one + zero > 1).astype(np.float32), _odds(counts[2], counts[3], n1, n0)[grams], heads))
-    x_words = np.where((y[doc] == 1)[:, None], own[1][inverse], own[0][inverse])
+    x_words = np.stack(own)[y[doc], inverse]
     index, owner = windows(of)
-    value = np.where(index >= 0, np.append(np.clip(x_words[:, 0], 0, None), 0)[index], 0).sum(1)
+    suspect = np.append(np.clip(x_words[:, 0], 0, None), np.float32(0))
+    value = np.concatenate([suspect[index[lo : lo + 4096]].sum(1) for lo in range(0, len(index), 4096)] or [suspect[:0]])
     order = np.lexsort((-value, owner))
     rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order], "left")
     chosen = order[rank == 0]  # a text's most suspect window
@@ -229,9 +258,14 @@ def fit(sample: list[tuple[str, int]], rounds: int = 60, rate: float = 0.03) ->
     p = {k: v.astype(np.float32) for k, v in start_weights().items()}
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for r in range(1, rounds + 1):
-        tapes: tuple = ([], [])
-        logit, saved = forward(p, x, mask, tapes)
-        grad = backward(p, x, mask, tapes, saved, weight * (1 / (1 + np.exp(-logit)) - t).astype(np.float32))
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        for lo in range(0, len(t), 1024):
+            part = slice(lo, lo + 1024)
+            tapes: tuple = ([], [])
+            logit, saved = forward(p, x[:, :, part], mask[:, part], tapes)
+            d = weight[part] * (1 / (1 + np.exp(-logit)) - t[part]).astype(np.float32)
+            for k, g in backward(p, x[:, :, part], mask[:, part], tapes, saved, d).items():
+                grad[k] = grad[k] + g
         for k in p:
             g = grad[k] + 1e-4 * p[k]
             m1[k] = 0.9 * m1[k] + 0.1 * g
