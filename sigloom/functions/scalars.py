@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EVENT_TYPES = ("process", "file", "network", "auth", "other")
 MUTATING = ("write", "modify", "rename", "delete")
@@ -49,7 +50,7 @@ def directory(path: Column) -> Column:
     return F.when(F.instr(p, "/") > 0, F.regexp_extract(p, "^(.*)/[^/]*$", 1)).otherwise(F.when(path.isNotNull(), ""))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _private_v6(address: pd.Series) -> pd.Series:
     def one(a: str | None) -> bool:
         try:
@@ -90,7 +91,7 @@ def stable_event_id(*fields: str) -> Column:
     return F.sha2(F.concat(F.lit("v1|"), F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]))), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(raw: pd.Series) -> pd.Series:
     """Arbitrary JSON text with sorted keys and no blanks; null where it is no JSON."""
 
