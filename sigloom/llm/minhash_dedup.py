@@ -146,20 +146,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of two blocks that agree with a node of another component, one of the two being open."""
+    """Per two blocks, the nodes of each that agree with a node of another component, one of the two being open."""
     for batch in batches:
-        nodes: list[np.ndarray] = [np.zeros(0, np.int64)]
-        keys: list[int] = []
+        out: dict[str, list] = {"key": [], "part": [], "nodes": []}
         for i in range(batch.num_rows):
             left, right = _Side(batch.column("left")[i].values), _Side(batch.column("right")[i].values)
             agree = np.zeros((len(left.node), len(right.node)), np.int16)
             for c in range(K):
                 agree += left.signature[:, c, None] == right.signature[None, :, c]
             pair = (agree >= MATCHES) & (left.component[:, None] != right.component[None]) & left.open[:, None]
-            hit = np.unique(np.concatenate((left.node[pair.any(1)], right.node[pair.any(0)])))
-            nodes.append(hit)
-            keys += [batch.column("key")[i].as_py()] * len(hit)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(nodes))], names=["key", "node"])
+            for part, side, hit in (("left_part", left, pair.any(1)), ("right_part", right, pair.any(0))):
+                if hit.any():
+                    out["key"].append(batch.column("key")[i].as_py())
+                    out["part"].append(batch.column(part)[i].as_py())
+                    out["nodes"].append(side.node[hit])
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.int64()), ("part", pa.int64()), ("nodes", pa.list_(pa.int64()))]))
 
 
 class _Side:
@@ -225,15 +226,18 @@ def _residual(member: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     Lists are cut into blocks and blocks are compared with blocks inside tasks: first by
     signatures, which leaves the members that agree with anyone, then these by full sets.
     """
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("part")
-
-    def sides(rows: DataFrame, *payload: str) -> DataFrame:
-        packed = stored(rows.groupBy("key", part).agg(F.collect_list(F.struct("node", "component", "open", *payload)).alias("block")), "blocks")
-        left = packed.filter(F.exists("block", lambda x: x["open"])).select("key", F.col("block").alias("left"))
-        return left.join(packed.select("key", F.col("block").alias("right")), "key")
-
-    active = stored(sides(member, "signature").mapInArrow(_active, "key long, node long").distinct(), "active")
-    rows = member.drop("signature").join(active, ["key", "node"]).join(texts.dropDuplicates(["node", "text"]), "node")
+    member = member.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)))
+
+    def sides(rows: DataFrame, payload: str) -> DataFrame:
+        packed = stored(rows.groupBy("key", "part").agg(F.collect_list(F.struct("node", "component", "open", payload)).alias("block")), "blocks")
+        left = packed.filter(F.exists("block", lambda x: x["open"])).select("key", F.col("part").alias("left_part"), F.col("block").alias("left"))
+        return left.join(packed.select("key", F.col("part").alias("right_part"), F.col("block").alias("right")), "key")
+
+    active = sides(member, "signature").mapInArrow(_active, "key long, part long, nodes array<long>")
+    active = stored(active.groupBy("key", "part").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("nodes")), "active")
+    m, n = member.drop("signature").alias("m"), active.alias("n")
+    here = (F.col("m.key") == F.col("n.key")) & (F.col("m.part") == F.col("n.part")) & F.expr("array_contains(n.nodes, m.node)")
+    rows = m.join(n, here).select("m.*").join(texts.dropDuplicates(["node", "text"]), "node")
     return stored(sides(rows, "text").select("left", "right").mapInArrow(_block_links(width), "a long, b long"), "links")
 
 
