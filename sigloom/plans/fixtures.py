@@ -44,7 +44,11 @@ def sql(dialect: str, events: str = "events") -> str:
     return f"SELECT {columns} FROM ({_INNER.format(events=events)})"
 
 
-def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def derived(events: DataFrame) -> DataFrame:
+    """The derived rows of an events table or stream."""
     inner = events.selectExpr("*", "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k", "user_id % 6 AS u", "user_id % 60 AS p", "chr(92) AS bs")
     return inner.selectExpr(*[f"{e.format(micros='unix_micros(CAST(ts AS TIMESTAMP))', string='STRING')} AS {n}" for n, e in COLUMNS.items()])
+
+
+def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark.read.parquet(f"{sf_dir}/events.parquet"))

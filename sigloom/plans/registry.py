@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from sigloom.operators import packs
-from sigloom.plans import behaviour, detections
+from sigloom.plans import behaviour, detections, ingest
 
-_PARTS = (behaviour, detections)
+_PARTS = (behaviour, detections, ingest)
 # columns whose type in the oracle is set to that of the query
 _SCORED = (
     "sigma_match", "ps_detectors", "spawn_suspect", "auditd_detectors", "ai_network", "ai_integrity", "spawn_report", "recon_sequence", "signal_union", "signal_dedup",
