@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import scalars
 from sigloom.operators import rules
+from sigloom.plans import behaviour, detections
 from sigloom.plans.behaviour import SEC, process_report
 from sigloom.plans.detections import DAY, _keyed, signals
 from sigloom.plans.fixtures import derived, sec_events
@@ -268,6 +269,7 @@ def stream_alerts(spark, sf_dir):
     return spark.read.schema("signal_id string, event_id string, score double").parquet(f"{path}/alerts")
 
 
+HALF = 43_200_000_000  # half a day in microseconds
 _K6 = "CASE WHEN k % 6 IN (0, 1, 2, 3) THEN host END"
 _FMT = "CASE k % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'cef' WHEN 2 THEN 'rfc5424' WHEN 3 THEN 'rfc3164' ELSE 'raw' END"
 _SOURCE = "['auditd', 'evtx', 'syslog', 'json', 'pcap', 'snort', 'sshd'][k % 7 + 1]"
@@ -311,4 +313,11 @@ ORACLES = {
     "stream_ingest": f"{SEC} SELECT 'rfc5424' AS fmt, host, true AS accepted, count(*) AS n FROM sec GROUP BY host",
     "stream_dedup": f"{SEC} SELECT event_id, host FROM sec",
     "stream_alerts": f"{SEC} {_LOTL_ID}",
+    # single-batch streams: what the watermark (10 minutes behind the last row) has closed
+    "stream_recon": "SELECT host, process_key, event_id, us, identity_us FROM (" + detections.ORACLES["recon_sequence"] + ")",
+    "stream_bruteforce": f"{SEC}, f AS (SELECT * FROM sec WHERE outcome = 'failure'), w AS (SELECT host, src_ip, (us // {HALF} - d) * {HALF} AS start_us FROM f, (VALUES (0), (1)) v(d)) SELECT start_us, host, src_ip, count(*) AS n FROM w WHERE start_us + 2 * {HALF} <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM f) GROUP BY ALL HAVING count(*) >= 5",
+    "stream_burst": f"{SEC}, f AS (SELECT *, {_PATH} AS path FROM sec WHERE event_type = 'file'), m AS (SELECT max(us) // 1000 * 1000 - 600000000 AS mark FROM f), w AS (SELECT process_name, pid, path, (us // {HALF // 4} - d) * {HALF // 4} AS start_us FROM f, (VALUES (0), (1)) v(d) WHERE lower(operation) IN ('write', 'modify', 'rename', 'delete')) SELECT start_us, process_name, pid, count(DISTINCT path) AS unique_files FROM w, m WHERE start_us + 2 * {HALF // 4} <= mark GROUP BY ALL",
+    "sink_artifacts": detections.S + ", al AS (SELECT * FROM sg WHERE score >= 0.8) SELECT 'normalized_events' AS artifact, count(*) AS n FROM sec UNION ALL SELECT 'signals', count(*) FROM sg UNION ALL SELECT 'alerts', count(*) FROM al UNION ALL SELECT 'timelines', count(*) FROM al",
+    "sink_report": "SELECT process_name, pid, 60 AS burst FROM (" + behaviour.ORACLES["process_report"] + ")",
+    "score_100_json": detections.S + """ SELECT event_id, signal_type, '{"score":' || CAST(round(score * 100) AS INT) || ',"indicators":["' || signal_type || '"],"classification":"' || CASE WHEN score >= 0.85 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END || '"}' AS alert FROM sg""",
 }
