@@ -10,7 +10,8 @@ What the stages do to a document:
 2. of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest
    doc_id stays; texts without words stay.  Repeated rows of that doc_id become one;
 3. bytes covered by a 100-byte string that also starts earlier are cut, widened to whole
-   characters; a document of which nothing but white space is left goes;
+   characters; of equal texts the first stays, and a document of which nothing but white
+   space is left goes;
 4. words inside a run of ten benchmark words are cut with what separates them; a document
    of which no word is left goes;
 5. the rest gets its slot in the mix of sources.
