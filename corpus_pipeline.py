@@ -65,8 +65,8 @@ def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut byte strings of 100 bytes that occur earlier."""
-    spans = suffix_dedup.repeated_spans(docs)
-    spans = spans.select("doc_id", "digest", "kept").mapInArrow(_cut_bytes, "doc_id long, digest string, text string")
+    cut = lambda spans: spans.select("doc_id", "digest", "kept").mapInArrow(_cut_bytes, "doc_id long, digest string, text string")
+    spans = suffix_dedup.repeated_spans(docs, cut)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(suffix_dedup.LAST))
     rest = docs.select(key.alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "lang", "source")
     out = spans.join(rest.dropDuplicates(["doc_id", "digest"]), ["doc_id", "digest"]).filter(F.col("text").rlike(r"\S"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE2 = 0xC2B2AE3D27D4EB4F | 1
 
@@ -64,7 +64,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**k and base**-k modulo 2**64 for k < n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16) * 5 // 4
+        size = (max(n, SLICE_BYTES) // (1 << 20) + 1) << 20
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)

@@ -34,7 +34,7 @@ TRAIN_DOCS_PER_LANGUAGE = 400
 TRAIN_WORDS = 120
 NGRAMS = 4
 TABLE_BITS = 18
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 LETTERS = np.zeros(256, bool)
 LETTERS[97:123] = LETTERS[128:] = True

@@ -225,9 +225,12 @@ def _digest(text: str = "text") -> Callable:
     return F.sha2(F.col(text).cast("binary"), 256)
 
 
-def repeated_spans(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+def repeated_spans(documents: DataFrame, then: Callable[[DataFrame], DataFrame] = lambda spans: spans, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """(doc_id, digest, n_bytes, starts, ends, kept): removed byte spans and what is left, for the
-    first document of each text; kept is binary, as a cut may fall inside a character."""
+    first document of each text; kept is binary, as a cut may fall inside a character.
+
+    `then` is applied before the result is written to the shared folder; the working table is
+    dropped after that."""
     spark = documents.sparkSession
     rows = _rows(documents)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -253,14 +256,16 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, period: int = PERIO
     names = blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_prefixes(k, t, m), sent)
     marks = marks.unionByName(stored(names.groupBy("range").applyInArrow(later_prefixes, MARKS), "later"))
     schema = "doc_id long, digest string, n_bytes long, starts array<long>, ends array<long>, kept binary"
-    return blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.cut(k, t, m), schema)
+    out = stored(then(blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.cut(k, t, m), schema)), "spans")
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def digest(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """The contract's columns for every row of documents."""
-    spans = repeated_spans(documents, width)
     removed = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda a, x: a + x["ends"] - x["starts"])
-    found = stored(spans.select("doc_id", "digest", removed.alias("removed"), F.size("starts").cast("long").alias("spans"), F.sha2("kept", 256).alias("sha")), "spans")
+    columns = ("doc_id", "digest", removed.alias("removed"), F.size("starts").cast("long").alias("spans"), F.sha2("kept", 256).alias("sha"))
+    found = repeated_spans(documents, lambda spans: spans.select(*columns), width)
     rows = _rows(documents).select("doc_id", _digest().alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
     whole = F.col("removed").isNull() & (F.col("n_bytes") >= width)  # a later copy of a whole text
     zero = F.lit(0).cast("long")
