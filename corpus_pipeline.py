@@ -55,18 +55,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(docs).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
-def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for raw in batch.column("kept").to_pylist():
-            texts.append(raw.decode("utf-8", "ignore"))  # a character that lost a byte goes whole
-        yield batch.drop_columns(["kept"]).append_column("text", pa.array(texts, pa.string()))
-
-
 def suffix_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut byte strings of 100 bytes that occur earlier."""
-    cut = lambda spans: spans.select("doc_id", "digest", "kept").mapInArrow(_cut_bytes, "doc_id long, digest string, text string")
-    spans = suffix_dedup.repeated_spans(docs, cut)
+    columns = ("doc_id", "digest", F.col("kept").cast("string").alias("text"))
+    spans = suffix_dedup.repeated_spans(docs, lambda spans: spans.select(*columns), whole_characters=True)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(suffix_dedup.LAST))
     rest = docs.select(key.alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "lang", "source")
     out = spans.join(rest.dropDuplicates(["doc_id", "digest"]), ["doc_id", "digest"]).filter(F.col("text").rlike(r"\S"))

@@ -183,11 +183,23 @@ def training_sample(documents: DataFrame, rule: F.Column | None = None) -> list[
 
 
 def _posteriors(model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = text_bytes(pc.utf8_lower(part.column("text").cast(pa.string())))
-    h, start, end, of = words(data, offsets, LETTERS)
-    if not len(h) or not model.languages:
-        return np.zeros((0, len(model.languages)), np.float32), np.zeros(len(offsets), np.int64)
-    e = _scores(emissions(model.weights, data, start, end, h))
+    """Posteriors of a part's words and word offsets of its texts.
+
+    Scores are made a small slice at a time (they need tables over bytes); the chains of all
+    texts then run together, as their cost follows the longest one.
+    """
+    scores, counts = [np.zeros((0, len(model.languages)), np.float32)], [np.zeros(1, np.int64)]
+    for piece in slices(part):
+        data, offsets = text_bytes(pc.utf8_lower(piece.column("text").cast(pa.string())))
+        h, start, end, of = words(data, offsets, LETTERS)
+        if not len(h) or not model.languages:
+            counts.append(np.zeros(piece.num_rows, np.int64))
+            continue
+        scores.append(_scores(emissions(model.weights, data, start, end, h)))
+        counts.append(np.diff(of))
+    e, of = np.concatenate(scores), np.cumsum(np.concatenate(counts))
+    if not len(e):
+        return e, of
     return forward_backward(e, of, np.exp(model.transitions - model.transitions.max()).astype(np.float32)), of
 
 

@@ -107,8 +107,8 @@ def answered(table: pa.Table, sizes: list[int], mark: np.ndarray, kind: str) ->
 class Plan:
     """The bounded suffix sort's steps for given width, period, cover and number of hash ranges."""
 
-    def __init__(self, width: int, period: int, cover: tuple[int, ...], ranges: int) -> None:
-        self.width, self.period, self.cover, self.ranges = width, period, cover, ranges
+    def __init__(self, width: int, period: int, cover: tuple[int, ...], ranges: int, whole_characters: bool) -> None:
+        self.width, self.period, self.cover, self.ranges, self.whole_characters = width, period, cover, ranges, whole_characters
 
     def samples(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         """Sampled positions that hold a whole tuple, and the tuples' hashes."""
@@ -179,6 +179,9 @@ class Plan:
         last = np.flatnonzero(covered & (~after | edge[1:])) + 1
         n, a, left = len(b.keys), np.searchsorted(first, b.offsets), b.data[~covered]
         kept = np.concatenate(([0], np.cumsum(~covered)))[b.offsets]
+        rest = [left[kept[i] : kept[i + 1]].tobytes() for i in range(n)]
+        if self.whole_characters:
+            rest = [x.decode("utf-8", "ignore").encode() for x in rest]
         return pa.table(
             {
                 "doc_id": pa.array([k[0] for k in b.keys], pa.int64()),
@@ -186,7 +189,7 @@ class Plan:
                 "n_bytes": pa.array(np.diff(b.offsets), pa.int64()),
                 "starts": pa.array([first[a[i] : a[i + 1]] - b.offsets[i] for i in range(n)], pa.list_(pa.int64())),
                 "ends": pa.array([last[a[i] : a[i + 1]] - b.offsets[i] for i in range(n)], pa.list_(pa.int64())),
-                "kept": pa.array([left[kept[i] : kept[i + 1]].tobytes() for i in range(n)], pa.binary()),
+                "kept": pa.array(rest, pa.binary()),
             }
         )
 
@@ -225,9 +228,10 @@ def _digest(text: str = "text") -> Callable:
     return F.sha2(F.col(text).cast("binary"), 256)
 
 
-def repeated_spans(documents: DataFrame, then: Callable[[DataFrame], DataFrame] = lambda spans: spans, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+def repeated_spans(documents: DataFrame, then: Callable[[DataFrame], DataFrame] = lambda spans: spans, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, whole_characters: bool = False) -> DataFrame:
     """(doc_id, digest, n_bytes, starts, ends, kept): removed byte spans and what is left, for the
-    first document of each text; kept is binary, as a cut may fall inside a character.
+    first document of each text; kept is binary, as a cut may fall inside a character, unless
+    whole_characters widens the cuts.
 
     `then` is applied before the result is written to the shared folder; the working table is
     dropped after that."""
@@ -246,7 +250,7 @@ def repeated_spans(documents: DataFrame, then: Callable[[DataFrame], DataFrame]
     firsts = texts.groupBy("digest").agg(F.min(F.struct("doc_id", "block")).alias("f"))
     nothing = {"range": F.lit(None).cast("int"), "bits": F.lit(None).cast("binary")}
     keep = stored(firsts.select(F.lit("keep").alias("kind"), "f.block", "f.doc_id", "digest").withColumns(nothing), "keep")
-    plan = Plan(width, period, cover, ranges)
+    plan = Plan(width, period, cover, ranges, whole_characters)
     sent = "range int, block long, hashes binary"
     blocked = texts.groupBy("block")
     names = blocked.cogroup(keep.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_samples(k, t, m), sent)
