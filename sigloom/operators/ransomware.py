@@ -87,13 +87,19 @@ def suspicious_extensions(rows: DataFrame, share: float = 0.2, key: tuple[str, .
     return counts.filter(odd & (F.col("ratio") >= share)).groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("suspicious_extensions"))
 
 
-def outbound_external(events: DataFrame, cap: int = 1000, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Outbound connections to public addresses: exact count, and the first `cap` of them in time order."""
+def outbound_connections(events: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Outbound connections to public addresses, a row each."""
     rows = keyed(events, key).filter((F.col("event_type") == "network") & (F.lower("direction") == "outbound") & (F.coalesce("dest_ip", F.lit("")) != "") & ~is_private_ip(F.col("dest_ip")))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("us", "event_id"))
+    return rows.select(*key, "us", "event_id", "dest_ip", "dest_port", "protocol")
+
+
+def outbound_external(events: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Per process, the count and the whole list of outbound connections, in time order.
+
+    A list is one row's value; outbound_connections() has the same connections as rows.
+    """
     item = F.struct("us", "event_id", "dest_ip", "dest_port", "protocol")
-    some = F.sort_array(F.collect_list(F.when(F.col("rank") <= cap, item)))
-    return rows.withColumn("rank", rank).groupBy(*key).agg(F.count("*").alias("n_outbound"), some.alias("outbound"))
+    return outbound_connections(events, key).groupBy(*key).agg(F.count("*").alias("n_outbound"), F.sort_array(F.collect_list(item)).alias("outbound"))
 
 
 def process_metadata(events: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:

@@ -138,3 +138,11 @@ def test_severity_is_critical_from_085(spark):
 def test_coverage_has_subtotals(spark):
     df = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 0.7)], "tactic string, technique string, score double")
     assert reports.coverage(df).count() == 4
+
+
+def test_every_outbound_connection_is_kept(spark):
+    rows = [("p", 1, i, f"e{i:05d}", "network", "outbound", "8.8.8.8", 443, "tcp") for i in range(1500)]
+    df = spark.createDataFrame(rows, "process_name string, pid int, us long, event_id string, event_type string, direction string, dest_ip string, dest_port int, protocol string")
+    got = ransomware.outbound_external(df).first()
+    assert got["n_outbound"] == 1500
+    assert [c["event_id"] for c in got["outbound"]] == [r[3] for r in rows]
