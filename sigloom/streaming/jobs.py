@@ -25,10 +25,13 @@ def dedup(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 
 def burst(files: DataFrame, window: str = "60 seconds", slide: str = "10 seconds", watermark: str = WATERMARK) -> DataFrame:
-    """Distinct changed files per (process, window), estimated: a stream cannot count them exactly in one pass."""
-    w = F.window("ts", window, slide)
+    """Distinct changed files per (process, window), exact: each (process, path, window) is let through once, then counted.
+
+    The state holds these rows until the watermark closes their window.
+    """
     rows = files.withWatermark("ts", watermark).filter("mutating")
-    return rows.groupBy(w, "process_name", "pid").agg(F.approx_count_distinct("path", 0.02).alias("unique_files"))
+    once = rows.select(F.window("ts", window, slide).alias("window"), "process_name", "pid", "path").dropDuplicates(["window", "process_name", "pid", "path"])
+    return once.groupBy("window", "process_name", "pid").agg(F.count("path").alias("unique_files"))
 
 
 def bruteforce(failures: DataFrame, least: int = 5, window: str = "120 seconds", slide: str = "60 seconds", watermark: str = WATERMARK) -> DataFrame:

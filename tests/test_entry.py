@@ -39,3 +39,18 @@ def test_stream_recon_equals_batch(spark):
     batch = {(r["event_id"], r["identity_us"]) for r in detections.recon_sequence(spark, sf).collect()}
     stream = {(r["event_id"], r["identity_us"]) for r in ingest.stream_recon(spark, sf).collect()}
     assert stream == batch
+
+
+def test_stream_burst_counts_exactly(spark, tmp_path):
+    from sigloom.streaming import jobs
+
+    rows = [("p", k, f"f{k}-{i}", 60 * k + i % 50) for k in range(40) for i in range(150 + k)]
+    df = spark.createDataFrame(rows, "process_name string, pid int, path string, s long").withColumn("ts", F.timestamp_seconds("s")).withColumn("mutating", F.lit(True)).drop("s")
+    late = df.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(10_000)))
+    df.union(df).union(late).write.parquet(f"{tmp_path}/in")
+    stream = jobs.burst(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "60 seconds", "30 seconds")
+    jobs.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    found = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")
+    got = {(r["s"], r["pid"]): r["unique_files"] for r in found.select(F.unix_seconds("window.start").alias("s"), "pid", "unique_files").collect()}
+    want = df.select("pid", "path", F.window("ts", "60 seconds", "30 seconds").alias("w")).groupBy(F.unix_seconds("w.start").alias("s"), "pid").agg(F.countDistinct("path").alias("n"))
+    assert got == {(r["s"], r["pid"]): r["n"] for r in want.collect()}
