@@ -4,8 +4,9 @@ A source's documents form blocks of `block` documents.  With target weight w (in
 slots out of PERIOD), block k of a source may not be served before floor(k*P/w) and
 has to be served before ceil((k+1)*P/w).  Earliest deadline first over these windows
 serves one block a slot, so at every slot each source is within one block of its
-target.  The pattern repeats after PERIOD slots: it is computed once, as a table of
-PERIOD rows, and a block's slot follows from its number by a join.
+target.  The pattern repeats after P slots: it is computed once, as a table of
+P rows, and a block's slot follows from its number by a join.  P is PERIOD up to
+PERIOD sources; with more sources it grows with their number, see slots().
 
 A source that runs out leaves its slots empty; order by slot stays the mix of the
 others at their relative weights.  Nothing is dropped or repeated.
@@ -22,55 +23,86 @@ from pyspark.sql import functions as F
 
 PERIOD = 240
 BLOCK_DOCS = 8
-MAX_SOURCES = 100
+SLOTS_A_SOURCE = 4
+BROADCAST_SLOTS = 100_000
+CHUNK = 512
 BUCKETS = 4096
 RESULT = ("weight", "block", "block_release", "block_deadline", "slot")
 
 
+def slots(sources: int, period: int = PERIOD) -> int:
+    """Slots before the pattern of so many sources repeats: the period, or where it has no slot for
+    each of them, the multiple of it that has SLOTS_A_SOURCE for each."""
+    return period if sources <= period else period * -(-SLOTS_A_SOURCE * sources // period)
+
+
 def default_weights(documents: DataFrame, period: int = PERIOD) -> DataFrame:
     """(source, weight) in slots of the period: proportional to the square root of the source's
     size, rounded down but at least 1; the rest goes to the largest sources in turn.
 
-    At most MAX_SOURCES sources: their table is small by contract, and more raise an error.
+    Where the minimum of 1 overshoots the period, the largest source pays; if it cannot, the
+    largest sources go down to a common level.  The period has a slot for each source, see slots().
     """
     sizes = documents.groupBy("source").agg(F.count("*").alias("n"))
     everywhere = Window.partitionBy()
+    by_size = everywhere.orderBy(F.desc("n"), F.asc_nulls_first("source"))
     share = F.sqrt("n") / F.sum(F.sqrt("n")).over(everywhere)
     low = sizes.withColumn("low", F.greatest(F.lit(1), F.floor(share * period)).cast("long"))
-    rank = F.row_number().over(everywhere.orderBy(F.desc("n"), F.asc_nulls_first("source"))) - 1
-    low = low.withColumn("left", F.lit(period) - F.sum("low").over(everywhere)).withColumn("rank", rank).withColumn("m", F.count("*").over(everywhere))
-    extra = F.when(F.col("left") > 0, F.floor(F.col("left") / F.col("m")) + (F.col("rank") < F.pmod("left", "m")).cast("long")).otherwise(0)
-    # where the minimum of 1 overshoots the period, the largest source pays
-    paid = F.when((F.col("left") < 0) & (F.col("rank") == 0), F.col("left")).otherwise(0)
-    return low.select("source", (F.col("low") + extra + paid).cast("long").alias("weight"))
+    low = low.withColumn("left", F.lit(period) - F.sum("low").over(everywhere)).withColumn("rank", F.row_number().over(by_size) - 1).withColumn("m", F.count("*").over(everywhere))
+    extra = F.floor(F.col("left") / F.col("m")) + (F.col("rank") < F.pmod("left", "m")).cast("long")
+    # what lowering all larger sources to this one's slots would free; those where that is too little go down
+    freed = F.sum("low").over(by_size.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("rank") + 1) * F.col("low")
+    low = low.withColumn("top", F.max("low").over(everywhere)).withColumn("down", freed <= -F.col("left"))
+    low = low.withColumn("payers", F.sum(F.col("down").cast("long")).over(everywhere)).withColumn("keep", F.sum(F.when(F.col("down"), F.col("low"))).over(everywhere) + F.col("left"))
+    level = F.floor(F.col("keep") / F.col("payers")) + (F.col("rank") < F.col("keep") % F.col("payers")).cast("long")
+    one = F.col("low") + F.when(F.col("rank") == 0, F.col("left")).otherwise(0)
+    weight = F.when(F.col("left") >= 0, F.col("low") + extra).when(F.col("top") + F.col("left") >= 1, one).when(F.col("down"), level).otherwise(F.col("low"))
+    return low.select("source", weight.cast("long").alias("weight"))
 
 
 def pattern(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     """(source, weight, k, slot): which source's k-th block each slot of the period serves.
 
-    A fold over the slots inside one row: its state is the number of blocks served of each source.
+    Sources of equal weight have equal windows and are served in turn, so they form a class
+    that is a queue.  A fold over the slots inside one row has as state the number of blocks
+    served of each class: there are at most sqrt(2 * period) weights.  The slots are taken
+    in chunks, so that a step appends to a short list.
     """
-    w = weights.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "weight"))).alias("w"))
-    w = w.filter(F.size("w") > 0)
-    bad = (F.size("w") > MAX_SOURCES) | F.exists("w", lambda x: x["weight"] < 1) | (F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["weight"]) != period)
-    w = w.withColumn("w", F.when(bad, F.raise_error(F.lit(f"weights must be 1 or more, sum to {period} and name {MAX_SOURCES} sources at most"))).otherwise(F.col("w")))
+    names = [F.coalesce("source", F.lit("")), F.col("source").isNull()]
+    sources = weights.select("source", F.col("weight").cast("long").alias("weight"))
+    sources = sources.withColumn("i", F.row_number().over(Window.partitionBy().orderBy(*names, "weight")))
+    sources = sources.withColumn("j", F.row_number().over(Window.partitionBy("weight").orderBy("i")).cast("long") - 1)
+    w = sources.groupBy("weight").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("i")).alias("members"))
+    total = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["weight"] * x["n"])
+    w = w.agg(F.array_sort(F.collect_list(F.struct("weight", "n", "members"))).alias("w")).filter(F.size("w") > 0)
+    bad = F.exists("w", lambda x: x["weight"].isNull() | (x["weight"] < 1)) | (total != period)
+    w = w.withColumn("w", F.when(bad, F.raise_error(F.lit(f"weights must be 1 or more and sum to {period}"))).otherwise(F.col("w")))
+    w = w.select(F.transform("w", lambda x, c: F.struct(c.alias("c"), x["weight"].alias("weight"), x["n"].alias("n"), x["members"].alias("members"))).alias("w"))
+    let = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  value is computed once
+
+    def head(x, served):
+        # the next block of the class: by deadline, then by source
+        k, j = F.floor(served / x["n"]), served % x["n"]
+        return k, F.struct(F.ceil((k + 1) * period / x["weight"]).alias("deadline"), F.element_at(x["members"], (j + 1).cast("int")).alias("i"), x["c"].alias("c"), x["weight"].alias("weight"), j.alias("j"), k.alias("k"))
+
+    def ready(x, served, t):
+        k, block = head(x, served)
+        return F.when(F.floor(k * period / x["weight"]) <= t, block)
 
     def serve(state, t):
-        # deadline of the next block of each source, where it is released by slot t
-        ready = F.zip_with(
-            "w",
-            state["served"],
-            lambda x, c: F.when(F.floor(c * period / x["weight"]) <= t, F.ceil((c + 1) * period / x["weight"])),
-        )
-        first = F.array_position(ready, F.array_min(ready))
-        served = F.transform(state["served"], lambda c, i: F.when(i + 1 == first, c + 1).otherwise(c))
-        pick = F.struct(first.cast("int").alias("i"), F.element_at(state["served"], first.cast("int")).alias("k"), t.cast("long").alias("slot"))
-        return F.struct(served.alias("served"), F.concat(state["picks"], F.array(pick)).alias("picks"))
-
-    start = F.struct(F.transform("w", lambda _: F.lit(0).cast("long")).alias("served"), F.array().cast("array<struct<i:int,k:bigint,slot:bigint>>").alias("picks"))
-    picks = F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, serve, lambda s: s["picks"])
-    out = w.select("w", F.explode(picks).alias("p")).select(F.element_at("w", F.col("p.i")).alias("x"), "p.k", "p.slot")
-    return out.select(F.when(~F.col("x.none"), F.col("x.name")).alias("source"), "x.weight", "k", "slot")
+        first = F.array_min(F.zip_with("w", state["served"], lambda x, n: ready(x, n, t)))
+        pick = lambda p: F.array(F.struct(p["weight"].alias("weight"), p["j"].alias("j"), p["k"].alias("k"), t.cast("long").alias("slot")))
+        return let(first, lambda p: F.struct(F.transform(state["served"], lambda n, c: F.when(c == p["c"], n + 1).otherwise(n)).alias("served"), F.concat(state["picks"], pick(p)).alias("picks")))
+
+    def chunk(state, t):
+        slots_of = F.sequence(t, F.least(t + CHUNK, F.lit(period)) - 1)
+        start = F.struct(state["served"].alias("served"), F.array().cast("array<struct<weight:bigint,j:bigint,k:bigint,slot:bigint>>").alias("picks"))
+        return let(F.aggregate(slots_of, start, serve), lambda r: F.struct(r["served"].alias("served"), F.concat(state["chunks"], F.array(r["picks"])).alias("chunks")))
+
+    start = F.struct(F.transform("w", lambda _: F.lit(0).cast("long")).alias("served"), F.array().cast("array<array<struct<weight:bigint,j:bigint,k:bigint,slot:bigint>>>").alias("chunks"))
+    chunks = F.aggregate(F.sequence(F.lit(0), F.lit(period - 1), F.lit(CHUNK)), start, chunk, lambda r: r["chunks"])
+    picks = w.select(F.explode(chunks).alias("chunk")).select(F.explode("chunk").alias("p")).select("p.*")
+    return picks.join(sources.drop("i"), ["weight", "j"]).select("source", "weight", "k", "slot")
 
 
 def mix(documents: DataFrame, weights: DataFrame | None = None, period: int = PERIOD, block: int = BLOCK_DOCS) -> DataFrame:
@@ -91,14 +123,18 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, period: int = PE
     counts = counts.withColumn("__bucket", F.coalesce("__bucket", F.lit(-1)))
     placed = placed.withColumn("__bucket", F.coalesce("__bucket", F.lit(-1)))
     order = Window.partitionBy(*place).orderBy("__hash", F.asc_nulls_first("doc_id"))
-    slots = pattern(default_weights(documents, period) if weights is None else weights, period)
-    slots = slots.select(F.coalesce("source", F.lit("")).alias("__name"), F.col("source").isNull().alias("__none"), "weight", F.col("k").alias("__k"), F.col("slot").alias("__slot"))
-    weight = slots.select("__name", "__none", "weight").distinct()
+    if weights is None:
+        period = slots(documents.select("source").distinct().count(), period)
+        weights = default_weights(documents, period)
+    source = [F.coalesce("source", F.lit("")).alias("__name"), F.col("source").isNull().alias("__none")]
+    served = pattern(weights, period).select(*source, F.col("k").alias("__k"), F.col("slot").alias("__slot"))
+    # both have a row a slot or a source; a table too large to send is joined by shuffle
+    small = F.broadcast if period <= BROADCAST_SLOTS else lambda df: df
+    counts = counts.join(small(weights.select(*source, F.col("weight").cast("long").alias("weight"))), ["__name", "__none"])
     numbered = placed.withColumn("__i", F.row_number().over(order) - 1).join(counts, place)
-    numbered = numbered.withColumn("block", F.floor((F.col("__first") + F.col("__i")) / block)).join(F.broadcast(weight), ["__name", "__none"])
+    numbered = numbered.withColumn("block", F.floor((F.col("__first") + F.col("__i")) / block))
     numbered = numbered.withColumn("__k", F.col("block") % F.col("weight"))
-    # the pattern has PERIOD rows: small enough to broadcast at any input size
-    out = numbered.join(F.broadcast(slots.drop("weight")), ["__name", "__none", "__k"])
+    out = numbered.join(small(served), ["__name", "__none", "__k"])
     turn = F.floor(F.col("block") / F.col("weight")) * period
     return out.select(
         *[F.col(f"`{c}`") for c in given.columns],

@@ -212,3 +212,20 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.decontamination(spark, docs, SF)
     assert out.columns == docs.columns
     assert len(corpus_pipeline.STAGES) == 5
+
+
+@pytest.mark.parametrize(("large", "small"), [(50, 50), (3, 598)])
+def test_mixing_takes_any_number_of_sources(spark, large, small):
+    sizes = {f"s{i:03d}": 40 if i < large else 1 for i in range(large + small)} | {None: 2}
+    if large == 50:
+        sizes = {s: n * 250 if n > 1 else n for s, n in sizes.items() if s}
+    df = spark.createDataFrame(list(sizes.items()), "source string, n int").select("source", F.explode(F.sequence(F.lit(1), "n")).alias("doc_id"))
+    out = mixing.mix(df).collect()
+    assert len(out) == sum(sizes.values())
+    weight = {r["source"]: r["weight"] for r in out}
+    assert min(weight.values()) >= 1
+    assert sum(weight.values()) == mixing.slots(len(sizes))
+    assert all(r["block_release"] <= r["slot"] < r["block_deadline"] for r in out)
+    by = {r["slot"]: (r["source"], r["block"]) for r in out}
+    assert len(by) == len(set(by.values())) == len({(r["source"], r["block"]) for r in out})
+    assert {s for s in sizes if weight[s] > 1} >= {s for s, n in sizes.items() if n > 2}
