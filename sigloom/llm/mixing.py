@@ -130,7 +130,9 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, period: int = PE
     served = pattern(weights, period).select(*source, F.col("k").alias("__k"), F.col("slot").alias("__slot"))
     # both have a row a slot or a source; a table too large to send is joined by shuffle
     small = F.broadcast if period <= BROADCAST_SLOTS else lambda df: df
-    counts = counts.join(small(weights.select(*source, F.col("weight").cast("long").alias("weight"))), ["__name", "__none"])
+    counts = counts.join(small(weights.select(*source, F.col("weight").cast("long").alias("weight"))), ["__name", "__none"], "left")
+    unlisted = F.raise_error(F.concat(F.lit("no weight for source "), F.when(F.col("__none"), "null").otherwise(F.col("__name"))))
+    counts = counts.withColumn("weight", F.when(F.col("weight").isNull(), unlisted).otherwise(F.col("weight")))
     numbered = placed.withColumn("__i", F.row_number().over(order) - 1).join(counts, place)
     numbered = numbered.withColumn("block", F.floor((F.col("__first") + F.col("__i")) / block))
     numbered = numbered.withColumn("__k", F.col("block") % F.col("weight"))

@@ -229,3 +229,13 @@ def test_mixing_takes_any_number_of_sources(spark, large, small):
     by = {r["slot"]: (r["source"], r["block"]) for r in out}
     assert len(by) == len(set(by.values())) == len({(r["source"], r["block"]) for r in out})
     assert {s for s in sizes if weight[s] > 1} >= {s for s, n in sizes.items() if n > 2}
+
+
+@pytest.mark.parametrize("missing", ["c", None])
+def test_mixing_refuses_a_source_without_weight(spark, missing):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(["a", "b", missing] * 20)], "doc_id long, source string")
+    some = [("a", 140), ("b", 100)]
+    with pytest.raises(Exception, match="no weight"):
+        mixing.mix(df, spark.createDataFrame(some, "source string, weight long")).collect()
+    every = spark.createDataFrame([("a", 100), ("b", 100), (missing, 40)], "source string, weight long")
+    assert mixing.mix(df, every).count() == 60
