@@ -87,9 +87,17 @@ def evaluate(rows: DataFrame) -> DataFrame:
     return out.select("label", "support", share("pp").alias("precision"), share("support").alias("recall"))
 
 
-def rank(model: RandomForestClassificationModel, rows: DataFrame, top: int = 1000) -> DataFrame:
-    """The `top` rows by probability, with label at 0.5 and rank."""
+def rank(model: RandomForestClassificationModel, rows: DataFrame, top: int | None = None) -> DataFrame:
+    """All rows by probability, or the first `top`, with label at 0.5 and rank.
+
+    Rows are numbered within buckets of probability; the buckets' counts give each one's first rank.
+    """
     scored = model.transform(_vector(rows)).withColumn("probability", vector_to_array("probability")[1])
-    best = scored.orderBy(F.desc("probability"), *KEY).limit(top)
-    place = F.row_number().over(Window.orderBy(F.desc("probability"), *KEY))
-    return best.withColumn("predicted", F.col("probability") >= 0.5).withColumn("rank", place)
+    scored = scored.withColumn("__bucket", F.floor(F.col("probability") * 4096))
+    before = Window.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = scored.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    counts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(F.desc("probability"), *KEY))
+    out = scored.withColumn("rank", place).join(F.broadcast(counts), "__bucket").withColumn("rank", (F.col("__first") + F.col("rank")).cast("int"))
+    out = out.withColumn("predicted", F.col("probability") >= 0.5).select(*scored.drop("__bucket").columns, "predicted", "rank")
+    return out if top is None else out.filter(F.col("rank") <= top)

@@ -20,10 +20,10 @@ def parents(tree: DataFrame) -> DataFrame:
     return tree.join(above, ["host", "ppid"], "left").withColumn("parent", F.coalesce("parent_image", "above", F.lit("root"))).drop("above")
 
 
-def children(with_parents: DataFrame, cap: int = 10000) -> DataFrame:
-    """(parent, n_children, child_images): number of child nodes and the distinct images, at most `cap`."""
+def children(with_parents: DataFrame) -> DataFrame:
+    """(parent, n_children, child_images): number of child nodes and all their distinct images."""
     each = with_parents.groupBy("parent", "image").agg(F.count("*").alias("n"))
-    return each.groupBy("parent").agg(F.sum("n").alias("n_children"), F.slice(F.sort_array(F.collect_list("image")), 1, cap).alias("child_images"))
+    return each.groupBy("parent").agg(F.sum("n").alias("n_children"), F.sort_array(F.collect_list("image")).alias("child_images"))
 
 
 def ancestors(tree: DataFrame, depth: int = 10) -> DataFrame:

@@ -146,3 +146,19 @@ def test_every_outbound_connection_is_kept(spark):
     got = ransomware.outbound_external(df).first()
     assert got["n_outbound"] == 1500
     assert [c["event_id"] for c in got["outbound"]] == [r[3] for r in rows]
+
+
+def test_every_child_image_is_kept(spark):
+    df = spark.range(10_500).select(F.lit("p").alias("parent"), F.format_string("c%05d", "id").alias("image"))
+    got = proctree.children(df.union(df.limit(1))).first()
+    assert (got["n_children"], got["child_images"]) == (10_501, [f"c{i:05d}" for i in range(10_500)])
+
+
+def test_every_process_is_ranked(spark):
+    rows = spark.range(2500).select(F.concat(F.lit("p"), "id").alias("process_name"), F.col("id").cast("int").alias("pid"), *[(F.col("id") % (7 + i)).cast("double").alias(c) for i, c in enumerate(learning.FEATURES)], (F.col("id") % 2).cast("int").alias("label"))
+    model = learning.train(rows, trees=3)
+    got = learning.rank(model, rows).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 2501))
+    order = [(-r["probability"], r["process_name"], r["pid"]) for r in got]
+    assert order == sorted(order)
+    assert [r["pid"] for r in learning.rank(model, rows, top=5).orderBy("rank").collect()] == [r["pid"] for r in got[:5]]
