@@ -1,24 +1,32 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a table of segments.  A segment covers whole documents (a few
-megabytes of text) and stores, for every token of those documents, a posting:
-the token's position, grouped by term, positions ascending.  A phrase query
-starts from its locally rarest term and intersects the other terms' posting
-lists at shifted positions.  Queries go to every segment; each block of queries
-has a fixed size, and a larger benchmark is asked block by block.
+The index is a table of segments.  A segment covers whole documents (SEGMENT_BYTES of
+text) and stores, for every token of those documents, a posting: the token's position,
+grouped by term, positions ascending.  A phrase query starts from its locally rarest
+term and intersects the other terms' posting lists at shifted positions.
+
+Queries are the distinct (window, item) pairs of the benchmark, cut into blocks of at
+most QUERY_WORDS words by hash on the executors; the driver sends one block at a time.
+Against a segment a block looks up each of its distinct terms once, and then only the
+windows all of whose terms the segment has.
 
 Defined cases: a null text has no words; items or documents without words never
-match; repeated rows are separate rows and each is reported; a null doc_id stays
-null; extra columns are ignored; an empty benchmark hits nothing.
+match; a null item_id is named by the empty string; repeated rows are separate rows and
+each is reported; a null doc_id stays null; extra columns are ignored; an empty
+benchmark hits nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
+import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +34,15 @@ from pyspark.sql import types as T
 from .common import ALNUM, slices, stored, text_bytes, words
 
 WINDOW = 10
-QUERY_WORDS = 4_000_000  # words of query items broadcast at once: 32 MB of term hashes
+QUERY_WORDS = 4_000_000  # words of query windows sent at once: 32 MB of term hashes
+SEGMENT_BYTES = 4 << 20
 
 SEGMENT = T.StructType(
     [
+        T.StructField("segment", T.LongType()),  # unique: partition and number within it
         T.StructField("doc_ids", T.ArrayType(T.LongType())),
-        T.StructField("starts", T.BinaryType()),  # int64: first token of each document, and the end
+        T.StructField("digests", T.ArrayType(T.BinaryType())),  # SHA-256 of each text
+        T.StructField("counts", T.ArrayType(T.LongType())),  # words of each document
         T.StructField("terms", T.BinaryType()),  # uint64: sorted distinct terms
         T.StructField("heads", T.BinaryType()),  # int64: first posting of each term, and the end
         T.StructField("postings", T.BinaryType()),  # int32: positions, ascending within a term
@@ -39,36 +50,56 @@ SEGMENT = T.StructType(
 )
 
 
+def _segment(segment: int, ids: list, digests: list, counts: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
+    terms, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    order = np.argsort(inverse.astype(np.int32), kind="stable").astype(np.int32)
+    heads = np.concatenate(([0], np.cumsum(np.bincount(inverse, minlength=len(terms)))))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([segment], pa.int64()),
+            pa.array([ids], pa.list_(pa.int64())),
+            pa.array([digests], pa.list_(pa.binary())),
+            pa.array([np.concatenate(counts)], pa.list_(pa.int64())),
+            pa.array([terms.tobytes()], pa.binary()),
+            pa.array([heads.astype(np.int64).tobytes()], pa.binary()),
+            pa.array([order.tobytes()], pa.binary()),
+        ],
+        names=SEGMENT.names,
+    )
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    ids, digests, counts, hashes, size = [], [], [], [], 0
     for batch in batches:
         for part in slices(batch):
             data, offsets = text_bytes(part.column("text"))
             h, _, _, starts = words(data, offsets, ALNUM)
-            terms, inverse = np.unique(h, return_inverse=True)
-            order = np.argsort(inverse.astype(np.int32), kind="stable").astype(np.int32)
-            heads = np.concatenate(([0], np.cumsum(np.bincount(inverse, minlength=len(terms)))))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    "starts": pa.array([starts.astype(np.int64).tobytes()], pa.binary()),
-                    "terms": pa.array([terms.tobytes()], pa.binary()),
-                    "heads": pa.array([heads.astype(np.int64).tobytes()], pa.binary()),
-                    "postings": pa.array([order.tobytes()], pa.binary()),
-                }
-            )
+            ids += part.column("doc_id").to_pylist()
+            digests += part.column("digest").to_pylist()
+            counts.append(np.diff(starts))
+            hashes.append(h)
+            size += len(data)
+            if size >= SEGMENT_BYTES:
+                yield _segment(number, ids, digests, counts, hashes)
+                number += 1
+                ids, digests, counts, hashes, size = [], [], [], [], 0
+    if ids:
+        yield _segment(number, ids, digests, counts, hashes)
 
 
 def build_index(documents: DataFrame) -> DataFrame:
     """Token postings of all documents, stored in the shared folder."""
-    return stored(documents.select("doc_id", "text").mapInArrow(_segments, SEGMENT), "postings")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"))
+    return stored(rows.mapInArrow(_segments, SEGMENT), "postings")
 
 
 class Segment:
     """One segment's postings with vectorised lookups."""
 
     def __init__(self, row: dict) -> None:
-        self.doc_ids = row["doc_ids"]
-        self.starts = np.frombuffer(row["starts"], np.int64)
+        self.segment, self.doc_ids = row["segment"], row["doc_ids"]
+        self.starts = np.concatenate(([0], np.cumsum(np.array(row["counts"], np.int64))))
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.heads = np.frombuffer(row["heads"], np.int64)
         self.postings = np.frombuffer(row["postings"], np.int32)
@@ -110,116 +141,151 @@ class Segment:
         return found[query[ok]], start[ok]
 
 
-def item_windows(benchmark: DataFrame, width: int = WINDOW) -> Iterator[dict[int, tuple[np.ndarray, list[str]]]]:
-    """Query blocks: by window length, the distinct windows' term hashes and their item ids.
-
-    Items are read in order of item_id with toLocalIterator, so the driver holds one block.
-    """
-    block: dict[int, dict[bytes, set[str]]] = {}
-    total = 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        data, offsets = text_bytes(pa.array([row["text"]], pa.string()))
-        h = words(data, offsets, ALNUM)[0]
-        if not len(h):
-            continue
-        n = min(width, len(h))
-        for k in range(len(h) - n + 1):
-            block.setdefault(n, {}).setdefault(h[k : k + n].tobytes(), set()).add("" if row["item_id"] is None else str(row["item_id"]))
-        total += (len(h) - n + 1) * n
-        if total >= QUERY_WORDS:
-            yield _packed(block)
-            block, total = {}, 0
-    if block:
-        yield _packed(block)
-
-
-def _packed(block: dict) -> dict:
-    return {n: (np.frombuffer(b"".join(w), np.uint64).reshape(-1, n), [",".join(sorted(x)) for x in w.values()]) for n, w in block.items()}
-
-
-HITS = T.StructType(
-    [
-        T.StructField("segment", T.StringType()),
-        T.StructField("ordinal", T.LongType()),
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
-
-
-def _merged(start: np.ndarray, end: np.ndarray) -> list[dict]:
-    out: list[dict] = []
-    for a, b in sorted(zip(start.tolist(), end.tolist(), strict=True)):
-        if out and a <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], b)
-        else:
-            out.append({"start": a, "end": b})
-    return out
-
-
-def phrase_matches(index: DataFrame, block: dict) -> DataFrame:
-    """Per document: merged word spans inside any query's occurrence, and the items that occur."""
-    sent = index.sparkSession.sparkContext.broadcast(block)
+def _windows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                data, offsets = text_bytes(part.column("text"))
+                h, _, _, starts = words(data, offsets, ALNUM)
+                items = part.column("item_id").to_pylist()
+                out: dict[str, list] = {"terms": [], "item": []}
+                for i, count in enumerate(np.diff(starts).tolist()):
+                    n = min(width, count)
+                    out["terms"] += [h[k : k + n].tobytes() for k in range(starts[i], starts[i] + count - n + 1)] if n else []
+                    out["item"] += [items[i]] * (len(out["terms"]) - len(out["item"]))
+                yield pa.RecordBatch.from_pydict(out, pa.schema([("terms", pa.binary()), ("item", pa.string())]))
+
+    return run
+
+
+@dataclass
+class Queries:
+    """A block of windows: their terms as numbers into a sorted vocabulary, and the items of each."""
+
+    terms: np.ndarray
+    windows: dict[int, np.ndarray]  # by length: windows x length
+    items: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: first item of each window and the end, items
+    names: list[str]
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """One row for a block of (terms, item) rows."""
+    raw, items = table.column("terms").to_pylist(), table.column("item").to_pylist()
+    names = sorted(set(items))
+    place = {x: i for i, x in enumerate(names)}
+    terms = np.unique(np.frombuffer(b"".join(raw), np.uint64))
+    windows, owners = {}, {}
+    for size in sorted({len(x) for x in raw}):
+        pairs = sorted((w, place[x]) for w, x in zip(raw, items, strict=True) if len(w) == size)
+        flat = np.frombuffer(b"".join(w for w, _ in pairs), np.uint64).reshape(len(pairs), -1)
+        new = np.ones(len(pairs), bool)
+        new[1:] = (flat[1:] != flat[:-1]).any(axis=1)
+        windows[size // 8] = np.searchsorted(terms, flat[new]).astype(np.int32)
+        owners[size // 8] = (np.append(np.flatnonzero(new), len(pairs)), np.array([x for _, x in pairs], np.int32))
+    return pa.table({"block": table.column("block")[:1], "payload": pa.array([pickle.dumps(Queries(terms, windows, owners, names))], pa.binary())})
+
+
+def query_blocks(benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, int]:
+    """(block, payload) of the benchmark's query blocks, and how many there are."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    found = stored(rows.mapInArrow(_windows(width), "terms binary, item string").distinct(), "windows")
+    blocks = math.ceil(found.count() * width / QUERY_WORDS)
+    block = F.pmod(F.xxhash64("terms", "item"), F.lit(max(1, blocks))).alias("block")
+    return stored(found.select(block, "terms", "item").groupBy("block").applyInArrow(_pack, "block long, payload binary"), "queries"), blocks
+
+
+HITS = "segment long, ordinal long, spans array<struct<start:long,end:long>>, items array<string>"
+
+
+def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each owner, those that overlap or touch as one; sorted by owner and start."""
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    if not len(owner):
+        return owner, start, end
+    far = int(end.max()) + 2
+    reach = np.maximum.accumulate(end + owner * far)
+    new = np.ones(len(owner), bool)
+    new[1:] = start[1:] + owner[1:] * far > reach[:-1]
+    heads = np.flatnonzero(new)
+    return owner[heads], start[heads], np.maximum.reduceat(end, heads)
+
+
+def _span_lists(owner: np.ndarray, start: np.ndarray, end: np.ndarray, owners: np.ndarray) -> pa.Array:
+    flat = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(owner, owners), len(owner)), pa.int32()), flat)
+
+
+def phrase_matches(index: DataFrame, queries: Queries) -> DataFrame:
+    """(segment, ordinal, spans, items) of documents that hold a query: merged word spans, items in order."""
+    sent = index.sparkSession.sparkContext.broadcast(queries)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
         for batch in batches:
             for row in batch.to_pylist():
                 seg = Segment(row)
-                hits: dict[int, list] = {}
-                for n, (h, items) in sent.value.items():
-                    query, start = seg.phrases(seg.term_ids(h.reshape(-1)).reshape(h.shape))
+                known = seg.term_ids(asked.terms)
+                docs, starts, ends, owners, items = ([np.zeros(0, np.int64)] for _ in range(5))
+                for n, windows in asked.windows.items():
+                    some = np.arange(len(windows))
+                    for k in range(n):  # windows that lack a term go, term by term
+                        some = some[known[windows[some, k]] >= 0]
+                    query, start = seg.phrases(known[windows[some]])
                     doc = np.searchsorted(seg.starts, start, "right") - 1
-                    for q, s, d in zip(query.tolist(), start.tolist(), doc.tolist(), strict=True):
-                        hits.setdefault(d, []).append((s - int(seg.starts[d]), n, items[q]))
-                name = hashlib.sha256(row["postings"] + row["starts"] + repr(row["doc_ids"]).encode()).hexdigest()
-                count = np.diff(seg.starts)
-                spans, found = [], []
-                for d in range(len(seg.doc_ids)):
-                    x = hits.get(d, [])
-                    spans.append(_merged(np.array([a for a, _, _ in x], np.int64), np.array([a + n for a, n, _ in x], np.int64)))
-                    found.append(sorted({i for _, _, names in x for i in names.split(",")}))
+                    docs.append(doc)
+                    starts.append(start - seg.starts[doc])
+                    ends.append(start - seg.starts[doc] + n)
+                    heads, names = asked.items[n]
+                    pair = np.unique(doc * len(windows) + some[query])
+                    doc, query = pair // len(windows), pair % len(windows)
+                    many = heads[query + 1] - heads[query]
+                    at = np.repeat(heads[query], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    owners.append(np.repeat(doc, many))
+                    items.append(names[at])
+                owner, start, end = merged(*(np.concatenate(x) for x in (docs, starts, ends)))
+                hit = np.unique(owner)
+                pair = np.unique(np.concatenate(owners) * max(1, len(asked.names)) + np.concatenate(items))
+                who, what = pair // max(1, len(asked.names)), pair % max(1, len(asked.names))
+                names = pa.array([asked.names[i] for i in what.tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name] * len(count)),
-                        pa.array(np.arange(len(count), dtype=np.int64)),
-                        pa.array(seg.doc_ids, pa.int64()),
-                        pa.array(count, pa.int64()),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        pa.array(found, pa.list_(pa.string())),
+                        pa.array(np.full(len(hit), seg.segment), pa.int64()),
+                        pa.array(hit, pa.int64()),
+                        _span_lists(owner, start, end, hit),
+                        pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(who, hit), len(who)), pa.int32()), names),
                     ],
-                    names=HITS.names,
+                    names=["segment", "ordinal", "spans", "items"],
                 )
 
     return index.mapInArrow(search, HITS)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, hit spans (word offsets, merged), items that occur.
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose spans came from several blocks: merged."""
+    for batch in batches:
+        spans = batch.column("spans")
+        owner = np.repeat(np.arange(len(spans)), pc.list_value_length(spans).to_numpy())
+        flat = spans.flatten()
+        parts = merged(owner, flat.field("start").to_numpy(), flat.field("end").to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("ordinal"), _span_lists(*parts, np.arange(len(spans))), batch.column("items")], names=batch.schema.names)
 
-    More than one block of queries: the blocks' rows of a document are united.
-    """
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """One row per document: doc_id, digest (SHA-256 of its text), n_words, hit spans (word offsets, merged), items that occur."""
     index = build_index(documents)
-    parts = [phrase_matches(index, block) for block in item_windows(benchmark, width)] or [phrase_matches(index, {})]
-    if len(parts) == 1:
-        return parts[0].drop("segment", "ordinal")
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    sent = T.ArrayType(HITS["spans"].dataType.elementType)
-
-    def union(a, b):  # spans sorted by start: extend the last or append
-        last = F.element_at(a, -1)
-        joined = F.slice(a, F.lit(1), F.size(a) - 1)
-        grown = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], b["end"]).alias("end")))
-        return F.when((F.size(a) > 0) & (b["start"] <= F.try_element_at(a, F.lit(-1))["end"]), F.concat(joined, grown)).otherwise(F.concat(a, F.array(b)))
-
-    return (
-        both.groupBy("segment", "ordinal", "doc_id", "n_words")
-        .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .select("doc_id", "n_words", F.aggregate("spans", F.array().cast(sent), union).alias("spans"), "items")
-    )
+    packed, blocks = query_blocks(benchmark, width)
+    hits = documents.sparkSession.createDataFrame([], HITS)
+    for block in range(blocks):
+        for row in packed.filter(F.col("block") == block).collect():
+            found = stored(phrase_matches(index, pickle.loads(row["payload"])), "hits")
+            hits = found if blocks == 1 else hits.unionByName(found)
+    if blocks > 1:
+        hits = hits.groupBy("segment", "ordinal").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).mapInArrow(_united, HITS)
+    rows = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "digests", "counts")).alias("ordinal", "d"))
+    rows = rows.select("segment", F.col("ordinal").cast("long").alias("ordinal"), F.col("d.doc_ids").alias("doc_id"), F.col("d.digests").alias("digest"), F.col("d.counts").alias("n_words"))
+    out = rows.join(hits, ["segment", "ordinal"], "left")
+    return out.select("doc_id", "digest", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def proximity(documents: DataFrame, terms: list[list[str]], within: int = 8) -> DataFrame:

@@ -7,9 +7,10 @@ between the languages of neighbouring words are learned as well, so that
 code-switched text is labelled word by word with forward-backward.  A document's
 language is the one with the largest sum of word posteriors.
 
-Fitting takes a bounded sample (TRAIN_DOCS_PER_LANGUAGE documents a language, at
-most TRAIN_WORDS words from each, read from a hashed place); prediction reads
-whole texts.
+Fitting takes a bounded sample: about TRAIN_DOCS_PER_LANGUAGE documents a language,
+at most TRAIN_WORDS words from each, read from a hashed place.  Executors cut the
+texts, one task fits the cut words (at most languages x documents x words of them),
+and the driver sees the model alone.  Prediction reads whole texts.
 
 Defined cases: null text or text without a letter is `und` with score 0; without
 any labelled document everything is `und`; repeated rows are predicted each; ties
@@ -85,8 +86,11 @@ def emissions(model_weights: np.ndarray, data: np.ndarray, start: np.ndarray, en
     return np.add.reduceat(model_weights[ids], heads, axis=0)[inverse]
 
 
-def forward_backward(e: np.ndarray, offsets: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Posteriors of each word. e: scores > 0, words x languages; offsets: words of each chain."""
+def forward_backward(e: np.ndarray, offsets: np.ndarray, a: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Posteriors of each word. e: scores > 0, words x languages; offsets: words of each chain.
+
+    The expected transitions (sums of pairwise marginals) of all chains are added to pairs.
+    """
     length = np.diff(offsets)
     order = np.argsort(-length, kind="stable")
     begin, length = offsets[:-1][order], length[order]
@@ -102,8 +106,12 @@ def forward_backward(e: np.ndarray, offsets: np.ndarray, a: np.ndarray) -> np.nd
     for t in range(len(active) - 1, -1, -1):
         m = int(active[t])
         at = begin[:m] + t
+        ahead = e[at] * y[:m]
+        if pairs is not None and t:
+            before = alpha[at - 1]
+            pairs += a * ((before / ((before @ a) * ahead).sum(1, keepdims=True)).T @ ahead)
         alpha[at] *= y[:m]
-        z = (e[at] * y[:m]) @ a.T
+        z = ahead @ a.T
         y[:m] = z / z.sum(1, keepdims=True)
     return alpha / alpha.sum(1, keepdims=True)
 
@@ -112,74 +120,118 @@ def _scores(logits: np.ndarray) -> np.ndarray:
     return np.exp(np.maximum(logits - logits.max(1, keepdims=True), -30)).astype(np.float32)
 
 
-def fit(sample: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15) -> Model:
-    """CRF by maximum likelihood (full-batch Adam) on chains spliced from several documents."""
-    languages = sorted({lang for lang, _ in sample})
+@dataclass
+class Chains:
+    """The fitting sample as chains: distinct words with their features, and each word's language."""
+
+    inverse: np.ndarray  # distinct word of each word
+    place: np.ndarray  # feature numbers of the distinct words
+    heads: np.ndarray  # first feature of each distinct word
+    owner: np.ndarray  # distinct word of each feature
+    used: np.ndarray  # feature of each feature number
+    y: np.ndarray
+    offsets: np.ndarray
+    observed: np.ndarray  # transitions
+
+
+def chains(sample: list[tuple[str, str]], languages: list[str]) -> Chains | None:
+    """Chains spliced from runs of 20 words of several documents, so that languages change within them."""
     k = len(languages)
-    model = Model(languages, np.zeros((1 << TABLE_BITS, k), np.float32), np.log(np.full((k, k), 0.05) + np.eye(k) * 0.9))
-    if not k:
-        return model
     data, offsets = text_bytes(pc.utf8_lower(pa.array([t for _, t in sample], pa.string())))
     h, start, end, of = words(data, offsets, LETTERS)
     pieces, gold = [], []
-    rng = np.random.default_rng(7)
-    for i, (lang, text) in enumerate(sample):
-        n = of[i + 1] - of[i]
-        take = int(min(n, TRAIN_WORDS))
-        skip = zlib.crc32(text.encode()) % (n - take + 1) if n else 0
-        for p in range(0, take, 20):
-            pieces.append(np.arange(of[i] + skip + p, of[i] + skip + min(p + 20, take)))
+    for i, (lang, _) in enumerate(sample):
+        for p in range(of[i], of[i + 1], 20):
+            pieces.append(np.arange(p, min(p + 20, of[i + 1])))
             gold.append(languages.index(lang))
-    turn = rng.permutation(len(pieces))
-    runs = [turn[i : i + 4] for i in range(0, len(turn), 4)]
-    index = np.concatenate([pieces[j] for run in runs for j in run] or [np.zeros(0, np.int64)])
-    y = np.concatenate([np.full(len(pieces[j]), gold[j]) for run in runs for j in run] or [np.zeros(0, np.int64)])
-    chains = np.concatenate(([0], np.cumsum([sum(len(pieces[j]) for j in run) for run in runs])))
-    if not len(index):
-        return model
+    if not pieces:
+        return None
+    turn = np.random.default_rng(7).permutation(len(pieces))
+    index = np.concatenate([pieces[j] for j in turn])
+    y = np.repeat(np.array(gold)[turn], [len(pieces[j]) for j in turn])
+    ends = np.cumsum([len(pieces[j]) for j in turn])
+    bounds = np.concatenate(([0], np.append(ends[3:-1:4], ends[-1])))
     distinct, first, inverse = np.unique(h[index], return_index=True, return_inverse=True)
     ids, heads = word_features(data, start[index][first], end[index][first], distinct)
-    owner = np.repeat(np.arange(len(distinct)), np.diff(np.concatenate((heads, [len(ids)]))))
     inside = np.ones(len(index), bool)
-    inside[chains[:-1][np.diff(chains) > 0]] = False
-    pair = np.zeros((k, k))
-    np.add.at(pair, (y[:-1][inside[1:]], y[1:][inside[1:]]), 1)
-    used = np.unique(ids)
-    place = np.searchsorted(used, ids)
-    w, m1, m2 = np.zeros((len(used), k)), np.zeros((len(used), k)), np.zeros((len(used), k))
+    inside[bounds[:-1]] = False
+    observed = np.zeros((k, k))
+    np.add.at(observed, (y[:-1][inside[1:]], y[1:][inside[1:]]), 1)
+    used, place = np.unique(ids, return_inverse=True)
+    owner = np.repeat(np.arange(len(distinct)), np.diff(np.append(heads, len(ids))))
+    return Chains(inverse, place, heads, owner, used, y, bounds, observed)
+
+
+def gradient(c: Chains, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the mean negative log likelihood a word, in feature weights and transitions."""
+    k = len(t)
+    e = _scores(np.add.reduceat(w[c.place], c.heads, axis=0)[c.inverse]).astype(float)
+    expected = np.zeros((k, k))
+    left = forward_backward(e, c.offsets, np.exp(t - t.max()), expected) - np.eye(k)[c.y]
+    per_word = np.stack([np.bincount(c.inverse, left[:, j], len(c.heads)) for j in range(k)], 1)
+    g = np.stack([np.bincount(c.place, per_word[c.owner, j], len(c.used)) for j in range(k)], 1)
+    return g / len(c.y), (expected - c.observed) / len(c.y)
+
+
+def fit(sample: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15) -> Model:
+    """CRF by maximum likelihood (full-batch Adam) from (lang, text) rows."""
+    languages = sorted({lang for lang, _ in sample})
+    k = len(languages)
+    model = Model(languages, np.zeros((1 << TABLE_BITS, k), np.float32), np.log(np.full((k, k), 0.05) + np.eye(k) * 0.9))
+    c = chains(sample, languages) if k else None
+    if c is None:
+        return model
+    w, m1, m2 = (np.zeros((len(c.used), k)) for _ in range(3))
     t, t1, t2 = model.transitions, np.zeros((k, k)), np.zeros((k, k))
-    one = np.eye(k)[y]
     for r in range(1, rounds + 1):
-        e = _scores(np.add.reduceat(w[place], heads, axis=0)[inverse]).astype(float)
-        a = np.exp(t - t.max())
-        post = forward_backward(e, chains, a)
-        left = post - one
-        per_word = np.stack([np.bincount(inverse, left[:, c], len(distinct)) for c in range(k)], 1)
-        g = np.stack([np.bincount(place, per_word[owner, c], len(used)) for c in range(k)], 1) / len(index) + 1e-6 * w
-        # expected transitions from neighbouring posteriors (mean field), observed ones from the chains
-        expected = post[:-1][inside[1:]].T @ post[1:][inside[1:]]
-        gt = (expected - pair) / len(index)
-        for value, grad, u, v in ((w, g, m1, m2), (t, gt, t1, t2)):
+        g, gt = gradient(c, w, t)
+        for value, grad, u, v in ((w, g + 1e-6 * w, m1, m2), (t, gt, t1, t2)):
             u += 0.1 * (grad - u)
             v += 0.02 * (grad * grad - v)
             value -= rate * (u / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.98**r)) + 1e-7)
-    model.weights[used] = w
+    model.weights[c.used] = w
     return model
 
 
-def training_sample(documents: DataFrame, rule: F.Column | None = None) -> list[tuple[str, str]]:
-    """(lang, text) of about TRAIN_DOCS_PER_LANGUAGE documents a language, chosen by hash."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text, lower-cased, at most TRAIN_WORDS words from a hashed place."""
+    for batch in batches:
+        for part in slices(batch):
+            data, offsets = text_bytes(pc.utf8_lower(part.column("text").cast(pa.string())))
+            _, start, end, of = words(data, offsets, LETTERS)
+            out = []
+            for i, n in enumerate(np.diff(of).tolist()):
+                take = min(n, TRAIN_WORDS)
+                first = of[i] + zlib.crc32(data[offsets[i] : offsets[i + 1]].tobytes()) % (n - take + 1)
+                out.append(data[start[first] : end[first + take - 1]].tobytes().decode() if take else "")
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(out, pa.string())], names=["lang", "text"])
+
+
+def training_sample(documents: DataFrame, rule: F.Column | None = None) -> DataFrame:
+    """(lang, text): cut texts of about TRAIN_DOCS_PER_LANGUAGE documents a language, chosen by hash."""
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.filter(rule) if rule is not None else rows
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
-    bar = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        bar = F.when(F.col("lang") == lang, F.lit(int(min(1.0, TRAIN_DOCS_PER_LANGUAGE / n) * 1_000_000))).otherwise(bar)
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < bar).select("lang", "text")
-    picked = picked.limit(2 * TRAIN_DOCS_PER_LANGUAGE * len(counts)).collect()
-    return sorted((r["lang"], r["text"]) for r in picked)
+    span = 1 << 62
+    bar = F.lit(-1).cast("long")
+    for lang, n in sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()):
+        bar = F.when(F.col("lang") == lang, F.lit(min(span, span * TRAIN_DOCS_PER_LANGUAGE // n)).cast("long")).otherwise(bar)
+    picked = rows.filter(F.xxhash64("doc_id", "lang").bitwiseAND(F.lit(span - 1)) < bar).select("doc_id", "lang", "text").distinct()
+    return picked.select("lang", "text").mapInArrow(_cut, "lang string, text string")
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sample = [row for b in batches for row in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True)]
+    model = fit(sorted(sample))
+    yield pa.RecordBatch.from_pydict({"languages": [model.languages], "weights": [model.weights.tobytes()], "transitions": [model.transitions.tobytes()]}, pa.schema([("languages", pa.list_(pa.string())), ("weights", pa.binary()), ("transitions", pa.binary())]))
+
+
+def train(documents: DataFrame, rule: F.Column | None = None) -> Model:
+    """Model fitted in one task to the bounded sample of documents."""
+    found = training_sample(documents, rule).repartition(1).mapInArrow(_fit_rows, "languages array<string>, weights binary, transitions binary").collect()
+    if not found or not found[0]["languages"]:
+        return fit([])
+    k = len(found[0]["languages"])
+    return Model(found[0]["languages"], np.frombuffer(found[0]["weights"], np.float32).reshape(-1, k), np.frombuffer(found[0]["transitions"], float).reshape(k, k))
 
 
 def _posteriors(model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -268,5 +320,5 @@ def held_out() -> F.Column:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(training_sample(docs, ~held_out()))
+    model = train(docs, ~held_out())
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_switches")

@@ -55,7 +55,7 @@ def test_forward_backward_equals_enumeration():
 
 def test_language_held_out_and_code_switching(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = language_id.fit(language_id.training_sample(docs, ~language_id.held_out()))
+    model = language_id.train(docs, ~language_id.held_out())
     got = language_id.op8_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert got >= 0.95
     texts = {r["lang"]: " ".join(r["text"].split()[:40]) for r in docs.filter("length(text) > 800").collect()}
@@ -64,7 +64,7 @@ def test_language_held_out_and_code_switching(spark):
     assert runs == {"en", "de"}
     named = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(rows, model).collect()}
     assert [named[i] for i in (2, 3, 4)] == [("und", 0.0)] * 3
-    empty = language_id.fit(language_id.training_sample(docs.limit(0)))
+    empty = language_id.train(docs.limit(0))
     assert {r["lang_pred"] for r in language_id.identify(rows, empty).collect()} == {"und"}
 
 
