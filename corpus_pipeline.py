@@ -43,7 +43,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that have a language, and set it."""
-    model = language_id.fit(language_id.training_sample(docs))
+    model = language_id.train(docs)
     found = language_id.identify(_documents(docs), model)
     return _documents(found.filter("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")))
 
@@ -84,13 +84,16 @@ def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages out of the documents that hold them."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = _documents(docs).withColumn("__key", F.xxhash64("doc_id", "text"))  # rows of one id with other texts stay apart
-    found = stored(decontaminate.decontaminate(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark), "contaminated")
-    hit = found.filter(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__key")).agg(F.first("spans").alias("spans"))
-    clean = keyed.join(hit.select("__key"), "__key", "left_anti")
-    dirty = keyed.join(hit, "__key")
-    cut = dirty.select(*COLUMNS, "spans").mapInArrow(_cut_words, docs.select(*COLUMNS).schema)
-    return clean.select(*COLUMNS).unionByName(cut.filter(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")))
+    found = decontaminate.decontaminate(_documents(docs), benchmark).filter(F.size("spans") > 0)
+    hit = stored(found.groupBy("doc_id", "digest").agg(F.first("spans").alias("spans")), "contaminated")
+    # an id may have several texts, and its digest tells which are cut
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.digest") == F.col("h.digest"))
+    both = _documents(docs).withColumn("digest", digest).alias("d").join(hit.alias("h"), same, "left")
+    dirty = both.filter("h.digest IS NOT NULL").select("d.doc_id", "text", "lang", "source", "n_chars", "spans")
+    clean = both.filter("h.digest IS NULL").select("d.doc_id", "text", "lang", "source", "n_chars")
+    cut = dirty.mapInArrow(_cut_words, docs.select(*COLUMNS).schema)
+    return clean.unionByName(cut.filter(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
