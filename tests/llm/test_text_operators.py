@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,68 @@ def test_main_text(page, text):
     assert html_text.main_text(page, html_text.train())[0] == text
 
 
+def _words(n, mark="w"):
+    return " ".join(f"{mark}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1>T</h1><p>{_words(80)}</p><p>{_words(80, 'last')}</p></article><nav><a>Home</a></nav>", ["T", _words(80), _words(80, "last")]),
+        (f"<article><p>{_words(30)}</p><p class='advert'>Buy now</p><p>One <span class=ad>Buy it</span> two</p><ul><li id=comment-3>reader says</li></ul><p>{_words(9)}</p></article>", [_words(30), "One two", _words(9)]),
+        (f"<div><a>Home</a></div><div><a>About us</a></div><div><h2>Title of it</h2><p>{_words(30)}<p>{_words(12)} <a href=x>unclosed<p>{_words(14, 'b')}</div><div><a>x</a></div><div>&copy; me 2020</div>", ["Title of it", _words(30), _words(12) + " unclosed", _words(14, "b")]),
+        (f"<form id=page><main class='content no-sidebar'><h1>Head</h1><p>{_words(20)}</p></main></form><form><p>Your mail</p></form>", ["Head", _words(20)]),
+        (f"<article><p>{_words(40)}</p><p><a href=q>a linked paragraph between two texts</a></p><p>{_words(50)}</p></article>", [_words(40), "a linked paragraph between two texts", _words(50)]),
+        (f"<table><tr><td><a>Home</a><td><a>News</a><tr><td>{_words(60)}<td class=sidebar>{_words(30, 's')}</table>", [_words(60)]),
+        (f"<main><p hidden>no</p><p>{_words(12)}<div style='display: none'>no</div><!-- <p>no", [_words(12)]),
+    ],
+)
+def test_main_text_of_other_layouts(page, text):
+    assert html_text.main_text(page, html_text.train())[0] == "\n\n".join(text)
+
+
+def test_tree_asks_for_density_and_neighbours():
+    asked = {line.split()[0] for line in html_text.describe(html_text.train()).splitlines() if "<=" in line}
+    assert {"words", "link_density", "words_before", "density_before", "words_after"} <= asked
+
+
+class _Article(HTMLParser):
+    """The text of p and h1 elements inside article, for pages of the given form."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside = True
+        if tag == "br" and self.inside:
+            self.blocks[-1].append(" ")
+        if tag in ("p", "h1"):
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.inside = False
+        if tag in ("p", "h1"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1].append(data)
+
+
+def test_main_text_of_given_pages(spark):
+    got = {r["page_id"]: r for r in html_text.op1_html_text(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        reader = _Article()
+        reader.feed(r["html"] or "")
+        want = "\n\n".join(t for t in (" ".join("".join(b).split()) for b in reader.blocks) if t)
+        assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (want, len(want))
+
+
 def test_extract_keeps_every_row(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (None, None, None, None)], "page_id long, url string, html string, text int")
     got = html_text.extract(rows).collect()
@@ -53,6 +116,32 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(got[lo:hi], want / want.sum(1, keepdims=True))
 
 
+def test_crf_gradient_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    sample = [("a", "ka lo mi ka"), ("b", "zu ka pe"), ("a", "lo lo"), ("b", "pe zu zu mi ka lo"), ("a", "")]
+    c = language_id.chains(sample, ["a", "b"])
+    w, t = rng.normal(size=(len(c.used), 2)), rng.normal(size=(2, 2))
+
+    def loss(w, t):
+        e = np.exp(np.add.reduceat(w[c.place], c.heads, axis=0)[c.inverse])
+        total = 0.0
+        for lo, hi in zip(c.offsets, c.offsets[1:], strict=False):
+            score = lambda path: np.prod([e[lo + k, s] for k, s in enumerate(path)]) * np.exp(sum(t[p, q] for p, q in zip(path, path[1:], strict=False)))
+            total -= np.log(score(c.y[lo:hi])) - np.log(sum(score(path) for path in np.ndindex(*([2] * (hi - lo)))))
+        return total / len(c.y)
+
+    gw, gt = language_id.gradient(c, w, t)
+    for value, grad in ((w, gw), (t, gt)):
+        for at in list(np.ndindex(value.shape))[:12]:
+            before = value[at]
+            value[at] = before + 1e-5
+            up = loss(w, t)
+            value[at] = before - 1e-5
+            down = loss(w, t)
+            value[at] = before
+            assert np.isclose(grad[at], (up - down) / 2e-5, atol=1e-6)
+
+
 def test_language_held_out_and_code_switching(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.train(docs, ~language_id.held_out())
