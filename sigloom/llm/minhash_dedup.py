@@ -8,14 +8,15 @@ lists are merged, and the other coordinates are counted for the pairs that met
 (skipped for all the rest).  Candidates are confirmed on full shingle sets.
 
 A pair at similarity 0.8 agrees in fewer than MATCHES coordinates with probability
-under 1e-5.  Equal sets are one class and post once.  Lists over LIGHT members are
-not paired: each member is compared with the list's pivot (its most typical member),
-and only members that stay outside the pivot's component are then compared with the
-whole list, block against block, without writing out the pairs.
+under 1e-5.  Equal sets are one class: a node that posts once.  Lists over LIGHT members
+are not paired: each member is compared with the list's pivot (its smallest node), and
+only members that stay outside the pivot's component are then compared with the whole
+list, block against block, without writing out the pairs.  The blocks of a list are dealt
+to tasks by runs of LEFT_BLOCKS, so a hot list is the work of many tasks.
 
 Defined cases: text that is null or without words has an empty set and links with
 nothing; fewer words than the shingle width form one shingle; rows that share a
-doc_id are one node, linked if any of their rows is; a null doc_id links with nothing
+doc_id are one document, linked if any of their texts is; a null doc_id links with nothing
 and has a null component; repeated rows are each returned; extra columns are ignored.
 """
 
@@ -35,6 +36,7 @@ K = 32
 MATCHES = 15
 LIGHT = 64
 BLOCK = 128
+LEFT_BLOCKS = 8
 SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)  # 0.8
 
@@ -83,15 +85,20 @@ def _sketch(width: int) -> Callable:
                 raw = total.tobytes()
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * K), pa.array(signature.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size, pa.int64()), pa.array([raw[16 * i : 16 * i + 16] for i in range(len(size))], pa.binary()), flat],
-                    names=["doc_id", "n_shingles", "digest", "signature"],
+                    [part.column("doc_id"), part.column("key"), pa.array(size, pa.int64()), pa.array([raw[16 * i : 16 * i + 16] for i in range(len(size))], pa.binary()), flat],
+                    names=["doc_id", "key", "n_shingles", "digest", "signature"],
                 )
 
     return run
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text, and a key that tells the texts of one doc_id apart."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text"))
+
+
 def sketches(documents: DataFrame, width: int) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(width), "doc_id long, n_shingles long, digest binary, signature array<long>")
+    return keyed(documents).mapInArrow(_sketch(width), "doc_id long, key long, n_shingles long, digest binary, signature array<long>")
 
 
 def _alike(a: F.Column, b: F.Column) -> F.Column:
@@ -226,18 +233,22 @@ def _residual(member: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     Lists are cut into blocks and blocks are compared with blocks inside tasks: first by
     signatures, which leaves the members that agree with anyone, then these by full sets.
     """
-    member = member.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)))
+    parts = F.ceil(F.col("members") / BLOCK)
+    member = member.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), parts))
 
     def sides(rows: DataFrame, payload: str) -> DataFrame:
-        packed = stored(rows.groupBy("key", "part").agg(F.collect_list(F.struct("node", "component", "open", payload)).alias("block")), "blocks")
-        left = packed.filter(F.exists("block", lambda x: x["open"])).select("key", F.col("part").alias("left_part"), F.col("block").alias("left"))
-        return left.join(packed.select("key", F.col("part").alias("right_part"), F.col("block").alias("right")), "key")
+        block = F.collect_list(F.struct("node", "component", "open", payload)).alias("block")
+        packed = stored(rows.groupBy("key", "part").agg(F.first("parts").alias("parts"), block), "blocks")
+        left = packed.filter(F.exists("block", lambda x: x["open"])).select("key", F.floor(F.col("part") / LEFT_BLOCKS).alias("run"), F.col("part").alias("left_part"), F.col("block").alias("left"))
+        runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("parts") - 1) / LEFT_BLOCKS))
+        right = packed.select("key", F.explode(runs).alias("run"), F.col("part").alias("right_part"), F.col("block").alias("right"))
+        return left.join(right, ["key", "run"]).drop("run")
 
     active = sides(member, "signature").mapInArrow(_active, "key long, part long, nodes array<long>")
     active = stored(active.groupBy("key", "part").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("nodes")), "active")
     m, n = member.drop("signature").alias("m"), active.alias("n")
     here = (F.col("m.key") == F.col("n.key")) & (F.col("m.part") == F.col("n.part")) & F.expr("array_contains(n.nodes, m.node)")
-    rows = m.join(n, here).select("m.*").join(texts.dropDuplicates(["node", "text"]), "node")
+    rows = m.join(n, here).select("m.*").join(texts, "node")
     return stored(sides(rows, "text").select("left", "right").mapInArrow(_block_links(width), "a long, b long"), "links")
 
 
@@ -245,7 +256,8 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE_WORDS) -> DataFra
     """(doc_id, n_shingles, component_id, kept), one row per row of documents."""
     sketch = stored(sketches(documents, width), "sketches")
     some = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
+    classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = stored(classes.select("*", F.monotonically_increasing_id().alias("node")), "classes")
     lists = stored(postings(classes), "postings")
     light, heavy = lists.filter(F.col("members") <= LIGHT), lists.filter(F.col("members") > LIGHT)
     a, b = (light.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
@@ -253,8 +265,8 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE_WORDS) -> DataFra
     stars = heavy.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     near = stored(agreeing(pairs.union(stars).distinct(), classes), "candidates")
     wanted = near.select("a").union(near.select("b")).union(heavy.select("node")).distinct().withColumnRenamed("a", "node")
-    texts = stored(documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi"), "texts")
-    same = some.join(classes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    sources = classes.join(wanted, "node", "left_semi").select("node", "first.doc_id", "first.key")
+    texts = stored(keyed(documents).join(sources, ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"]), "texts")
     # first each node with its smallest candidate; then only pairs that are not connected yet
     first = near.groupBy("b").agg(F.min("a").alias("a"))
     links = stored(confirmed(first, texts, width), "links")
@@ -272,9 +284,13 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE_WORDS) -> DataFra
     member = stored(member, "members")
     undecided = member.filter("open").select("key").distinct()
     if not undecided.isEmpty():
-        packed = member.join(undecided, "key", "left_semi").join(classes.groupBy("node").agg(F.first("signature").alias("signature")), "node")
+        packed = member.join(undecided, "key", "left_semi").join(classes.select("node", "signature"), "node")
         links = links.union(_residual(packed, texts, width))
-    component = connected(links.union(same))
+    # from classes to documents: links between first documents, and each row with the first of its class
+    for side in "ab":
+        links = links.join(classes.select(F.col("node").alias(side), F.col("first.doc_id").alias(f"doc_{side}")), side)
+    same = some.join(classes.select("digest", "first"), "digest").select(F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b")).filter("a <> b")
+    component = connected(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).union(same))
     return (
         sketch.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -50,6 +50,34 @@ def test_minhash_equals_brute_force(spark, monkeypatch, light, block):
     assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
 
 
+@pytest.mark.parametrize(("light", "block"), [(64, 128), (2, 4)])
+def test_minhash_ids_with_several_texts(spark, monkeypatch, light, block):
+    """Families of near copies over long lists; each id has a second, unrelated text."""
+    monkeypatch.setattr(minhash_dedup, "LIGHT", light)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    common, rows, families = [word() for _ in range(40)], [], 4
+    each = 90 if light == 64 else 20
+    for f in range(families):
+        base = common + [word() for _ in range(60)]
+        for i in range(each):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(100)] = word()
+            rows.append((f * each + i, " ".join(copy)))
+    rows += [(i, " ".join(word() for _ in range(30))) for i in range(families * each)]
+    sets = [{tuple(w[k : k + 2]) for k in range(len(w) - 1)} for w in (t.split() for _, t in rows)]
+    n = families * each
+    label = list(range(n))
+    link = [[10 * len(a & b) >= 8 * len(a | b) for b in sets[:n]] for a in sets[:n]]
+    while (new := [min(label[j] for j in range(n) if link[i][j]) for i in range(n)]) != label:
+        label = new
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {(r["doc_id"], r["component_id"]) for r in minhash_dedup.near_duplicates(docs, 2).collect()}
+    assert got == set(enumerate(label))
+
+
 def test_minhash_null_ids_repeats_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "x")], "doc_id long, text string")
     rows = minhash_dedup.near_duplicates(docs).collect()
