@@ -129,3 +129,52 @@ def test_embeddings_recall_and_odd_vectors(spark):
     assert [got[n + k]["n_links"] for k in (1, 2, 3, 4, 5, 8)] == [0] * 6
     assert (got[n + 7]["component_id"], got[n + 7]["n_links"]) == (n + 6, 1)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def _brute_links(vectors, labels, bar=0.98):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return (unit @ unit.T >= bar) & (labels[:, None] == labels[None]) & ~np.eye(len(vectors), dtype=bool)
+
+
+@pytest.mark.parametrize(("dimensions", "light"), [(16, 128), (64, 128), (64, 4), (8, 4)])
+def test_embedding_links_and_components(spark, monkeypatch, dimensions, light):
+    """Clusters of different vectors, ties, repeats; with small buckets in blocks too."""
+    monkeypatch.setattr(embedding_dedup, "LIGHT", light)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8 if light == 4 else 512)
+    rng = np.random.default_rng(dimensions)
+    base = rng.normal(size=(30, dimensions))
+    near = base[:, None] + rng.normal(size=(30, 8, dimensions)) * 0.13
+    one = base[0] + rng.normal(size=(60, dimensions)) * 0.1
+    vectors = np.concatenate([near.reshape(-1, dimensions), one, one[:5]])
+    labels = np.concatenate([np.arange(240) % 2, np.zeros(65, int)])
+    link = _brute_links(vectors, labels)
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(vectors, labels, strict=True))]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found, want = np.array([got[i]["n_links"] for i in range(len(rows))]), link.sum(1)
+    assert (found <= want).all()
+    assert found.sum() >= 0.95 * want.sum()
+    label = _components(len(rows), link)
+    assert np.mean([got[i]["component_id"] == label[i] for i in range(len(rows))]) >= 0.95
+    assert all(got[300 + i]["component_id"] == got[240 + i]["component_id"] for i in range(5))
+
+
+def test_unrelated_vectors_meet_about_linearly(spark):
+    """Four times the vectors do not make sixteen times the pairs that meet; few dimensions too."""
+    none = spark.createDataFrame([], "label string, d int, t int, key long")
+    for dimensions in (16, 64):
+        made = []
+        for n in (1000, 4000):
+            rng = np.random.default_rng(n)
+            df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(n, dimensions)))], "vec_id long, embedding array<double>, label int")
+            bits, tables = embedding_dedup.layout(n)
+            coded = embedding_dedup.encode(df, embedding_dedup.learn(df, bits * tables), bits)
+            classes = coded.withColumn("d", F.size("v")).withColumn("id", F.col("vec_id")).cache()
+            made.append(embedding_dedup.candidates(classes, none, bits, tables).count())
+        assert made[0] < 10 * 1000
+        assert made[1] < 10 * 4000, (dimensions, made)
+
+
+def test_embeddings_of_extreme_size(spark):
+    rows = [(1, [1e200, 2e200], "x"), (2, [1e-200, 2e-200], "x"), (3, [-1e200, 1.0], "x"), (4, [0.0, -0.0], "x")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
