@@ -1,15 +1,15 @@
-"""Column functions over security events; all built in but canonical JSON and IPv6."""
+"""Column functions over security events; all built in but IPv6."""
 
 from __future__ import annotations
 
 import ipaddress
-import json
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Kinds of events, and operations that change a file
 EVENT_TYPES = ("process", "file", "network", "auth", "other")
 MUTATING = ("write", "modify", "rename", "delete")
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -86,22 +86,50 @@ def process_key(name: Column, pid: Column, path: Column) -> Column:
     return F.concat_ws("|", F.lower(text(name, "unknown")), text(pid, "na"), F.lower(text(path, "")))
 
 
-def stable_event_id(*fields: str) -> Column:
-    """sha256 of a version tag and the row's canonical JSON (sorted keys) for a fixed set of fields."""
-    return F.sha2(F.concat(F.lit("v1|"), F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]))), 256)
+def _ascii(json: Column) -> Column:
+    """JSON text with every character outside the printable ASCII range as \\uXXXX (lower case, surrogate pairs)."""
+    four = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
 
+    def escaped(token: Column) -> Column:
+        n = F.ascii(token)
+        high, low = F.lit(0xD800) + F.shiftright(n - 0x10000, 10), F.lit(0xDC00) + (n - 0x10000).bitwiseAND(F.lit(0x3FF))
+        outside = F.when(n > 0xFFFF, F.concat(four(high), four(low))).otherwise(four(n))
+        return F.when(token.startswith("\\u"), F.lower(token)).when((F.char_length(token) == 1) & ((n < 32) | (n > 126)), outside).otherwise(token)
 
-@F.pandas_udf(T.StringType())
-def canonical_json(raw: pd.Series) -> pd.Series:
-    """Arbitrary JSON text with sorted keys and no blanks; null where it is no JSON."""
+    tokens = F.regexp_extract_all(json, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\.|."), 0)
+    return F.when(json.rlike(r"\\u|[^ -~]"), F.array_join(F.transform(tokens, escaped), "")).otherwise(json)
+
+
+def _sorted(value: Column, kind: T.DataType) -> Column:
+    """value with the fields of its structs and maps in order of their names."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        made = F.struct(*[_sorted(value.getField(f.name), f.dataType).alias(f.name) for f in fields])
+        return F.when(value.isNotNull(), made)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.transform(F.map_entries(value), lambda x: F.struct(x["key"].alias("key"), _sorted(x["value"], kind.valueType).alias("value")))))
+    return value
+
+
+def row_json(schema: T.StructType) -> Column:
+    """Canonical JSON of a row of this schema: sorted keys, no blanks, nulls kept, ASCII only.
+
+    Floats are written as Spark writes them.
+    """
+    fields = sorted(schema.fields, key=lambda f: f.name)
+    return _ascii(F.to_json(F.struct(*[_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]), {"ignoreNullFields": "false"}))
+
+
+def canonical_json(raw: Column) -> Column:
+    """Canonical form of JSON text (see row_json); null where it is no JSON or an object repeats a key."""
+    return _ascii(F.to_json(F.try_parse_json(raw)))
 
-    def one(text: str | None) -> str | None:
-        try:
-            return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except (TypeError, ValueError):
-            return None
 
-    return raw.map(one)
+def stable_event_id(json: Column, salt: str = "v1") -> Column:
+    """sha256 of a version tag and an event's canonical JSON."""
+    return F.sha2(F.concat(F.lit(f"{salt}|"), json), 256)
 
 
 def parse_to_utc(text: Column, ingest: Column) -> Column:

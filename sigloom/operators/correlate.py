@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import severity
@@ -29,17 +29,24 @@ def bruteforce(failures: DataFrame, least: int = 5, seconds: int = 120) -> DataF
     return rows.select("host", "src_ip", "event_id", "us", F.lit("T1110.001").alias("technique"))
 
 
-def union_layers(layers: list[tuple[str, Callable[[], DataFrame]]], columns: tuple[str, ...]) -> tuple[DataFrame | None, dict[str, str]]:
-    """All layers' signals in order, with their layer; a layer that cannot be planned is left out and reported."""
-    out, failed = None, {}
+def union_layers(events: DataFrame, layers: list[tuple[str, Callable[[], Column]]]) -> tuple[DataFrame, dict[str, str]]:
+    """All layers' signals in one pass over the events; a layer that cannot be planned is left out and reported.
+
+    A layer makes an array of structs (signal_type, score, tactic, technique).
+    """
+    columns = ("signal_type", "score", "tactic", "technique")
+    parts, failed = [], {}
     for name, make in layers:
         try:
-            part = make().select(*columns, F.lit(name).alias("layer"))
+            layer = F.lit(name).alias("layer")
+            hits = F.transform(make(), lambda h: F.struct(*[h[c].alias(c) for c in columns], layer))  # noqa: B023  called here
+            events.select(hits)
         except Exception as error:  # noqa: BLE001  a layer's failure is reported, not raised
             failed[name] = str(error).splitlines()[0]
             continue
-        out = part if out is None else out.unionByName(part)
-    return out, failed
+        parts.append(hits)
+    none = F.array().cast("array<struct<signal_type:string,score:double,tactic:string,technique:string,layer:string>>")
+    return events.select("event_id", "host", F.explode(F.concat(*parts) if parts else none).alias("s")).select("event_id", "host", "s.*"), failed
 
 
 def dedup(signals: DataFrame, step: float = 0.05) -> DataFrame:

@@ -42,17 +42,17 @@ def label_join(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def split(rows: DataFrame, share: float = 0.7, seed: int = 42) -> DataFrame:
     """`train` marks a stratified share, by hash order within each label.
 
-    Two labels make two window partitions; split_by_hash() is the form for many rows.
+    Rows are ranked within (label, head of the hash); the counts of these give each one's first rank.
     """
-    by = Window.partitionBy("label")
     place = F.sha2(F.concat_ws("|", *KEY, F.lit(str(seed))), 256)
-    rank = F.row_number().over(by.orderBy(place, *KEY))
-    return rows.withColumn("train", rank <= F.ceil(F.lit(share) * F.count("*").over(by)))
-
-
-def split_by_hash(rows: DataFrame, share: float = 0.7, seed: int = 42) -> DataFrame:
-    """Map-only split: each row by its own hash, the share of each label holds on average."""
-    return rows.withColumn("train", F.pmod(F.xxhash64(*KEY, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    placed = rows.withColumn("__place", place).withColumn("__head", F.substring("__place", 1, 3))
+    counts = placed.groupBy("label", "__head").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("label").orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)
+    first, total = F.coalesce(F.sum("__n").over(before), F.lit(0)), F.sum("__n").over(Window.partitionBy("label"))
+    counts = counts.select("label", "__head", first.alias("__first"), total.alias("__total"))
+    rank = F.row_number().over(Window.partitionBy("label", "__head").orderBy("__place", *KEY))
+    ranked = placed.withColumn("__rank", rank).join(counts, ["label", "__head"])
+    return ranked.select(*rows.columns, (F.col("__first") + F.col("__rank") <= F.ceil(F.lit(share) * F.col("__total"))).alias("train"))
 
 
 def _vector(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# selection -> needles, any of which is a substring of the field
+# selection -> needles, any of which is a substring of the field, or behind `re:` a pattern found in it
 PACKS: dict[str, dict[str, tuple[str, ...]]] = {
     "powershell_suspicious": {
         "execution": ("IEX", "Invoke-Expression", "-EncodedCommand", "-Exec Bypass", "Bypass"),
@@ -41,7 +41,7 @@ PACKS: dict[str, dict[str, tuple[str, ...]]] = {
         "chmod": ("chmod +s", "chmod 4755", "chmod 777 /tmp"),
         "chown": ("chown root:", "chown 0:0"),
         "cron": ("crontab -", "* * * * * curl", "/etc/cron.d/"),
-        "pipe_exec": ("| bash", "| sh"),
+        "pipe_exec": (r"re:curl.*\|.*bash", r"re:wget.*\|.*sh"),
         "reverse_shell": ("bash -i >& /dev/tcp", "nc -e /bin/bash"),
         "passwd": ("/etc/passwd", "/etc/shadow", "useradd -o -u 0"),
         "disable": ("setenforce 0", "ufw disable", "iptables -F"),
@@ -96,21 +96,42 @@ TASK_EVENTS = {
     "4702": (0.55, 0.50, "Scheduled Task Modified", "Persistence", "T1053.005"),
 }
 
-# parents -> children that they should not start
-SPAWN_GROUPS = (
-    (("winword", "excel"), ("powershell", "cmd", "wscript", "mshta")),
-    (("outlook",), ("powershell", "cmd")),
-    (("chrome", "firefox"), ("powershell",)),
-    (("iexplore",), ("powershell", "cmd")),
-    (("mshta", "regsvr32"), ("powershell", "cmd")),
-    (("wscript", "cscript", "rundll32"), ("powershell",)),
-    (("services", "lsass"), ("cmd",)),
-    (("svchost", "msiexec"), ("cmd", "powershell")),
-    (("taskeng",), ("powershell",)),
-    (("wmiprvse",), ("powershell", "cmd", "wscript")),
-    (("sqlservr",), ("cmd", "powershell")),
+# (parent, child that it should not start)
+SPAWN_PAIRS = (
+    ("winword.exe", "powershell.exe"),
+    ("winword.exe", "cmd.exe"),
+    ("winword.exe", "wscript.exe"),
+    ("winword.exe", "mshta.exe"),
+    ("excel.exe", "powershell.exe"),
+    ("excel.exe", "cmd.exe"),
+    ("excel.exe", "wscript.exe"),
+    ("excel.exe", "mshta.exe"),
+    ("outlook.exe", "powershell.exe"),
+    ("outlook.exe", "cmd.exe"),
+    ("chrome.exe", "powershell.exe"),
+    ("firefox.exe", "powershell.exe"),
+    ("iexplore.exe", "powershell.exe"),
+    ("iexplore.exe", "cmd.exe"),
+    ("mshta.exe", "powershell.exe"),
+    ("mshta.exe", "cmd.exe"),
+    ("wscript.exe", "powershell.exe"),
+    ("cscript.exe", "powershell.exe"),
+    ("rundll32.exe", "powershell.exe"),
+    ("regsvr32.exe", "powershell.exe"),
+    ("regsvr32.exe", "cmd.exe"),
+    ("services.exe", "cmd.exe"),
+    ("lsass.exe", "cmd.exe"),
+    ("svchost.exe", "cmd.exe"),
+    ("svchost.exe", "powershell.exe"),
+    ("taskeng.exe", "powershell.exe"),
+    ("msiexec.exe", "powershell.exe"),
+    ("msiexec.exe", "cmd.exe"),
+    ("wmiprvse.exe", "powershell.exe"),
+    ("wmiprvse.exe", "cmd.exe"),
+    ("wmiprvse.exe", "wscript.exe"),
+    ("sqlservr.exe", "cmd.exe"),
+    ("sqlservr.exe", "powershell.exe"),
 )
-SPAWN_PAIRS = tuple((f"{p}.exe", f"{c}.exe") for parents, children in SPAWN_GROUPS for p in parents for c in children)
 
 # local AI servers: (process, port); two share port 8080
 AI_SERVERS = (("ollama", 11434), ("lm studio", 1234), ("llama-server", 8080), ("localai", 8080), ("vllm", 8000))

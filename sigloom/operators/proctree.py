@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.operators.rules import spawn_suspect
@@ -26,17 +26,35 @@ def children(with_parents: DataFrame) -> DataFrame:
     return each.groupBy("parent").agg(F.sum("n").alias("n_children"), F.sort_array(F.collect_list("image")).alias("child_images"))
 
 
-def ancestors(tree: DataFrame, depth: int = 10) -> DataFrame:
-    """(host, pid, chain): ancestors' pids from oldest to nearest; stops at depth and at a pid seen before."""
-    edges = tree.select("host", F.col("pid").alias("at"), F.col("ppid").alias("up"))
-    known = tree.select("host", F.col("pid").alias("up"))
-    edges = edges.join(known, ["host", "up"], "left_semi")
-    rows = tree.select("host", "pid", F.col("pid").alias("at"), F.array().cast("array<bigint>").alias("chain"))
-    for _ in range(depth):
-        step = rows.join(edges, ["host", "at"], "left")
-        grow = F.col("up").isNotNull() & ~F.array_contains("chain", F.col("up")) & (F.col("up") != F.col("pid"))
-        rows = step.select("host", "pid", F.when(grow, F.col("up")).alias("at"), F.when(grow, F.concat(F.array("up"), F.col("chain"))).otherwise(F.col("chain")).alias("chain"))
-    return rows.select("host", "pid", "chain")
+def ancestors(tree: DataFrame, scratch: str, depth: int = 10) -> DataFrame:
+    """(host, pid, chain): ancestors' pids from oldest to nearest; stops at depth and at a pid seen before.
+
+    The nodes are written below `scratch` once, then each round doubles the length of the known
+    chains; chains that ended are out of the joins.
+    """
+    spark = tree.sparkSession
+    write = lambda df, name: (df.write.parquet(f"{scratch}/{name}"), spark.read.schema(df.schema).parquet(f"{scratch}/{name}"))[1]
+    nodes_ = write(tree.select("host", "pid", "ppid"), "nodes")
+    known = nodes_.select("host", F.col("pid").alias("ppid"), F.lit(True).alias("known"))
+    # nearest ancestor first; `top` is the last one while it may have one itself
+    start = nodes_.join(known, ["host", "ppid"], "left")
+    none = F.array().cast("array<bigint>")
+    chains = start.select("host", "pid", F.when(F.col("known"), F.array("ppid")).otherwise(none).alias("up"), F.when(F.col("known"), F.col("ppid")).alias("top"))
+    length, round_ = 1, 0
+    while length < depth:
+        chains = write(chains, f"chains-{round_}")
+        more = chains.filter("size(up) > 0").select("host", F.col("pid").alias("top"), F.col("up").alias("further"), F.col("top").alias("end"))
+        grown = chains.filter("top IS NOT NULL").join(more, ["host", "top"], "left")
+        grown = grown.select("host", "pid", F.concat("up", F.coalesce("further", none)).alias("up"), "end")
+        chains = grown.withColumnRenamed("end", "top").unionByName(chains.filter("top IS NULL"))
+        length, round_ = 2 * length, round_ + 1
+
+    def step(state, pid):
+        again = state["done"] | F.array_contains(state["chain"], pid) | (pid == F.col("pid"))
+        return F.struct(F.when(again, state["chain"]).otherwise(F.concat(F.array(pid), state["chain"])).alias("chain"), again.alias("done"))
+
+    cut = F.aggregate(F.slice("up", 1, depth), F.struct(none.alias("chain"), F.lit(False).alias("done")), step, lambda s: s["chain"])
+    return chains.select("host", "pid", cut.alias("chain"))
 
 
 def spawn_report(events: DataFrame, tree: DataFrame) -> DataFrame:
@@ -45,6 +63,3 @@ def spawn_report(events: DataFrame, tree: DataFrame) -> DataFrame:
     rows = events.filter(F.col("image").isNotNull()).join(above, ["host", "pid"]).drop("parent_image").withColumnRenamed("__parent", "parent_image")
     return spawn_suspect(rows).select("event_id", "host", "parent", "child", "command_line", "username", "score")
 
-
-def tree_depth(chains: DataFrame) -> DataFrame:
-    return chains.withColumn("depth", F.size("chain")).withColumn("deepest", F.max("depth").over(Window.partitionBy("host")))

@@ -11,9 +11,11 @@ KEY = ("process_name", "pid")
 # Extensions, shadow-copy commands, ports and weights of the behaviour signal
 REPORT_EXTENSIONS = ("locked", "encrypted", "enc", "crypt")
 SIGNAL_EXTENSIONS = ("encrypted", "enc", "locked", "crypt", "crypto", "vault", "zepto", "locky", "cerber", "wnry")
+USUAL_EXTENSIONS = ("docx", "xlsx", "pptx", "pdf", "txt", "csv", "log", "tmp", "jpg", "png", "json", "xml", "html", "dll", "exe", "db")  # a decision: files that one program often changes alone
 SHADOW_COMMANDS = ("vssadmin delete shadows", "wmic shadowcopy delete", "wbadmin delete catalog", "bcdedit /set {default} recoveryenabled no", "bcdedit /set {default} bootstatuspolicy ignoreallfailures")
 C2_PORTS = (4444, 1337, 8080, 9999)
 WEIGHTS = {"mass_file_write": 0.40, "suspicious_extension": 0.30, "vss_deletion": 0.40, "c2_network": 0.25}
+EXTENSION_SHARE = 0.2
 FACTORS = ("high_burst_file_activity", "slow_mass_encryption_pattern", "suspicious_extensions_pattern", "external_network_activity_during_encryption", "abnormal_process_location_for_mass_file_access", "elevated_integrity_with_non_system_path", "wide_directory_spread")
 
 
@@ -29,12 +31,28 @@ def file_events(events: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return rows.withColumn("path", slashed(F.col("file_path"))).withColumn("mutating", is_mutating(F.col("operation"), F.col("file_path")))
 
 
+SPANS = 16  # a time bucket is so many windows wide
+
+
+def anchored(rows: DataFrame, seconds: int, key: tuple[str, ...] = KEY) -> DataFrame:
+    """rows with `anchor`: the first event at most `seconds` before an event, among those of its key.
+
+    Keys are cut into time buckets, and the end of a bucket is seen by the next one too, so a busy
+    process is the work of many tasks.
+    """
+    width = seconds * 1_000_000
+    span = SPANS * width
+    bucket = F.floor(F.col("us") / span)
+    ending = F.pmod("us", F.lit(span)) >= span - width
+    dealt = rows.withColumn("__bucket", F.explode(F.when(ending, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))))
+    anchor = F.first("us").over(Window.partitionBy(*key, "__bucket").orderBy("us").rangeBetween(-width, 0))
+    return dealt.withColumn("anchor", anchor).filter(F.col("__bucket").eqNullSafe(bucket)).drop("__bucket")
+
+
 def consumed_windows(rows: DataFrame, seconds: int, key: tuple[str, ...] = KEY) -> DataFrame:
     """Windows in which each event is counted once: an event belongs to the first event at most
     `seconds` before it.  Columns: key, anchor, n (changed files), seg_end."""
-    width = seconds * 1_000_000
-    anchor = F.first("us").over(Window.partitionBy(*key).orderBy("us").rangeBetween(-width, 0))
-    return rows.withColumn("anchor", anchor).groupBy(*key, "anchor").agg(F.count_distinct(F.when(F.col("mutating"), F.col("path"))).alias("n"), F.max("us").alias("seg_end"))
+    return anchored(rows, seconds, key).groupBy(*key, "anchor").agg(F.count_distinct(F.when(F.col("mutating"), F.col("path"))).alias("n"), F.max("us").alias("seg_end"))
 
 
 def burst_consume_once(rows: DataFrame, seconds: int = 60, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -58,15 +76,23 @@ def burst_sliding(rows: DataFrame, seconds: int = 60, key: tuple[str, ...] = KEY
     start = F.greatest(F.coalesce(F.col("before") + 1, F.col("us") - width), F.col("us") - width)
     steps = spans.select(*key, F.explode(F.array(F.struct(start.alias("at"), F.lit(1).alias("d")), F.struct((F.col("us") + 1).alias("at"), F.lit(-1).alias("d")))).alias("s"))
     steps = steps.groupBy(*key, F.col("s.at").alias("at")).agg(F.sum("s.d").alias("d"))
-    level = F.sum("d").over(Window.partitionBy(*key).orderBy("at"))
-    return steps.withColumn("level", level).groupBy(*key).agg(F.max("level").alias("max_unique"))
+    # running sums within time buckets, then over the buckets' totals
+    bucket = F.floor(F.col("at") / (SPANS * width)).alias("bucket")
+    steps = steps.select(*key, bucket, "at", "d").withColumn("level", F.sum("d").over(Window.partitionBy(*key, "bucket").orderBy("at")))
+    buckets = steps.groupBy(*key, "bucket").agg(F.max("level").alias("peak"), F.sum("d").alias("d"))
+    before = F.coalesce(F.sum("d").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return buckets.withColumn("level", before + F.col("peak")).groupBy(*key).agg(F.max("level").alias("max_unique"))
+
+
+def last_seen(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    return rows.groupBy(*key).agg(F.max("us").alias("last_us"))
 
 
 def long_window_files(rows: DataFrame, minutes: int = 10, key: tuple[str, ...] = KEY) -> DataFrame:
     """Distinct changed files in the last minutes of each process's file activity."""
-    last = F.max("us").over(Window.partitionBy(*key))
-    late = F.col("mutating") & (F.col("us") >= F.col("last") - minutes * 60_000_000)
-    return rows.withColumn("last", last).groupBy(*key).agg(F.count_distinct(F.when(late, F.col("path"))).alias("long_files"))
+    files = rows.groupBy(*key, "path").agg(F.max(F.when(F.col("mutating"), F.col("us"))).alias("changed"))
+    late = F.col("changed") >= F.col("last_us") - minutes * 60_000_000
+    return files.join(last_seen(rows, key), list(key)).groupBy(*key).agg(F.count(F.when(late, F.col("path"))).alias("long_files"))
 
 
 def file_touch_stats(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -78,7 +104,7 @@ def file_touch_stats(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return by_folder.groupBy(*key).agg(F.sum("files").alias("unique_files"), F.count("folder").alias("directory_spread"), F.min("lo").alias("first_us"), F.max("hi").alias("last_us"))
 
 
-def suspicious_extensions(rows: DataFrame, share: float = 0.2, key: tuple[str, ...] = KEY) -> DataFrame:
+def suspicious_extensions(rows: DataFrame, share: float = EXTENSION_SHARE, key: tuple[str, ...] = KEY) -> DataFrame:
     """Per process, the listed or long extensions that make up a share of its extensions."""
     counts = rows.withColumn("extension", extension(F.col("path"))).filter("extension <> ''").groupBy(*key, "extension").agg(F.count("*").alias("n"))
     counts = counts.withColumn("ratio", F.col("n") / F.sum("n").over(Window.partitionBy(*key)))
@@ -133,6 +159,7 @@ def risk_factors(rows: DataFrame, burst: int = 40, long: int = 200, spread: int
 
 def recommended_actions(score: Column) -> Column:
     names = lambda *x: F.array(*[F.lit(v) for v in x])
+    # Names of the actions
     return (
         F.when(score >= 0.85, names("kill_process", "isolate_host", "block_network", "alert_human", "preserve_forensics"))
         .when(score >= 0.6, names("alert_human", "increase_monitoring", "collect_additional_logs"))
@@ -142,14 +169,69 @@ def recommended_actions(score: Column) -> Column:
 
 
 def process_profile(events: DataFrame, burst_seconds: int = 60, long_minutes: int = 10, key: tuple[str, ...] = KEY) -> DataFrame:
-    """All statistics of each process that has file events, before scoring."""
-    rows = file_events(events, key)
-    out = burst_consume_once(rows, burst_seconds, key)
-    for part in (long_window_files(rows, long_minutes, key), file_touch_stats(rows, key)):
-        out = out.join(part, list(key))
-    for part in (suspicious_extensions(rows, key=key), outbound_external(events, key=key), process_metadata(events, key)):
-        out = out.join(part, list(key), "left")
-    return location_flags(out)
+    """All statistics of each process that has file events, before scoring.
+
+    One chain over the events: anchors of the bursts, then rows of (process, window, path), of
+    (process, path), of (process, directory or extension) and of processes.  Every step combines
+    before its shuffle and none deals rows by the process alone until few are left.  The time of a
+    process's last file event comes from a second, narrow read.
+    """
+    k = list(key)
+    rows = keyed(events, key)
+    file = F.coalesce("event_type", F.lit("file")) == "file"
+    outbound = (F.col("event_type") == "network") & (F.lower("direction") == "outbound") & (F.coalesce("dest_ip", F.lit("")) != "") & ~is_private_ip(F.col("dest_ip"))
+    given = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("us", "event_id", c))
+    slim = rows.select(
+        *key,
+        "us",
+        file.alias("file"),
+        F.when(file, slashed(F.col("file_path"))).alias("path"),
+        (file & is_mutating(F.col("operation"), F.col("file_path"))).alias("mutating"),
+        F.when(outbound, F.struct("us", "event_id", "dest_ip", "dest_port", "protocol")).alias("connection"),
+        given("process_path").alias("process_path"),
+        given("integrity_level").alias("integrity_level"),
+    )
+    where = (*key, "file")
+    firsts = [F.min("process_path").alias("process_path"), F.min("integrity_level").alias("integrity_level")]
+    joined = F.flatten(F.collect_list("outbound")).alias("outbound")
+    # a window's changed files; each path once
+    parts = anchored(slim, burst_seconds, where).groupBy(*where, F.when(F.col("file"), F.col("anchor")).alias("anchor"), "path").agg(
+        F.max("mutating").cast("int").alias("changed"), F.max(F.when(F.col("mutating"), F.col("us"))).alias("changed_us"), F.min("us").alias("lo"), F.max("us").alias("hi"), F.count("*").alias("n"), F.collect_list("connection").alias("outbound"), *firsts
+    )
+    parts = parts.withColumn("burst", F.sum(F.when(F.col("path").isNotNull(), F.col("changed"))).over(Window.partitionBy(*where, "anchor")))
+    paths = parts.groupBy(*where, "path").agg(F.max("burst").alias("burst"), F.max("changed_us").alias("changed_us"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), joined, *firsts)
+    last = last_seen(rows.filter(file), key)
+    late = F.when(F.col("file") & F.col("path").isNotNull() & (F.col("changed_us") >= F.col("last_us") - long_minutes * 60_000_000), 1)
+    folder = F.when(F.instr("path", "/") > 0, directory(F.col("path")))
+    kinds = F.array(F.struct(F.lit("folder").alias("kind"), folder.alias("value")), F.struct(F.lit("extension").alias("kind"), extension(F.col("path")).alias("value")))
+    paths = paths.join(last, k).select("*", late.alias("late"), F.when(F.col("path") != "", 1).alias("named"))
+    # the two kinds share a path's rows: sums, lists and firsts count with the folder alone
+    spread = paths.select(*where, "burst", "late", "named", "lo", "hi", "n", "outbound", *("process_path", "integrity_level"), F.explode(F.when(F.col("file"), kinds).otherwise(F.slice(kinds, 1, 1))).alias("of"))
+    once = F.col("of.kind") == "folder"
+    values = spread.groupBy(*where, "of").agg(
+        F.max("burst").alias("burst"), F.sum("late").alias("late"), F.sum("named").alias("named"), F.min(F.when(F.col("file"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("file"), F.col("hi"))).alias("hi"),
+        F.sum("n").alias("n"), F.flatten(F.collect_list(F.when(once, F.col("outbound")))).alias("outbound"), *firsts,
+    )
+    mine = lambda c: F.sum(F.when(once & F.col("file"), F.col(c)))
+    item = F.when(~once & (F.col("of.value") != ""), F.struct(F.col("of.value").alias("extension"), F.col("n").alias("count")))
+    out = values.groupBy(*key).agg(
+        F.max(F.when(F.col("file"), F.coalesce("burst", F.lit(0)))).alias("max_burst"),
+        F.coalesce(mine("late"), F.lit(0)).alias("long_files"),
+        F.coalesce(mine("named"), F.lit(0)).alias("unique_files"),
+        F.count(F.when(once & F.col("file"), F.col("of.value"))).alias("directory_spread"),
+        F.min("lo").alias("first_us"),
+        F.max("hi").alias("last_us"),
+        F.collect_list(item).alias("extensions"),
+        F.sort_array(F.flatten(F.collect_list("outbound"))).alias("outbound"),
+        F.min("process_path")["process_path"].alias("process_path"),
+        F.min("integrity_level")["integrity_level"].alias("integrity_level"),
+    )
+    total = F.aggregate("extensions", F.lit(0).cast("long"), lambda s, x: s + x["count"])
+    shares = F.transform("extensions", lambda x: F.struct(x["extension"].alias("extension"), x["count"].alias("count"), (x["count"] / total).alias("ratio")))
+    odd = F.filter(shares, lambda x: ((F.length(x["extension"]) > 5) | x["extension"].isin(*REPORT_EXTENSIONS)) & (x["ratio"] >= EXTENSION_SHARE))
+    rounded = F.sort_array(F.transform(odd, lambda x: F.struct(x["extension"].alias("extension"), x["count"].alias("count"), F.round(x["ratio"], 6).alias("ratio"))))
+    out = out.filter("first_us IS NOT NULL").withColumn("suspicious_extensions", F.when(F.size(rounded) > 0, rounded)).drop("extensions")
+    return location_flags(out.withColumn("n_outbound", F.size("outbound").cast("long")))
 
 
 def process_report(events: DataFrame, burst_seconds: int = 60, long_minutes: int = 10, burst: int = 40, long: int = 200, least: float = 0.15, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -174,8 +256,12 @@ def ransomware_signal(events: DataFrame, seconds: int = 60, more_than: int = 20)
     public = F.max(outward & ~is_private_ip(F.col("dest_ip")))
     odd_port = F.max(network & F.col("dest_port").isin(*C2_PORTS))
     privileged = F.max(outward & (F.lower("protocol") == "tcp") & (F.lower("integrity_level") == "high"))
+    changed = (F.coalesce("event_type", F.lit("file")) == "file") & is_mutating(F.col("operation"), F.col("file_path"))
+    suffix = F.when(changed, extension(F.col("file_path")))
+    # the alternative to a listed extension: one extension on all of many changed files, and not a usual one
+    repeated = (F.count(suffix) > more_than) & (F.min(suffix) == F.max(suffix)) & ~F.max(suffix).isin("", *USUAL_EXTENSIONS)
     flags = named.groupBy(*key).agg(
-        F.max(extension(F.col("file_path")).isin(*SIGNAL_EXTENSIONS)).alias("ext"),
+        (F.max(F.coalesce(extension(F.col("file_path")).isin(*SIGNAL_EXTENSIONS), F.lit(False))) | F.coalesce(repeated, F.lit(False))).alias("ext"),
         F.max(shadow).alias("vss"),
         public.alias("public"),
         odd_port.alias("odd_port"),

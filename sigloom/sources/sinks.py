@@ -18,3 +18,13 @@ def write_artifacts(path: str, events: DataFrame, signals: DataFrame, alerts: Da
 def report(processes: DataFrame, **parameters: object) -> DataFrame:
     """Process rows as JSON with the run's parameters; rows stay distributed."""
     return processes.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(parameters.items())], F.struct(*processes.columns).alias("process"))).alias("value"))
+
+
+def document(processes: DataFrame, most: int = 10_000, **parameters: object) -> DataFrame:
+    """One JSON document of the run's parameters and all processes, for small results: more than
+    `most` rows are an error, as one document is one row's value."""
+    rows = F.sort_array(F.collect_list(F.struct(*processes.columns)))
+    n = F.count("*")
+    checked = F.when(n > most, F.raise_error(F.concat(n.cast("string"), F.lit(f" processes are too many for one document of {most}")))).otherwise(rows)
+    made = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(parameters.items())], F.col("suspicious_processes")))
+    return processes.agg(checked.alias("suspicious_processes")).select(made.alias("value"))

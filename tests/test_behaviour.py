@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 
 import pytest
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import scalars
 from sigloom.operators import correlate, learning, packs, proctree, ransomware, reports, rules
+from sigloom.sources import parsers, sinks
+from sigloom.streaming import jobs
 
 S = 1_000_000
 
@@ -102,16 +106,17 @@ def test_bruteforce_boundary(spark):
 
 
 def test_failing_layer_is_reported(spark):
-    df = spark.createDataFrame([("e", 0.5)], "event_id string, score double")
-    out, failed = correlate.union_layers([("good", lambda: df), ("bad", lambda: df.select("missing"))], ("event_id", "score"))
-    assert out.count() == 1
+    df = spark.createDataFrame([("e", "h", 0.5)], "event_id string, host string, score double")
+    hit = lambda score: F.array(F.struct(F.lit("t").alias("signal_type"), score.alias("score"), F.lit("").alias("tactic"), F.lit("T1").alias("technique")))
+    out, failed = correlate.union_layers(df, [("good", lambda: hit(F.col("score"))), ("bad", lambda: hit(F.col("missing")))])
+    assert [tuple(r) for r in out.collect()] == [("e", "h", "t", 0.5, "", "T1", "good")]
     assert list(failed) == ["bad"]
 
 
-def test_ancestors_stop_at_a_cycle_and_at_depth(spark):
+def test_ancestors_stop_at_a_cycle_and_at_depth(spark, tmp_path):
     rows = [("h", 1, 2), ("h", 2, 1), *[("g", i, i - 1) for i in range(1, 15)]]
     df = spark.createDataFrame(rows, "host string, pid long, ppid long")
-    got = {(r["host"], r["pid"]): r["chain"] for r in proctree.ancestors(df).collect()}
+    got = {(r["host"], r["pid"]): r["chain"] for r in proctree.ancestors(df, f"file://{tmp_path}/t").collect()}
     assert got[("h", 1)] == [2]
     assert got[("g", 3)] == [1, 2]
     assert got[("g", 14)] == list(range(4, 14))
@@ -162,3 +167,123 @@ def test_every_process_is_ranked(spark):
     order = [(-r["probability"], r["process_name"], r["pid"]) for r in got]
     assert order == sorted(order)
     assert [r["pid"] for r in learning.rank(model, rows, top=5).orderBy("rank").collect()] == [r["pid"] for r in got[:5]]
+
+
+ODD = ["plain", "höst \U0001f5a5", 'q"uo\\te/', "tab\t nl\n bell\x07 esc\x1b del\x7f", "\\u000B", "", None, "\u2028 日本"]
+
+
+def _id(value):
+    return hashlib.sha256(b"v1|" + json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_event_ids_equal_a_recomputation(spark):
+    """Nulls, nested fields, escapes and text beyond ASCII, from columns and from raw lines."""
+    rows = [(i, t, (t, [t, "z"], i % 2 == 0)) for i, t in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "z long, B string, a struct<y:string,x:array<string>,b:boolean>")
+    want = {i: _id({"z": i, "B": t, "a": {"y": t, "x": [t, "z"], "b": i % 2 == 0}}) for i, t in enumerate(ODD)}
+    assert {r["z"]: r["id"] for r in df.select("z", scalars.stable_event_id(scalars.row_json(df.schema)).alias("id")).collect()} == want
+    events = [{"timestamp": "2024-01-01T00:00:00", "host": t, "x": {"k": [t, None, 2]}, "pid": i} for i, t in enumerate(ODD)]
+    lines = spark.createDataFrame([(json.dumps(e, ensure_ascii=bool(i % 2)),) for i, e in enumerate(events)], "value string")
+    got = parsers.normalized(parsers.jsonl(lines).drop("malformed")).select("process.pid", "event_id").collect()
+    assert {r["pid"]: r["event_id"] for r in got} == {e["pid"]: _id(e) for e in events}
+    # events that differ in one field only have different ids
+    near = spark.createDataFrame([("h", 1, "write"), ("h", 1, "rename")], "host string, pid long, operation string")
+    assert parsers.normalized(near).select("event_id").distinct().count() == 2
+
+
+def test_pipe_rule_needs_no_blank(spark):
+    texts = {"curl http://x |bash": True, "wget -q http://x|sh": True, "ls | bash": False, "curl http://x": False}
+    df = spark.createDataFrame([(t, "h", t) for t in texts], "event_id string, host string, command_line string")
+    hits = {r["event_id"] for r in rules.sigma_match(df, "linux_suspicious").filter("array_contains(selections, 'pipe_exec')").collect()}
+    assert hits == {t for t, hit in texts.items() if hit}
+
+
+def test_profile_equals_its_parts(spark):
+    """The one-chain profile against the separate statistics, on random events of busy and quiet processes."""
+    rng = random.Random(12)
+    paths = [f"C:\\d{i % 4}\\f{i}" + rng.choice(["", ".locked", ".docx", ".encrypted"]) for i in range(30)] + ["", None, "noslash.txt"]
+    rows = []
+    for i in range(1500):
+        kind = rng.choice(["file", "file", "network", None, "process"])
+        rows.append((f"e{i}", rng.choice(["busy", "busy", "busy", "a", "b", None]), rng.choice([1, 2]), rng.randrange(4000) * S, kind, rng.choice(["write", "MODIFY", "open", None]), rng.choice(paths), rng.choice(["", None, "C:\\temp\\x.exe"]), rng.choice(["High", "", None]), rng.choice(["outbound", "inbound"]), rng.choice(["8.8.8.8", "10.0.0.1", "", None]), 80, "tcp"))
+    df = spark.createDataFrame(rows, "event_id string, process_name string, pid int, us long, event_type string, operation string, file_path string, process_path string, integrity_level string, direction string, dest_ip string, dest_port int, protocol string")
+    files = ransomware.file_events(df)
+    want = ransomware.burst_consume_once(files)
+    for part in (ransomware.long_window_files(files), ransomware.file_touch_stats(files)):
+        want = want.join(part, ["process_name", "pid"])
+    for part in (ransomware.suspicious_extensions(files), ransomware.outbound_external(df), ransomware.process_metadata(df)):
+        want = want.join(part, ["process_name", "pid"], "left")
+    columns = ["process_name", "pid", "max_burst", "long_files", "unique_files", "directory_spread", "first_us", "last_us", "suspicious_extensions", "n_outbound", "outbound", "process_path", "integrity_level"]
+    got = {tuple(r)[:2]: r.asDict(True) for r in ransomware.process_profile(df).select(columns).collect()}
+    assert len(got) >= 4
+    assert got == {tuple(r)[:2]: r.asDict(True) for r in want.select(columns).collect()}
+    # windows by brute force
+    changed = {}
+    for e in rows:
+        if e[1] == "busy" and e[2] == 1 and e[4] in ("file", None):
+            changed.setdefault(e[3], []).append((e[6] or "").replace("\\", "/") if (e[5] or "").lower() in ("write", "modify") and e[6] else None)
+    windows = {}
+    for us in changed:
+        windows.setdefault(min(t for t in changed if us - 60 * S <= t <= us), set()).update(p for p in changed[us] if p)
+    assert got["busy", 1]["max_burst"] == max(map(len, windows.values()))
+
+
+def test_six_factors(spark):
+    row = spark.createDataFrame([("p", 1, 50, 300, 1, True, False, 9)], "process_name string, pid int, max_burst int, long_files int, n_outbound int, abnormal_location boolean, elevated_integrity boolean, directory_spread int").withColumn("suspicious_extensions", F.array(F.lit("x")))
+    six, seven = (ransomware.risk_factors(row, spread=s).first() for s in (None, 3))
+    assert (len(six["risk_factors"]), six["risk_score"]) == (5, 5 / 6)
+    assert (len(seven["risk_factors"]), seven["risk_score"]) == (6, 6 / 7)
+
+
+def test_one_repeated_extension_signals(spark):
+    rows = [(f"e{i}", "h", p, 1, "x", i * 100 * S, "file", "write", f"/d/f{i}.{ext or i % 2}", None, None, None, None, None, None) for p, ext in (("odd", "qqq"), ("usual", "docx"), ("mixed", None)) for i in range(25)]
+    df = spark.createDataFrame(rows, "event_id string, host string, process_name string, pid int, process_path string, us long, event_type string, operation string, file_path string, command_line string, direction string, dest_ip string, dest_port int, protocol string, integrity_level string")
+    got = {r["process_key"]: r["risk_factors"] for r in ransomware.ransomware_signal(df).collect()}
+    assert got == {"odd|1|x": ["suspicious_extension"]}
+
+
+def test_forest_and_ranks(spark):
+    rng = random.Random(3)
+    rows = [(f"p{i}", i, float(i % 2), i % 2, *[rng.random() for _ in range(len(learning.FEATURES) - 1)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "process_name string, pid int, risk_score double, label int, " + ", ".join(f"{f} double" for f in learning.FEATURES[1:]))
+    parts = learning.split(df)
+    assert {r["label"]: r["n"] for r in parts.filter("train").groupBy("label").agg(F.count("*").alias("n")).collect()} == {0: 42, 1: 42}
+    assert parts.columns == [*df.columns, "train"]
+    model = learning.train(parts.filter("train"), trees=30)
+    found = {r["feature"]: r["importance"] for r in learning.importances(model).collect()}
+    assert abs(sum(found.values()) - 1) < 1e-9
+    assert max(found, key=found.get) == "risk_score"
+    ranked = learning.rank(model, df).select("process_name", "pid", "probability", "predicted", "rank", "label").collect()
+    assert sorted(r["rank"] for r in ranked) == list(range(1, 121))
+    assert [r["rank"] for r in sorted(ranked, key=lambda r: (-r["probability"], r["process_name"], r["pid"]))] == list(range(1, 121))
+    assert all(r["predicted"] == (r["label"] == 1) for r in ranked)
+    assert [r["rank"] for r in learning.rank(model, df, 5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_tactic_places_are_those_of_one_window(spark):
+    rng = random.Random(6)
+    rows = [(f"sig-{rng.randrange(16**6):06x}{i}", rng.choice(["A", "B", "", None]), rng.choice([0.5, 0.7, 0.9])) for i in range(600)]
+    df = spark.createDataFrame(rows, "signal_id string, tactic string, score double")
+    got = {r["signal_id"]: (r["tactic"], r["place"], r["n_tactic"]) for r in reports.by_tactic(df).collect()}
+    for tactic in ("A", "B", "Unknown"):
+        mine = sorted((-s, i) for i, t, s in rows if (t or "Unknown") == tactic)
+        assert [got[i] for _, i in mine] == [(tactic, k, len(mine)) for k in range(1, len(mine) + 1)]
+
+
+def test_document_of_few_processes_only(spark):
+    df = spark.createDataFrame([("p", 1), ("q", 2)], "process_name string, pid int")
+    made = json.loads(sinks.document(df, min_risk_score=0.15).first()[0])
+    assert made == {"min_risk_score": 0.15, "suspicious_processes": [{"process_name": "p", "pid": 1}, {"process_name": "q", "pid": 2}]}
+    assert json.loads(sinks.document(df.limit(0)).first()[0]) == {"suspicious_processes": []}
+    with pytest.raises(Exception, match="too many"):
+        sinks.document(df, most=1).collect()
+
+
+def test_episodes_close_after_the_gap(spark, tmp_path):
+    rows = [("h", "a", t) for t in (0, 60, 170, 500, 510)] + [("h", "b", 5000)]
+    df = spark.createDataFrame(rows, "host string, src_ip string, s long").select("host", "src_ip", F.timestamp_seconds("s").alias("ts"))
+    df.write.parquet(f"{tmp_path}/in")
+    stream = jobs.episodes(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
+    jobs.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").select(F.unix_seconds("session_window.start"), F.unix_seconds("session_window.end"), "n")
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 290, 3), (500, 630, 2)]
