@@ -6,7 +6,6 @@ megabytes so that a task's memory follows the slice, not the partition.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,12 +19,9 @@ BASE2 = 0xC2B2AE3D27D4EB4F | 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); set here only where unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return found.rstrip("/") if found else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def release(spark: SparkSession) -> None:
@@ -34,11 +30,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there."""
+def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write df as a table in the shared folder, partitioned by parts, and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 

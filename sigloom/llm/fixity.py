@@ -1,16 +1,19 @@
 """Merkle fixity audit of web archives.
 
 Records of an archive file are hashed, and nodes over ordered offset ranges are hashed
-from their children, FANOUT at a time, up to a root.  Two replicas are compared root by
-root; only the children of nodes that differ are compared next, so what is moved and
-compared follows the damage, not the archive.
+from their children, FANOUT at a time: slots of a file, files, groups of files, up to one
+root.  Two replicas are compared at the root; only the children of nodes that differ are
+compared next, so what is compared follows the damage, not the archive.  The levels'
+tables are partitioned by the children of the root, and partitions without damage are
+not read.
 
 A record's place in its file (slot) comes from its id, not from its offset, so a lost
 record does not shift the places of those behind it.
 
-Defined cases: null url or body is empty; several records of one slot are hashed
-together in digest order; a record that only one replica holds is `missing` (from b) or
-`extra` (in b); a null id goes to file -1, slot 0; empty replicas give an empty result.
+Defined cases: null url or body is empty; several records of one slot are hashed as a
+multiset, by sums over their digests, so any number of them is combined before a shuffle;
+a record that only one replica holds is `missing` (from b) or `extra` (in b); a null id
+goes to file -1, slot 0, beside the root of all others; empty replicas give an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 FANOUT = 16
-LEVELS = 2  # above the records: FANOUT ** LEVELS slots a file
-SLOTS = FANOUT**LEVELS
+FILE_LEVELS = 2  # of a file's own tree
+SLOTS = FANOUT**FILE_LEVELS
 
 
 def warc_records(pages: DataFrame, body: F.Column | None = None) -> DataFrame:
@@ -40,42 +43,61 @@ def warc_records(pages: DataFrame, body: F.Column | None = None) -> DataFrame:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """One row per file and slot: hash of its records, and their offset range."""
-    slot = records.groupBy("file", "slot").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), "").cast("binary"), 256).alias("hash"),
-        F.min("page_id").alias("page_id"),
-        F.sum("length").alias("length"),
-    )
+    """One row per file and slot (node = file * SLOTS + slot): hash of its records, and their offset range."""
+    parts = [F.sum(F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"p{i}") for i in range(8)]
+    slot = records.groupBy("file", "slot").agg(F.count("*").alias("n"), *parts, F.min("page_id").alias("page_id"), F.sum("length").alias("length"))
+    text = F.concat_ws(":", "n", *[f"p{i}" for i in range(8)])
     before = Window.partitionBy("file").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return slot.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
-
-
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels of the trees: leaves first, then (file, slot, hash, offset, length) of the nodes above, roots last."""
-    out = [leaf]
-    for _ in range(LEVELS):
-        child = F.array_sort(F.collect_list(F.struct("slot", "hash", "length")))
-        up = out[-1].groupBy("file", F.floor(F.col("slot") / FANOUT).alias("slot")).agg(child.alias("c"), F.min("offset").alias("offset"), F.sum("length").alias("length"))
-        text = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["slot"].cast("string"), x["hash"], x["length"].cast("string"))), "|")
-        out.append(up.select("file", "slot", F.sha2(text.cast("binary"), 256).alias("hash"), "offset", "length"))
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))
+    return slot.select((F.col("file") * SLOTS + F.col("slot")).alias("node"), F.sha2(text.cast("binary"), 256).alias("hash"), "page_id", offset.alias("offset"), "length")
+
+
+def parents(nodes: DataFrame) -> DataFrame:
+    """The level above: nodes hashed from at most FANOUT children, in order."""
+    child = F.array_sort(F.collect_list(F.struct("node", "hash", "length")))
+    up = nodes.groupBy(F.floor(F.col("node") / FANOUT).alias("up")).agg(child.alias("c"), F.min("offset").alias("offset"), F.sum("length").alias("length"))
+    text = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["node"].cast("string"), x["hash"], x["length"].cast("string"))), "|")
+    return up.select(F.col("up").alias("node"), F.sha2(text.cast("binary"), 256).alias("hash"), "offset", "length")
+
+
+def tree(records: DataFrame, levels: int) -> list[DataFrame]:
+    """Levels of the tree, leaves first, the root last; each is stored by the root's children (`part`)."""
+    out: list[DataFrame] = []
+    for level in range(levels + 1):
+        nodes = parents(out[-1].drop("part")) if out else leaves(records)
+        part = F.floor(F.col("node") / FANOUT ** max(0, levels - 1 - level))
+        if level < levels - 1:  # ranges of nodes, so that a task writes few partitions
+            nodes = nodes.repartitionByRange("node").withColumn("part", part)
+            out.append(stored(nodes, "tree", "part"))
+        else:
+            out.append(stored(nodes, "tree"))
     return out
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     """(file, slot, page_id, status, offset, length, offset_b, length_b) of each record place that differs."""
-    left, right = ([stored(level, "tree") for level in tree(leaves(x))] for x in (a, b))
-    wrong = None
-    for level in range(LEVELS, -1, -1):
+    last = a.select("file").union(b.select("file")).agg(F.max("file")).first()[0]
+    levels = FILE_LEVELS
+    while last is not None and last > 0:
+        last, levels = last // FANOUT, levels + 1
+    left, right = (tree(x, levels) for x in (a, b))
+    wrong, damaged = None, None
+    for level in range(levels, -1, -1):
         sides = []
         for nodes in (left[level], right[level]):
-            if wrong is not None:
-                nodes = nodes.withColumn("__up", F.floor(F.col("slot") / FANOUT)).join(wrong, ["file", "__up"], "left_semi").drop("__up")
-            sides.append(nodes)
-        x, y = sides[0], sides[1].select("file", "slot", *[F.col(c).alias(f"{c}_b") for c in sides[1].columns if c not in ("file", "slot")])
-        differ = x.join(y, ["file", "slot"], "full").filter(~F.col("hash").eqNullSafe(F.col("hash_b")))
-        wrong = differ.select("file", F.col("slot").alias("__up"))
+            if "part" in nodes.columns:
+                # at most FANOUT children of the root, and those beside it
+                damaged = [r["node"] for r in wrong_top.collect()] if damaged is None else damaged
+                nodes = nodes.filter(F.col("part").isin(damaged)).drop("part")
+            sides.append(nodes if wrong is None else nodes.withColumn("up", F.floor(F.col("node") / FANOUT)).join(wrong, "up", "left_semi").drop("up"))
+        x, y = sides[0], sides[1].select("node", *[F.col(c).alias(f"{c}_b") for c in sides[1].columns if c != "node"])
+        differ = x.join(y, "node", "full").filter(~F.col("hash").eqNullSafe(F.col("hash_b")))
+        if level == levels - 1:
+            wrong_top = stored(differ.select("node"), "wrong")
+        wrong = differ.select(F.col("node").alias("up"))
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed")
-    return differ.select("file", "slot", F.coalesce("page_id", "page_id_b").alias("page_id"), status.alias("status"), "offset", "length", "offset_b", "length_b")
+    file, slot = F.floor(F.col("node") / SLOTS).alias("file"), F.pmod("node", F.lit(SLOTS)).alias("slot")
+    return differ.select(file, slot, F.coalesce("page_id", "page_id_b").alias("page_id"), status.alias("status"), "offset", "length", "offset_b", "length_b")
 
 
 def op9_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,7 @@ WIDTH = 100
 PERIOD = 57
 # A perfect difference set modulo 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
+BLOCK_LEAST, BLOCK_MOST = 1 << 20, 32 << 20  # text of a block of documents
 RANGE_BYTES = 64 << 20  # text behind one hash range
 TUPLE_BYTES = 5  # sent of a tuple's hash, beside its range
 PREFIX_BYTES = 4  # sent of an undecided prefix's hash, before those that repeat are sent in full
@@ -239,30 +240,33 @@ def repeated_spans(documents: DataFrame, then: Callable[[DataFrame], DataFrame]
     rows = _rows(documents)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width_now = shuffle_width(spark)
-    blocks = max(1, math.ceil(total / min(32 << 20, max(1 << 20, 32 * math.isqrt(total)))))
+    blocks = max(1, math.ceil(total / min(BLOCK_MOST, max(BLOCK_LEAST, 32 * math.isqrt(total)))))
     ranges = min(1 << 16, width_now * max(1, math.ceil(total / width_now / RANGE_BYTES)))
-    # blocks are ranges of doc_id, so that a block's number orders its documents against others
-    placed = rows.repartitionByRange(blocks, "doc_id").select(F.spark_partition_id().cast("long").alias("block"), "doc_id", _digest().alias("digest"), "text")
+    # blocks are ranges of (doc_id, digest), so that a block's number orders its documents against
+    # others; repeats of one row spread over blocks, of which the first keeps its document
+    placed = rows.withColumn("digest", _digest()).withColumn("row", F.xxhash64(F.monotonically_increasing_id()))
+    placed = placed.repartitionByRange(blocks, "doc_id", "digest", "row").select(F.spark_partition_id().cast("long").alias("block"), "doc_id", "digest", "text")
     table = f"texts_{uuid.uuid4().hex}"
     placed.write.bucketBy(width_now, "block").sortBy("block").option("compression", "zstd").saveAsTable(table)
     release(spark)
-    texts = spark.table(table)
-    firsts = texts.groupBy("digest").agg(F.min(F.struct("doc_id", "block")).alias("f"))
-    nothing = {"range": F.lit(None).cast("int"), "bits": F.lit(None).cast("binary")}
-    keep = stored(firsts.select(F.lit("keep").alias("kind"), "f.block", "f.doc_id", "digest").withColumns(nothing), "keep")
-    plan = Plan(width, period, cover, ranges, whole_characters)
-    sent = "range int, block long, hashes binary"
-    blocked = texts.groupBy("block")
-    names = blocked.cogroup(keep.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_samples(k, t, m), sent)
-    marks = keep.unionByName(stored(names.groupBy("range").applyInArrow(lambda t: repeated_names(t, "name", TUPLE_BYTES), MARKS), "named"))
-    names = blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_undecided(k, t, m), sent)
-    marks = marks.unionByName(stored(names.groupBy("range").applyInArrow(lambda t: repeated_names(t, "prefix", PREFIX_BYTES), MARKS), "named"))
-    names = blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_prefixes(k, t, m), sent)
-    marks = marks.unionByName(stored(names.groupBy("range").applyInArrow(later_prefixes, MARKS), "later"))
-    schema = "doc_id long, digest string, n_bytes long, starts array<long>, ends array<long>, kept binary"
-    out = stored(then(blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.cut(k, t, m), schema)), "spans")
-    spark.sql(f"DROP TABLE {table}")
-    return out
+    try:
+        texts = spark.table(table)
+        firsts = texts.groupBy("digest").agg(F.min(F.struct("doc_id", "block")).alias("f"))
+        nothing = {"range": F.lit(None).cast("int"), "bits": F.lit(None).cast("binary")}
+        keep = stored(firsts.select(F.lit("keep").alias("kind"), "f.block", "f.doc_id", "digest").withColumns(nothing), "keep")
+        plan = Plan(width, period, cover, ranges, whole_characters)
+        sent = "range int, block long, hashes binary"
+        blocked = texts.groupBy("block")
+        names = blocked.cogroup(keep.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_samples(k, t, m), sent)
+        marks = keep.unionByName(stored(names.groupBy("range").applyInArrow(lambda t: repeated_names(t, "name", TUPLE_BYTES), MARKS), "named"))
+        names = blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_undecided(k, t, m), sent)
+        marks = marks.unionByName(stored(names.groupBy("range").applyInArrow(lambda t: repeated_names(t, "prefix", PREFIX_BYTES), MARKS), "named"))
+        names = blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.name_prefixes(k, t, m), sent)
+        marks = marks.unionByName(stored(names.groupBy("range").applyInArrow(later_prefixes, MARKS), "later"))
+        schema = "doc_id long, digest string, n_bytes long, starts array<long>, ends array<long>, kept binary"
+        return stored(then(blocked.cogroup(marks.groupBy("block")).applyInArrow(lambda k, t, m: plan.cut(k, t, m), schema)), "spans")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def digest(documents: DataFrame, width: int = WIDTH) -> DataFrame:

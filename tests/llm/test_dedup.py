@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -104,6 +105,32 @@ def test_suffix_equals_brute_force(spark, tmp_path):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in again) == [(0, 400), (7, 399), (7, 399)]
 
 
+def test_suffix_rows_that_share_an_id(spark, monkeypatch):
+    """Null and equal ids spread over blocks; kept bytes equal brute force in (doc_id, digest) order."""
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [text(150) for _ in range(6)]
+    texts = [text(800) + rng.choice(passages) + text(700) for _ in range(900)]
+    rows = [(None if i % 3 == 0 else 4 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    rows += rows[:40] + [(5, passages[0] * 3)] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_LEAST", 1 << 17)  # a dozen blocks
+    monkeypatch.setattr(suffix_dedup, "BLOCK_MOST", 1 << 17)
+    got = {}
+    for r in suffix_dedup.digest(df).collect():
+        got.setdefault((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]), 0)
+        got[r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]] += 1
+    order = sorted({(1 << 62 if i is None else i, hashlib.sha256(t.encode()).hexdigest(), t) for i, t in rows})
+    spans = suffix_dedup.brute_force([(k, t.encode()) for k, (_, _, t) in enumerate(order)])
+    want = {}
+    for k, (i, _, t) in enumerate(order):
+        data = t.encode()
+        kept = b"".join(data[a:b] for a, b in zip([0, *[e for _, e in spans[k]]], [*[s for s, _ in spans[k]], len(data)], strict=True))
+        key = (None if i == 1 << 62 else i, len(data), len(data) - len(kept), len(spans[k]), hashlib.sha256(kept).hexdigest())
+        want[key] = want.get(key, 0) + sum((1 << 62 if x is None else x, y) == (i, t) for x, y in rows)
+    assert got == want
+
+
 def test_cover_is_a_difference_cover():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
 

@@ -273,6 +273,20 @@ def test_fixity_finds_each_damage(spark):
     assert fixity.audit(a.limit(0), b.limit(0)).count() == 0
 
 
+def test_fixity_of_repeated_and_null_ids(spark):
+    """Thousands of records in one slot are one multiset; damage to one of them shows, order does not."""
+    rows = [(None, f"u{i}", f"<p>{i}</p>") for i in range(3000)] + [(7, "u", "x")] * 3000 + [(5000, "far", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    a = fixity.warc_records(pages)
+    assert fixity.audit(a, fixity.warc_records(pages.repartition(3, "url"))).count() == 0
+    body = F.when(F.col("url") == "u17", F.lit("z")).otherwise(F.col("html"))
+    got = fixity.audit(a, fixity.warc_records(pages, body)).collect()
+    assert [(r["file"], r["slot"], r["page_id"], r["status"]) for r in got] == [(-1, 0, None, "changed")]
+    fewer = fixity.audit(a, fixity.warc_records(pages.filter("page_id IS NULL OR page_id <> 5000"))).collect()
+    assert [(r["page_id"], r["status"]) for r in fewer] == [(5000, "missing")]
+    assert fixity.audit(a.filter("page_id IS NULL"), a.filter("page_id = 5000")).count() == 2
+
+
 def test_word_hash_tells_words_apart():
     data, offsets = common.text_bytes(pa.array(["Ab ab", None, "é x", "", "ab"]))
     h, start, end, of = common.words(data, offsets, common.SPACED)
