@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, slices, stored, text_bytes, words
+from .common import ALNUM, SLICE_BYTES, slices, stored, text_bytes, words
 
 WINDOW = 10
 QUERY_WORDS = 4_000_000  # words of query windows sent at once: 32 MB of term hashes
@@ -68,30 +68,35 @@ def _segment(segment: int, ids: list, digests: list, counts: list[np.ndarray], h
     )
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    ids, digests, counts, hashes, size = [], [], [], [], 0
-    for batch in batches:
-        for part in slices(batch):
-            data, offsets = text_bytes(part.column("text"))
-            h, _, _, starts = words(data, offsets, ALNUM)
-            ids += part.column("doc_id").to_pylist()
-            digests += part.column("digest").to_pylist()
-            counts.append(np.diff(starts))
-            hashes.append(h)
-            size += len(data)
-            if size >= SEGMENT_BYTES:
-                yield _segment(number, ids, digests, counts, hashes)
-                number += 1
-                ids, digests, counts, hashes, size = [], [], [], [], 0
-    if ids:
-        yield _segment(number, ids, digests, counts, hashes)
+def _segments(least: int) -> Callable:
+    """Segments of at least so many bytes of text (but for a task's last)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids, digests, counts, hashes, size = [], [], [], [], 0
+        for batch in batches:
+            for part in slices(batch, limit=min(SLICE_BYTES, least)):
+                data, offsets = text_bytes(part.column("text"))
+                h, _, _, starts = words(data, offsets, ALNUM)
+                ids += part.column("doc_id").to_pylist()
+                digests += part.column("digest").to_pylist()
+                counts.append(np.diff(starts))
+                hashes.append(h)
+                size += len(data)
+                if size >= least:
+                    yield _segment(number, ids, digests, counts, hashes)
+                    number += 1
+                    ids, digests, counts, hashes, size = [], [], [], [], 0
+        if ids:
+            yield _segment(number, ids, digests, counts, hashes)
+
+    return run
 
 
 def build_index(documents: DataFrame) -> DataFrame:
     """Token postings of all documents, stored in the shared folder."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"))
-    return stored(rows.mapInArrow(_segments, SEGMENT), "postings")
+    return stored(rows.mapInArrow(_segments(SEGMENT_BYTES), SEGMENT), "postings")
 
 
 class Segment:
@@ -141,7 +146,7 @@ class Segment:
         return found[query[ok]], start[ok]
 
 
-def _windows(width: int):
+def _windows(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 from html.parser import HTMLParser
 
@@ -174,6 +175,38 @@ def test_gru_gradients():
         assert np.isclose(grad[k][at], want, atol=1e-6), k
 
 
+def test_gru_gradient_of_inputs():
+    rng = np.random.default_rng(5)
+    p = {k: v.astype(float) for k, v in toxicity.start_weights(3).items()}
+    x, mask = rng.normal(size=(3, toxicity.INPUTS, 2)), np.array([[1, 1], [1, 1], [1, 0]], float)
+    d, tapes = rng.normal(size=2), ([], [])
+    _, saved = toxicity.forward(p, x, mask, tapes)
+    got = toxicity.backward(p, x, mask, tapes, saved, d)["x"]
+    for at in [(0, 1, 0), (1, toxicity.INPUTS - 1, 1), (2, 0, 0), (2, 3, 1)]:
+        up, down = x.copy(), x.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        assert np.isclose(got[at], ((toxicity.forward(p, up, mask)[0] - toxicity.forward(p, down, mask)[0]) * d).sum() / 2e-5, atol=1e-6)
+
+
+def test_toxicity_query_and_sample(spark):
+    """Every row is scored; the sample is the same whatever the order of repeated rows; long texts are cut."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(80))) for i in range(40)] + [(3, "other text"), (None, "x"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(80)] + [(7, None), (None, 1)], "doc_id long, toxic int")
+    one, two = (sorted(tuple(r) for r in toxicity.training_sample(d, labels).collect()) for d in (docs, docs.union(docs).repartition(5)))
+    assert one == two
+    assert len(one) == 40
+    long = " ".join(f"w{k}" for k in range(3 * toxicity.TRAIN_WORDS))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [long, "..."], "toxic": [1, 0]})
+    cut = [t for b in toxicity._cut([batch]) for t in b.column("text").to_pylist()]
+    assert [len(t.split()) for t in cut] == [toxicity.TRAIN_WORDS, 0]
+    assert cut[0] in long
+    rows = toxicity.op3_toxicity(spark, SF).collect()
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in given)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+
+
 def test_toxicity_windows_cover_all_words():
     index, owner = toxicity.windows(np.array([0, 0, 10, 10 + toxicity.WINDOW * 3 + 5]))
     assert set(index[index >= 0].tolist()) == set(range(10 + toxicity.WINDOW * 3 + 5))
@@ -210,6 +243,20 @@ def test_chat_reads_back(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_masked_spans_equal_enumeration():
+    rng = random.Random(7)
+    for _ in range(200):
+        cuts = sorted(rng.sample(range(1, 60), 12))
+        starts, ends = np.array([0, *cuts]), np.array([*cuts, 60])
+        edges = sorted(rng.sample(range(61), 6))
+        spans = [(edges[0], edges[1]), (edges[2], edges[3]), (edges[4], edges[4])]
+        wanted = [rng.random() < 0.7 for _ in spans]
+        mask, covered = chat.masked_spans(starts, ends, spans, wanted)
+        inside = {c for (a, b), w in zip(spans, wanted, strict=True) if w for c in range(a, b)}
+        assert mask.tolist() == [any(c in inside for c in range(a, b)) for a, b in zip(starts, ends, strict=True)]
+        assert {c for ranges in covered for a, b in ranges for c in range(a, b)} == inside
+
+
 def test_decontamination_equals_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     words = lambda n: [rng.choice("ab cd ef gh ij kl".split()) for _ in range(n)]
@@ -241,6 +288,22 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     assert {(r["query"], r["doc_id"]) for r in near} == {(0, 3)}
 
 
+@pytest.mark.parametrize("limit", [4_000_000, 30])
+def test_decontamination_repeated_rows_and_odd_ids(spark, monkeypatch, limit):
+    """Equal rows stay rows, of segments of equal shape too; an item_id may hold a comma or be null."""
+    monkeypatch.setattr(decontaminate, "QUERY_WORDS", limit)
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 200)
+    phrase = "one two three four five six seven eight nine ten"
+    rows = [(1, f"a b {phrase} c d")] * 3 + [(2, f"e f {phrase} g h"), (2, "i j k l m n o p"), (None, phrase), (3, None), (4, "of " * 400 + phrase)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([("a,b", phrase), ("c", phrase + " eleven"), (None, phrase), ("c", "ten c d")], "item_id string, text string")
+    got = [tuple(r) for r in decontaminate.digest(decontaminate.decontaminate(docs, items)).collect()]
+    assert len(got) == len(rows)
+    of = lambda *x: hashlib.sha256(",".join(sorted(x)).encode()).hexdigest()
+    want = [(1, 14, 12, 3, of("", "a,b", "c"), True)] * 3 + [(2, 14, 10, 3, of("", "a,b", "c"), True), (2, 8, 0, 0, of(), False), (None, 10, 10, 3, of("", "a,b", "c"), True), (3, 0, 0, 0, of(), False), (4, 410, 10, 3, of("", "a,b", "c"), True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_mixing_stays_within_a_block(spark):
     rows = [(i, s) for s, n in (("a", 400), ("b", 90), (None, 60), ("c", 1)) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("slot", F.lit("old"))
