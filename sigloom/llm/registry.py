@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import chat, decontaminate, embedding_dedup, fixity, html_text, language_id, minhash_dedup, mixing, suffix_dedup, toxicity
 
 
@@ -19,7 +17,6 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_fixity": fixity.op9_fixity,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 
