@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +21,20 @@ def test_oracles_belong_to_queries():
     assert len(registry.QUERIES) >= 95
 
 
+def test_entry_without_the_training_data_folder(tmp_path):
+    """With its folder and script removed the rest still registers; with an error inside it nothing is hidden."""
+    home = Path(__spark_entry__.__file__).parent
+    shutil.copytree(home / "sigloom", tmp_path / "sigloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(home / "__spark_entry__.py", tmp_path)
+    count = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    run = lambda: subprocess.run([sys.executable, "-c", count], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False)
+    assert run().stdout.split() == [str(len(registry.QUERIES)), str(len(registry.ORACLES))]
+    (tmp_path / "sigloom/llm").mkdir()
+    (tmp_path / "sigloom/llm/__init__.py").write_text("")
+    (tmp_path / "sigloom/llm/registry.py").write_text("import no_such_module_anywhere\n")
+    assert "no_such_module_anywhere" in run().stderr
+
+
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
