@@ -9,9 +9,10 @@ lists are merged, and the other coordinates are counted for the pairs that met
 
 A pair at similarity 0.8 agrees in fewer than MATCHES coordinates with probability
 under 1e-5.  Equal sets are one class: a node that posts once.  Lists over LIGHT members
-are not paired: each member is compared with the list's pivot (its smallest node), and
-only members that stay outside the pivot's component are then compared with the whole
-list, block against block, without writing out the pairs.  The blocks of a list are dealt
+are not paired: each member is compared with the list's pivot (its most typical node: the
+one whose lists are longest), and only members that stay outside the pivot's component are
+then compared with the whole list, block against block, without writing out the pairs; a
+pair that shares several long lists is compared in the first of them.  The blocks of a list are dealt
 to tasks by runs of LEFT_BLOCKS, so a hot list is the work of many tasks.
 
 Defined cases: text that is null or without words has an empty set and links with
@@ -107,16 +108,17 @@ def _alike(a: F.Column, b: F.Column) -> F.Column:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(key, members, pivot, node, n) for the postings in each node's prefix.
+    """(key, members, node, n, typical) for the postings in each node's prefix.
 
-    members: how many nodes the list has; pivot: the smallest of them.
+    members: how many nodes the list has; typical: how many nodes the node's lists have together,
+    which is most for a text that others are variants of.
     """
     posts = classes.select("node", "n", F.explode("signature").alias("key"))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).filter("members > 1")
-    shared = posts.join(sizes, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("members", "key", "pivot"))).alias("p"))
+    sizes = posts.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = posts.join(sizes, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("p"), F.sum("members").alias("typical"))
     # postings that nobody shares are the rarest, and come first in the prefix
     first = F.slice("p", F.lit(1), F.greatest(F.lit(0), F.lit(1 - MATCHES) + F.size("p")))
-    return shared.select("node", "n", F.explode(first).alias("p")).select("p.key", "p.members", "p.pivot", "node", "n")
+    return shared.select("node", "n", "typical", F.explode(first).alias("p")).select("p.key", "p.members", "node", "n", "typical")
 
 
 def _exact(width: int) -> Callable:
@@ -152,34 +154,43 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_exact(width), "a long, b long").distinct()
 
 
+class _Side:
+    def __init__(self, block: pa.StructArray) -> None:
+        self.node, self.component = (block.field(f).to_numpy(zero_copy_only=False) for f in ("node", "component"))
+        self.posted = block.field("posted").to_numpy(zero_copy_only=False)
+        self.signature = block.field("signature").flatten().to_numpy(zero_copy_only=False).reshape(len(self.node), K) if "signature" in [f.name for f in block.type] else None
+        self.texts = block.field("text") if "text" in [f.name for f in block.type] else None
+
+
+def _owned(left: _Side, right: _Side, key: int) -> np.ndarray:
+    """Pairs of two blocks of a list that agree in MATCHES coordinates, are of different components,
+    and share no long list of an earlier coordinate."""
+    agree = np.zeros((len(left.node), len(right.node)), np.int16)
+    own = left.component[:, None] != right.component[None]
+    for c in range(K):
+        same = left.signature[:, c, None] == right.signature[None, :, c]
+        agree += same
+        if c < key >> 32:
+            own &= ~(same & (left.posted >> c & 1).astype(bool)[:, None] & (right.posted >> c & 1).astype(bool)[None])
+    return own & (agree >= MATCHES)
+
+
 def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per two blocks, the nodes of each that agree with a node of another component, one of the two being open."""
+    """Per two blocks, the nodes of each that agree with a node of the other and of another component."""
     for batch in batches:
-        out: dict[str, list] = {"key": [], "part": [], "nodes": []}
+        out: dict[str, list] = {"key": [], "nodes": []}
         for i in range(batch.num_rows):
             left, right = _Side(batch.column("left")[i].values), _Side(batch.column("right")[i].values)
-            agree = np.zeros((len(left.node), len(right.node)), np.int16)
-            for c in range(K):
-                agree += left.signature[:, c, None] == right.signature[None, :, c]
-            pair = (agree >= MATCHES) & (left.component[:, None] != right.component[None]) & left.open[:, None]
-            for part, side, hit in (("left_part", left, pair.any(1)), ("right_part", right, pair.any(0))):
+            pair = _owned(left, right, batch.column("key")[i].as_py())
+            for side, hit in ((left, pair.any(1)), (right, pair.any(0))):
                 if hit.any():
                     out["key"].append(batch.column("key")[i].as_py())
-                    out["part"].append(batch.column(part)[i].as_py())
                     out["nodes"].append(side.node[hit])
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.int64()), ("part", pa.int64()), ("nodes", pa.list_(pa.int64()))]))
-
-
-class _Side:
-    def __init__(self, block: pa.StructArray) -> None:
-        self.node, self.component = (block.field(f).to_numpy(zero_copy_only=False) for f in ("node", "component"))
-        self.open = block.field("open").to_numpy(zero_copy_only=False).astype(bool)
-        self.signature = block.field("signature").flatten().to_numpy(zero_copy_only=False).reshape(len(self.node), K) if "signature" in [f.name for f in block.type] else None
-        self.texts = block.field("text") if "text" in [f.name for f in block.type] else None
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.int64()), ("nodes", pa.list_(pa.int64()))]))
 
 
 def _block_links(width: int) -> Callable:
-    """Links between the open members of block left and the members of block right: a spanning forest of them."""
+    """Links between the members of blocks left and right: a spanning forest of them."""
     p, q = SIMILARITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +198,8 @@ def _block_links(width: int) -> Callable:
             out_a, out_b = [], []
             for i in range(batch.num_rows):
                 left, right = _Side(batch.column("left")[i].values), _Side(batch.column("right")[i].values)
-                pick = np.flatnonzero(left.open)
-                if not len(pick):
-                    continue
-                m = len(pick)
-                g, of = shingle_sets(pa.concat_arrays([left.texts.take(pa.array(pick)), right.texts]), width)
+                m = len(left.node)
+                g, of = shingle_sets(pa.concat_arrays([left.texts, right.texts]), width)
                 owner = np.repeat(np.arange(len(of) - 1), np.diff(of))
                 names, at = np.unique(g, return_inverse=True)
                 shared = np.zeros((2, len(names)), bool)
@@ -208,7 +216,7 @@ def _block_links(width: int) -> Callable:
                 both = np.rint(both).astype(np.int64)
                 size = np.diff(of)
                 link = (q * both >= p * (size[:m, None] + size[None, m:] - both)) & (both > 0)
-                link &= left.component[pick][:, None] != right.component[None]
+                link &= left.component[:, None] != right.component[None]
                 root: dict[int, int] = {}
 
                 def find(x: int, root: dict = root) -> int:
@@ -217,39 +225,53 @@ def _block_links(width: int) -> Callable:
                     return x
 
                 for r, c in np.argwhere(link).tolist():
-                    u, v = find(int(left.component[pick[r]])), find(int(right.component[c]))
+                    u, v = find(int(left.component[r])), find(int(right.component[c]))
                     if u != v:
                         root[max(u, v)] = min(u, v)
-                        out_a.append(int(left.node[pick[r]]))
+                        out_a.append(int(left.node[r]))
                         out_b.append(int(right.node[c]))
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _sides(rows: DataFrame, payload: str) -> DataFrame:
+    """(key, left, right): blocks of each list's open members against blocks of all its members."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.col("open").cast("long")).alias("n_open")).filter("n_open > 0")
+    rows = rows.join(counts, "key")
+
+    def blocks(of: DataFrame, n: str) -> DataFrame:
+        parts = F.ceil(F.col(n) / BLOCK)
+        part = F.pmod(F.xxhash64("node"), parts).alias("part")
+        runs = F.ceil(F.ceil(F.col("n_open") / BLOCK) / LEFT_BLOCKS).alias("runs")
+        return of.select("key", part, runs, F.struct("node", "component", "posted", payload).alias("x")).groupBy("key", "part", "runs").agg(F.collect_list("x").alias("block"))
+
+    left = blocks(rows.filter("open"), "n_open").select("key", F.floor(F.col("part") / LEFT_BLOCKS).alias("run"), F.col("block").alias("left"))
+    right = blocks(rows, "members").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), F.col("block").alias("right"))
+    return left.join(right, ["key", "run"])
+
+
 def _residual(member: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Links of open members of long lists with any member of another component.
 
-    Lists are cut into blocks and blocks are compared with blocks inside tasks: first by
-    signatures, which leaves the members that agree with anyone, then these by full sets.
+    Blocks are compared inside tasks: first by signatures, which leaves the members that agree
+    with anyone, then these by full sets.
     """
-    parts = F.ceil(F.col("members") / BLOCK)
-    member = member.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    found = _sides(member, "signature").select("key", "left", "right").mapInArrow(_active, "key long, nodes array<long>")
+    active = stored(found.select("key", F.explode("nodes").alias("node")).distinct(), "active")
+    rows = member.drop("signature").join(active, ["key", "node"]).join(texts, "node")
+    return stored(_sides(rows, "text").select("left", "right").mapInArrow(_block_links(width), "a long, b long"), "links")
 
-    def sides(rows: DataFrame, payload: str) -> DataFrame:
-        block = F.collect_list(F.struct("node", "component", "open", payload)).alias("block")
-        packed = stored(rows.groupBy("key", "part").agg(F.first("parts").alias("parts"), block), "blocks")
-        left = packed.filter(F.exists("block", lambda x: x["open"])).select("key", F.floor(F.col("part") / LEFT_BLOCKS).alias("run"), F.col("part").alias("left_part"), F.col("block").alias("left"))
-        runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("parts") - 1) / LEFT_BLOCKS))
-        right = packed.select("key", F.explode(runs).alias("run"), F.col("part").alias("right_part"), F.col("block").alias("right"))
-        return left.join(right, ["key", "run"]).drop("run")
 
-    active = sides(member, "signature").mapInArrow(_active, "key long, part long, nodes array<long>")
-    active = stored(active.groupBy("key", "part").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("nodes")), "active")
-    m, n = member.drop("signature").alias("m"), active.alias("n")
-    here = (F.col("m.key") == F.col("n.key")) & (F.col("m.part") == F.col("n.part")) & F.expr("array_contains(n.nodes, m.node)")
-    rows = m.join(n, here).select("m.*").join(texts, "node")
-    return stored(sides(rows, "text").select("left", "right").mapInArrow(_block_links(width), "a long, b long"), "links")
+def _members(heavy: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the long lists with some member outside the pivot's component (open); posted has a bit
+    for each coordinate under which the node stands in a long list."""
+    of = found.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
+    rows = heavy.join(found, "node", "left").join(of, "pivot", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = stored(rows.select("key", "node", "component", (F.col("component") != F.coalesce("main", "pivot")).alias("open")), "members")
+    undecided = rows.filter("open").select("key").distinct()
+    posted = heavy.groupBy("node").agg(F.sum(F.expr("shiftleft(1L, int(shiftright(key, 32)))")).alias("posted"))
+    return rows.join(undecided, "key", "left_semi").join(classes.select("node", "signature").join(posted, "node"), "node")
 
 
 def near_duplicates(documents: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -260,9 +282,11 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE_WORDS) -> DataFra
     classes = stored(classes.select("*", F.monotonically_increasing_id().alias("node")), "classes")
     lists = stored(postings(classes), "postings")
     light, heavy = lists.filter(F.col("members") <= LIGHT), lists.filter(F.col("members") > LIGHT)
+    pivots = heavy.groupBy("key").agg(F.max_by("node", F.struct("typical", -F.col("node"))).alias("pivot"))
+    heavy = stored(heavy.join(pivots, "key").select("key", "members", "pivot", "node"), "heavy")
     a, b = (light.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & _alike(F.col("n_a"), F.col("n_b"))).select("a", "b")
-    stars = heavy.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    stars = heavy.filter("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
     near = stored(agreeing(pairs.union(stars).distinct(), classes), "candidates")
     wanted = near.select("a").union(near.select("b")).union(heavy.select("node")).distinct().withColumnRenamed("a", "node")
     sources = classes.join(wanted, "node", "left_semi").select("node", "first.doc_id", "first.key")
@@ -274,26 +298,26 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE_WORDS) -> DataFra
     of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
     apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
     rest = near.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b")
-    more = stored(confirmed(rest, texts, width), "links")
-    if not more.isEmpty():
-        links = links.union(more)
+    second = stored(confirmed(rest, texts, width), "links")
+    if not second.isEmpty():
+        links = links.union(second)
         found = connected(links)
-    member = heavy.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    main = found.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
-    member = member.join(main, "pivot", "left").select("key", "members", "node", "component", (F.col("component") != F.coalesce("main", "pivot")).alias("open"))
-    member = stored(member, "members")
-    undecided = member.filter("open").select("key").distinct()
-    if not undecided.isEmpty():
-        packed = member.join(undecided, "key", "left_semi").join(classes.select("node", "signature"), "node")
-        links = links.union(_residual(packed, texts, width))
-    # from classes to documents: links between first documents, and each row with the first of its class
-    for side in "ab":
-        links = links.join(classes.select(F.col("node").alias(side), F.col("first.doc_id").alias(f"doc_{side}")), side)
-    same = some.join(classes.select("digest", "first"), "digest").select(F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b")).filter("a <> b")
-    component = connected(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).union(same))
+    more = _residual(_members(heavy, found, classes), texts, width)
+    if not more.isEmpty():
+        found = connected(links.union(more))
+    # rows that share a doc_id but not a set link their classes
+    member = some.join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+    several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last").select("doc_id", "a")
+    shared = stored(member.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "shared")
+    if not shared.isEmpty():
+        found = connected(links.union(more).union(shared))
+    # a component is named by its smallest document
+    whole = classes.join(found, "node", "left").select("digest", "first.doc_id", F.coalesce("component", "node").alias("component"))
+    least = whole.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = whole.join(least, "component").select("digest", F.col("least").alias("component_id"))
     return (
-        sketch.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        sketch.join(named, "digest", "left")
+        .select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
 
