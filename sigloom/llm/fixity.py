@@ -81,20 +81,19 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     while last is not None and last > 0:
         last, levels = last // FANOUT, levels + 1
     left, right = (tree(x, levels) for x in (a, b))
-    wrong, damaged = None, None
+    wrong = damaged = None
     for level in range(levels, -1, -1):
         sides = []
         for nodes in (left[level], right[level]):
             if "part" in nodes.columns:
                 # at most FANOUT children of the root, and those beside it
-                damaged = [r["node"] for r in wrong_top.collect()] if damaged is None else damaged
+                damaged = [r["up"] for r in wrong.collect()] if damaged is None else damaged
                 nodes = nodes.filter(F.col("part").isin(damaged)).drop("part")
             sides.append(nodes if wrong is None else nodes.withColumn("up", F.floor(F.col("node") / FANOUT)).join(wrong, "up", "left_semi").drop("up"))
         x, y = sides[0], sides[1].select("node", *[F.col(c).alias(f"{c}_b") for c in sides[1].columns if c != "node"])
         differ = x.join(y, "node", "full").filter(~F.col("hash").eqNullSafe(F.col("hash_b")))
-        if level == levels - 1:
-            wrong_top = stored(differ.select("node"), "wrong")
-        wrong = differ.select(F.col("node").alias("up"))
+        if level:
+            wrong = stored(differ.select(F.col("node").alias("up")), "wrong")
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed")
     file, slot = F.floor(F.col("node") / SLOTS).alias("file"), F.pmod("node", F.lit(SLOTS)).alias("slot")
     return differ.select(file, slot, F.coalesce("page_id", "page_id_b").alias("page_id"), status.alias("status"), "offset", "length", "offset_b", "length_b")
