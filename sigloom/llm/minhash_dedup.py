@@ -259,7 +259,7 @@ def _residual(member: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """
     found = _sides(member, "signature").select("key", "left", "right").mapInArrow(_active, "key long, nodes array<long>")
     active = stored(found.select("key", F.explode("nodes").alias("node")).distinct(), "active")
-    rows = member.drop("signature").join(active, ["key", "node"]).join(texts, "node")
+    rows = stored(member.drop("signature").join(active, ["key", "node"]).join(texts, "node"), "compared")
     return stored(_sides(rows, "text").select("left", "right").mapInArrow(_block_links(width), "a long, b long"), "links")
 
 
@@ -271,7 +271,7 @@ def _members(heavy: DataFrame, found: DataFrame, classes: DataFrame) -> DataFram
     rows = stored(rows.select("key", "node", "component", (F.col("component") != F.coalesce("main", "pivot")).alias("open")), "members")
     undecided = rows.filter("open").select("key").distinct()
     posted = heavy.groupBy("node").agg(F.sum(F.expr("shiftleft(1L, int(shiftright(key, 32)))")).alias("posted"))
-    return rows.join(undecided, "key", "left_semi").join(classes.select("node", "signature").join(posted, "node"), "node")
+    return stored(rows.join(undecided, "key", "left_semi").join(classes.select("node", "signature").join(posted, "node"), "node"), "members")
 
 
 def near_duplicates(documents: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
