@@ -75,8 +75,8 @@ def alerts(signals: DataFrame, floor: float = 0.3) -> DataFrame:
 
 
 def timeline(evidence: DataFrame, events: DataFrame) -> DataFrame:
-    """Events of each alert in time order; evidence: alert_id and event_ids."""
-    ids = evidence.select("alert_id", F.explode("event_ids").alias("event_id")).distinct()
+    """Events of each alert in time order; evidence: rows of alert_id and event_id."""
+    ids = evidence.select("alert_id", "event_id").distinct()
     place = F.row_number().over(Window.partitionBy("alert_id").orderBy("us", "event_id"))
     rows = events.join(ids, "event_id").withColumn("place", place)
     return rows.select("alert_id", "place", "event_id", "us", "event_type", "process_name", "pid", "operation", "file_path", "dest_ip", "dest_port")

@@ -237,8 +237,8 @@ def alerts(spark, sf_dir):
 
 def alert_timeline(spark, sf_dir):
     events = _keyed(sec_events(spark, sf_dir))
-    mine = events.filter("event_type = 'process' AND k % 10 = 0").groupBy("process_key").agg(F.sort_array(F.collect_set("event_id")).alias("event_ids"))
-    return correlate.timeline(mine.select(F.concat(F.lit("ALERT_rw_"), F.col("process_key")).alias("alert_id"), "event_ids"), events)
+    mine = events.filter("event_type = 'process' AND k % 10 = 0")
+    return correlate.timeline(mine.select(F.concat(F.lit("ALERT_rw_"), F.col("process_key")).alias("alert_id"), "event_id"), events)
 
 
 def replay_new_signals(spark, sf_dir):
