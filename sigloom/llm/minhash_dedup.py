@@ -38,6 +38,7 @@ MATCHES = 15
 LIGHT = 64
 BLOCK = 128
 LEFT_BLOCKS = 8
+HELD = 4_000_000  # hits that a task holds before it gives them on: 32 MB
 SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)  # 0.8
 
@@ -176,17 +177,30 @@ def _owned(left: _Side, right: _Side, key: int) -> np.ndarray:
 
 
 def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per two blocks, the nodes of each that agree with a node of the other and of another component."""
+    """The nodes of each list that agree with a node of another block and of another component; each
+    is given once for the block pairs of a task (or of so many hits)."""
+    hits: dict[int, list[np.ndarray]] = {}
+
+    def given() -> pa.RecordBatch:
+        nodes = [np.unique(np.concatenate(x)) for x in hits.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(hits), pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], names=["key", "nodes"])
+
+    held = 0
     for batch in batches:
-        out: dict[str, list] = {"key": [], "nodes": []}
         for i in range(batch.num_rows):
+            key = batch.column("key")[i].as_py()
             left, right = _Side(batch.column("left")[i].values), _Side(batch.column("right")[i].values)
-            pair = _owned(left, right, batch.column("key")[i].as_py())
+            pair = _owned(left, right, key)
             for side, hit in ((left, pair.any(1)), (right, pair.any(0))):
                 if hit.any():
-                    out["key"].append(batch.column("key")[i].as_py())
-                    out["nodes"].append(side.node[hit])
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.int64()), ("nodes", pa.list_(pa.int64()))]))
+                    hits.setdefault(key, []).append(side.node[hit])
+                    held += int(hit.sum())
+            if held >= HELD:
+                yield given()
+                hits.clear()
+                held = 0
+    if hits:
+        yield given()
 
 
 def _block_links(width: int) -> Callable:
