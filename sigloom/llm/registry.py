@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding_dedup, fixity, html_text, language_id, minhash_dedup, mixing, suffix_dedup, toxicity
+from . import chat, decontaminate, embedding_dedup, fixity, html_text, language_id, lexical_search, minhash_dedup, mixing, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_fixity": fixity.op9_fixity,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
     }
 
 
@@ -27,4 +28,5 @@ def oracles() -> dict[str, str]:
         "op5_decontamination": decontaminate.ORACLE_SQL,
         "op9_fixity": fixity.ORACLE_SQL,
         "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
+        "op11_lexical_search": lexical_search.ORACLE_SQL,
     }
