@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding_dedup, fixity, html_text, language_id, lexical_search, minhash_dedup, mixing, suffix_dedup, toxicity
+from . import chat, decontaminate, embedding_dedup, fixity, html_text, language_id, lexical_search, minhash_dedup, mixing, suffix_dedup, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_fixity": fixity.op9_fixity,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
         "op11_lexical_search": lexical_search.op11_lexical_search,
+        "op12_vector_search": vector_search.op12_vector_search,
     }
 
 
@@ -29,4 +30,5 @@ def oracles() -> dict[str, str]:
         "op9_fixity": fixity.ORACLE_SQL,
         "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op11_lexical_search": lexical_search.ORACLE_SQL,
+        "op12_vector_search": vector_search.ORACLE_SQL,
     }
