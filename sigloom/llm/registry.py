@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding_dedup, fixity, html_text, language_id, lexical_search, minhash_dedup, mixing, suffix_dedup, toxicity, vector_search
+from . import chat, conversation_repair, decontaminate, embedding_dedup, fixity, html_text, language_id, lexical_search, minhash_dedup, mixing, suffix_dedup, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
         "op11_lexical_search": lexical_search.op11_lexical_search,
         "op12_vector_search": vector_search.op12_vector_search,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
 
 
@@ -31,4 +32,5 @@ def oracles() -> dict[str, str]:
         "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op11_lexical_search": lexical_search.ORACLE_SQL,
         "op12_vector_search": vector_search.ORACLE_SQL,
+        "op13_conversation_repair": conversation_repair.ORACLE_SQL,
     }
