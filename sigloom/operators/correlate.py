@@ -3,29 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import severity
+from sigloom.operators import sequences
 
 SECOND = 1_000_000
 
 
-def recon_sequence(hits: DataFrame, seconds: int = 300) -> DataFrame:
-    """Enumeration at most `seconds` after the process's last identity query; hits: host, process_key, us, event_id, kind."""
-    before = Window.partitionBy("host", "process_key").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == "recon_identity", F.col("us")), ignorenulls=True).over(before)
-    rows = hits.withColumn("identity_us", last).filter((F.col("kind") == "recon_enum") & (F.col("us") - F.col("identity_us") < seconds * SECOND))
+def recon_sequence(hits: DataFrame, seconds: int = 300, edges: list[int] | None = None) -> DataFrame:
+    """Enumeration at most `seconds` after the process's last identity query; hits: host, process_key, us, event_id, kind.
+
+    edges, here and below: times that cut a key's rows (see sequences); taken from the rows where they are not given."""
+    edges = sequences.splits(hits) if edges is None else edges
+    identity = F.when(F.col("kind") == "recon_identity", F.col("us"))
+    rows = sequences.running(sequences.bucketed(hits, edges), ["host", "process_key"], {"identity_us": identity}, edges)
+    rows = rows.filter((F.col("kind") == "recon_enum") & (F.col("us") - F.col("identity_us") < seconds * SECOND))
     return rows.select("host", "process_key", "event_id", "us", "identity_us", F.lit(0.80).alias("score"), F.lit("T1087").alias("technique"))
 
 
-def bruteforce(failures: DataFrame, least: int = 5, seconds: int = 120) -> DataFrame:
+def bruteforce(failures: DataFrame, least: int = 5, seconds: int = 120, edges: list[int] | None = None) -> DataFrame:
     """First event of each episode in which (host, src_ip) reaches `least` failures within `seconds`."""
-    by = Window.partitionBy("host", "src_ip").orderBy("us", "event_id")
-    reached = (F.col("us") - F.lag("us", least - 1).over(by)) <= seconds * SECOND
-    rows = failures.withColumn("reached", F.coalesce(reached, F.lit(False)))
-    rows = rows.withColumn("before", F.lag("reached", 1, False).over(by)).filter("reached AND NOT before")
+    edges = sequences.splits(failures) if edges is None else edges
+    by = Window.partitionBy("host", "src_ip", "bucket").orderBy("us", "event_id")
+    rows = sequences.lagged(sequences.bucketed(failures, edges), ["host", "src_ip"], least - 1, edges)
+    near = lambda later, earlier: F.coalesce(later - earlier <= seconds * SECOND, F.lit(False))
+    rows = rows.withColumn("reached", near(F.col("us"), F.col("back")))
+    # of a bucket's first row the one before is the last of the tail
+    size = F.size("tail")
+    outside = near(F.get("tail", size - 1), F.when(size >= least, F.get("tail", size - least)))
+    rows = rows.withColumn("before", F.when(F.col("place") > 1, F.lag("reached", 1, False).over(by)).otherwise(outside)).filter("reached AND NOT before")
     return rows.select("host", "src_ip", "event_id", "us", F.lit("T1110.001").alias("technique"))
 
 
@@ -100,27 +110,27 @@ def corroborated(created: DataFrame, signals: DataFrame, seconds: int = 300, rai
     return out.withColumn("confidence", F.round(F.when(F.col("hit"), F.least(F.lit(1.0), F.col("confidence") + raise_by)).otherwise(F.col("confidence")), 6)).withColumn("corroborated", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-def lifetimes(rows: DataFrame) -> DataFrame:
+def lifetimes(rows: DataFrame, edges: list[int] | None = None) -> DataFrame:
     """Start (event_code 4688) to the next end (4689) of the same (host, pid), unless it starts again before."""
-    by = Window.partitionBy("host", "pid").orderBy("us", "event_id")
-    ahead = by.rowsBetween(1, Window.unboundedFollowing)
-    next_end = F.first(F.when(F.col("event_code") == "4689", F.col("us")), ignorenulls=True).over(ahead)
-    next_start = F.first(F.when(F.col("event_code") == "4688", F.col("us")), ignorenulls=True).over(ahead)
-    out = rows.withColumn("end_us", next_end).withColumn("next_start", next_start).filter("event_code = '4688'")
+    edges = sequences.splits(rows) if edges is None else edges
+    when = lambda code: F.when(F.col("event_code") == code, F.col("us"))
+    out = sequences.running(sequences.bucketed(rows, edges), ["host", "pid"], {"end_us": when("4689"), "next_start": when("4688")}, edges, ahead=True).filter("event_code = '4688'")
     end = F.when(F.col("next_start").isNull() | (F.col("end_us") <= F.col("next_start")), F.col("end_us"))
     return out.select("host", "pid", "event_id", F.col("us").alias("start_us"), end.alias("end_us"), ((end - F.col("us")) / SECOND).alias("seconds"))
 
 
-def kill_chain(signals: DataFrame, stages: tuple[str, ...] = ("T1059", "T1053.005", "T1047"), seconds: int = 600) -> DataFrame:
-    """Hosts where the stages' techniques (by prefix) follow each other within `seconds` of the first."""
-    before = Window.partitionBy("host").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.when(F.col("technique").startswith(stages[0]), F.col("us"))
-    rows = signals.withColumn("c0", F.last(start, ignorenulls=True).over(before))
-    for i, stage in enumerate(stages[1:], 1):
-        hit = F.when(F.col("technique").startswith(stage) & (F.col("us") - F.col(f"c{i - 1}") <= seconds * SECOND), F.col(f"c{i - 1}"))
-        rows = rows.withColumn(f"h{i}", hit).withColumn(f"c{i}", F.last(f"h{i}", ignorenulls=True).over(before))
-    last = len(stages) - 1
-    return rows.filter(F.col(f"h{last}").isNotNull()).select("host", "event_id", "us", F.col(f"h{last}").alias("start_us"))
+def kill_chain(signals: DataFrame, stages: tuple[str, ...] = ("T1059", "T1053.005", "T1047"), seconds: int = 600, edges: list[int] | None = None) -> DataFrame:
+    """Hosts where the stages' techniques (by prefix) follow each other within `seconds` of the first.
+
+    A stage's latest start never falls with time, so each stage is a running maximum over the hits of the one before."""
+    of_stage = [F.coalesce(F.col("technique").startswith(s), F.lit(False)) for s in stages]
+    rows = signals.filter(reduce(Column.__or__, of_stage))
+    edges = sequences.splits(rows) if edges is None else edges
+    rows = sequences.bucketed(rows, edges).withColumn("start_us", F.when(of_stage[0], F.col("us")))
+    for stage in of_stage[1:]:
+        rows = sequences.running(rows, ["host"], {"latest": F.col("start_us")}, edges)
+        rows = rows.withColumn("start_us", F.when(stage & (F.col("us") - F.col("latest") <= seconds * SECOND), F.col("latest"))).drop("latest")
+    return rows.filter("start_us IS NOT NULL").select("host", "event_id", "us", "start_us")
 
 
 def not_habitual(spawns: DataFrame, history: DataFrame, days: int = 3) -> DataFrame:
