@@ -70,11 +70,11 @@ def lotl_hits(rules: tuple = packs.LOTL) -> Column:
     return F.array_compact(F.array(F.when(F.col("event_type").isin("process", "other"), hit)))
 
 
-def lotl_cmdline(events: DataFrame, rules: tuple = packs.LOTL) -> DataFrame:
-    """(event_id, host, rule_id, score, confidence, tactic, technique): first matching rule wins."""
+def lotl_cmdline(events: DataFrame, rules: tuple = packs.LOTL, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(event_id, host, rule_id, score, confidence, tactic, technique): first matching rule wins; kept: further columns."""
     # exploding the one hit keeps the rule chain from being repeated for each of its fields
     rows = events.filter(F.col("event_type").isin("process", "other"))
-    return rows.select("event_id", "host", F.explode(lotl_hits(rules)).alias("r")).select("event_id", "host", "r.*")
+    return rows.select("event_id", "host", *kept, F.explode(lotl_hits(rules)).alias("r")).select("event_id", "host", *kept, "r.*")
 
 
 def task_hits() -> Column:

@@ -17,6 +17,7 @@ from sigloom.plans.detections import DAY, _keyed, signals
 from sigloom.plans.fixtures import derived, scratch, sec_events
 from sigloom.sources import parsers, sinks
 from sigloom.streaming import jobs
+from sigloom.streaming.alerts import alert_states
 
 
 def _iso():
@@ -271,7 +272,7 @@ def stream_burst(spark, sf_dir):
 
 
 def stream_bruteforce(spark, sf_dir):
-    rows = _stream(spark, sf_dir).filter("outcome = 'failure'").select("ts", "host", "src_ip")
+    rows = _stream(spark, sf_dir).filter("outcome = 'failure'").select("ts", "host", "src_ip", "event_id")
     return _ran(jobs.bruteforce(rows, 5, "24 hours", "12 hours")).select(F.unix_micros("window.start").alias("start_us"), "host", "src_ip", "n")
 
 
@@ -282,13 +283,11 @@ def stream_recon(spark, sf_dir):
 
 
 def stream_alerts(spark, sf_dir):
-    """Signals of the stream, written twice batch by batch: each id is stored once."""
+    """Signals of the stream, all of them twice, as alerts: each id comes out once."""
     rows = _stream(spark, sf_dir)
-    path = scratch(spark)
-    for name in ("first", "again"):
-        found = rules.with_signal_id(rules.lotl_cmdline(rows).withColumn("signal_type", F.concat(F.lit("lotl."), F.col("rule_id")))).select("signal_id", "event_id", "score")
-        found.writeStream.foreachBatch(jobs.alert_sink(f"{path}/alerts")).option("checkpointLocation", f"{path}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("signal_id string, event_id string, score double").parquet(f"{path}/alerts")
+    found = rules.with_signal_id(rules.lotl_cmdline(rows, kept=("us",)).withColumn("signal_type", F.concat(F.lit("lotl."), F.col("rule_id"))))
+    found = found.select("signal_id", "us", "event_id", "score")
+    return _ran(alert_states(found.union(found))).select("signal_id", "event_id", "score")
 
 
 HALF = 43_200_000_000  # half a day in microseconds

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +34,20 @@ def burst(files: DataFrame, window: str = "60 seconds", slide: str = "10 seconds
     return once.groupBy("window", "process_name", "pid").agg(F.count("path").alias("unique_files"))
 
 
+def _once(rows: DataFrame, watermark: str) -> DataFrame:
+    """Each event once where rows have an event_id; late rows go here, one by one, so that they can be counted."""
+    rows = rows.withWatermark("ts", watermark)
+    return rows.dropDuplicatesWithinWatermark(["event_id"]) if "event_id" in rows.columns else rows
+
+
 def bruteforce(failures: DataFrame, least: int = 5, window: str = "120 seconds", slide: str = "60 seconds", watermark: str = WATERMARK) -> DataFrame:
-    rows = failures.withWatermark("ts", watermark)
+    rows = _once(failures, watermark)
     return rows.groupBy(F.window("ts", window, slide), "host", "src_ip").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def episodes(failures: DataFrame, gap: str = "120 seconds", watermark: str = WATERMARK) -> DataFrame:
     """Attack episodes as session windows."""
-    return failures.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap), "host", "src_ip").agg(F.count("*").alias("n"))
+    return _once(failures, watermark).groupBy(F.session_window("ts", gap), "host", "src_ip").agg(F.count("*").alias("n"))
 
 
 def recon(hits: DataFrame, seconds: int = 300, watermark: str = WATERMARK) -> DataFrame:
@@ -71,23 +77,6 @@ def recon(hits: DataFrame, seconds: int = 300, watermark: str = WATERMARK) -> Da
     return rows.groupBy("host", "process_key").applyInPandasWithState(step, out, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def alert_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: append only signals whose id is not stored yet, so a repeated batch changes nothing."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["signal_id"])
-        try:
-            seen = spark.read.schema(batch.schema).parquet(path).select("signal_id")
-            new = new.join(seen, "signal_id", "left_anti")
-        except Exception as error:  # noqa: BLE001  only a missing folder means that nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        new.write.mode("append").parquet(path)
-
-    return write
-
-
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process all that is there, then stop."""
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
