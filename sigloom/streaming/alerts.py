@@ -73,7 +73,8 @@ def alert_states(signals: DataFrame, keep: str = WATERMARK, watermark: str = WAT
     Each signal_id comes out once as `open`, however often and in whatever batch it is repeated; with `ends` it comes
     out as `ended`, with its times and count, when the watermark is `keep` beyond its last row.  A row that is
     repeated after that is older than the watermark and dropped as late, so no alert is reported twice although its
-    state is gone.  ttl: state lives so long in processing time instead, and there is no watermark.
+    state is gone.  ttl: state lives so long in processing time instead, and there is no watermark; such a stream
+    never ends by itself, so give it a processing-time trigger.
 
     The session's state store becomes RocksDB.  Rows without signal_id or us are left out."""
     use_rocksdb(signals.sparkSession)

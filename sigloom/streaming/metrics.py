@@ -15,13 +15,17 @@ class ProgressTable(StreamingQueryListener):
 
     late_rows counts what stateful operators dropped because the watermark had passed it.  Operators that take rows one
     by one (deduplication, keyed state) count rows; a windowed aggregation counts its partial groups, so put
-    deduplication before it where rows are to be counted (jobs.bruteforce and jobs.episodes do).  Rows are written
-    `every` batches and when a stream ends; close() writes the rest."""
+    deduplication before it where rows are to be counted (jobs.bruteforce and jobs.episodes do).
 
-    def __init__(self, spark: SparkSession, path: str, every: int = 1) -> None:
-        self.spark, self.path, self.every = spark, path, every
+    The listener only notes rows; a thread of its own writes them, `seconds` after the last time at the latest, as
+    jobs must not be run from within the listeners' thread.  close() writes the rest."""
+
+    def __init__(self, spark: SparkSession, path: str, seconds: float = 60) -> None:
+        self.spark, self.path, self.seconds = spark, path, seconds
         self.rows: list[tuple] = []
-        self.lock = threading.Lock()
+        self.lock, self.done = threading.Lock(), threading.Event()
+        self.writer = threading.Thread(target=self._write, daemon=True)
+        self.writer.start()
 
     def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
         pass
@@ -33,15 +37,16 @@ class ProgressTable(StreamingQueryListener):
         row = (p.name or str(p.id), str(p.runId), p.batchId, p.timestamp, p.numInputRows, total("numRowsDroppedByWatermark"), total("numRowsTotal"), total("memoryUsedBytes"), p.eventTime.get("watermark"), p.batchDuration / 1000)
         with self.lock:
             self.rows.append(row)
-            full = len(self.rows) >= self.every
-        if full:
-            self.flush()
 
     def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
         pass
 
     def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
-        self.flush()
+        pass
+
+    def _write(self) -> None:
+        while not self.done.wait(self.seconds):
+            self.flush()
 
     def flush(self) -> None:
         with self.lock:
@@ -50,16 +55,19 @@ class ProgressTable(StreamingQueryListener):
             self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(self.path)
 
     def close(self) -> None:
+        """Stop listening and write what is noted."""
         self.spark.streams.removeListener(self)
+        self.done.set()
+        self.writer.join()
         self.flush()
 
     def table(self) -> DataFrame:
-        """All rows so far, a batch that was repeated once (its last run)."""
+        """All rows written so far."""
         return self.spark.read.schema(SCHEMA).json(self.path)
 
 
-def watch(spark: SparkSession, path: str, every: int = 1) -> ProgressTable:
+def watch(spark: SparkSession, path: str, seconds: float = 60) -> ProgressTable:
     """Write the progress of the session's streams to a table from now on."""
-    table = ProgressTable(spark, path, every)
+    table = ProgressTable(spark, path, seconds)
     spark.streams.addListener(table)
     return table
