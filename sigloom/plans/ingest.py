@@ -217,7 +217,7 @@ def path_parts(spark, sf_dir):
 
 
 def is_private_ip(spark, sf_dir):
-    return sec_events(spark, sf_dir).filter("dest_ip IS NOT NULL").select("event_id", scalars.is_private_ip_any(F.when(F.col("u") == 0, F.lit("fe80::1")).otherwise(F.col("dest_ip"))).alias("private"))
+    return sec_events(spark, sf_dir).filter("dest_ip IS NOT NULL").select("event_id", scalars.is_private_ip(F.when(F.col("u") == 0, F.lit("fe80::1%eth0")).otherwise(F.col("dest_ip"))).alias("private"))
 
 
 def route_source(spark, sf_dir):
@@ -332,7 +332,7 @@ ORACLES = {
     "process_key": f"{SEC} SELECT event_id, {_PK} AS process_key, 'unknown|na|' AS empty_key FROM sec",
     "parse_to_utc": f"{SEC} SELECT event_id, CAST(CASE k % 4 WHEN 0 THEN us WHEN 1 THEN us - 3600000000 WHEN 2 THEN us // 1000000 * 1000000 ELSE 0 END AS BIGINT) AS us FROM sec",
     "path_parts": f"{SEC} SELECT event_id, CASE WHEN contains({_LAST}, '.') THEN lower(split_part({_LAST}, '.', -1)) ELSE '' END AS extension, regexp_extract({_PATH}, '^(.*)/[^/]*$', 1) AS directory, lower({_LAST}) AS basename FROM sec WHERE event_type = 'file'",
-    "is_private_ip": f"{SEC} SELECT event_id, u = 0 OR dest_ip LIKE '10.%' AS private FROM sec WHERE dest_ip IS NOT NULL",
+    "is_private_ip": f"{SEC} SELECT event_id, u = 0 OR dest_ip LIKE '10.%' OR dest_ip LIKE 'fd00:%' OR dest_ip LIKE '::ffff:10.%' AS private FROM sec WHERE dest_ip IS NOT NULL",
     "route_source": f"{SEC} SELECT {_SOURCE} AS source, CASE {_SOURCE} WHEN 'auditd' THEN 'auditd' WHEN 'sshd' THEN 'auth' ELSE 'generic' END AS route, count(*) AS n FROM sec GROUP BY ALL",
     "raw_lookup": f"{SEC} SELECT event_id, CASE WHEN k % 4 < 3 THEN 'task' || k ELSE 'unknown_task' END AS task FROM sec",
     "mutating_filter": f"{SEC} SELECT event_id, operation FROM sec WHERE operation IN ('write', 'MODIFY', 'rename', 'delete')",

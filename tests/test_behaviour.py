@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import json
 import random
 
@@ -35,10 +36,54 @@ def test_times(spark):
 
 def test_private_addresses(spark):
     want = {"10.0.0.1": True, "172.32.0.1": False, "100.64.0.1": False, "192.0.0.9": False, "192.0.0.8": True, "not-an-ip": False, "010.0.0.1": False, "255.255.255.255": True, "224.0.0.1": False, "fe80::1": True, "2001:4860::1": False, "8.8.8.8": False}
-    rows = spark.createDataFrame([(a,) for a in want], "a string").select("a", scalars.is_private_ip_any(F.col("a")).alias("p")).collect()
+    rows = spark.createDataFrame([(a,) for a in want], "a string").select("a", scalars.is_private_ip(F.col("a")).alias("p")).collect()
     assert {r["a"]: r["p"] for r in rows} == want
 
 
+def _addresses():
+    """Addresses of every block's edges, random ones in every notation, and texts that only look like one."""
+    rng, out = random.Random(6), []
+    blocks = [*scalars.PRIVATE_V6, *scalars.PUBLIC_V6, "0:0:0:0:0:ffff:0:0/96"]
+    for block in blocks:
+        net = ipaddress.ip_network(block)
+        first, last = int(net[0]), int(net[-1])
+        out += [str(ipaddress.IPv6Address(n % (1 << 128))) for n in (first - 1, first, first + 1, last - 1, last, last + 1, rng.randint(first, last))]
+    for _ in range(300):
+        groups = [rng.choice(["0", "0", f"{rng.randrange(65536):x}", f"{rng.randrange(65536):04X}"]) for _ in range(8)]
+        text = ":".join(groups)
+        out += [text, text.replace(":0:0:", "::", 1), str(ipaddress.IPv6Address(text)), f"{str(ipaddress.IPv6Address(text))}%eth{rng.randrange(3)}"]
+        out.append(":".join(groups[:6]) + "." .join(["", *[str(rng.randrange(256)) for _ in range(4)]]).replace(".", ":", 1))
+        cut = list(rng.choice(out[-4:]))
+        cut[rng.randrange(len(cut))] = rng.choice([":", "", "g", ".", "::", "0"])
+        out.append("".join(cut))
+    out += [f"::ffff:{a}" for a in ("10.1.2.3", "8.8.8.8", "192.0.0.9", "100.64.0.1", "256.1.1.1", "1.2.3", "01.2.3.4")]
+    out += ["::", "::1", ":::", ":", "1::2::3", "::1%", "%eth0", "::1%a%b", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7", ":1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:", "::1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "1.2.3.4::", "::12345", " ::1", "::1 "]
+    return sorted(set(out))
+
+
+def test_addresses_as_the_standard_library_reads_them(spark):
+    def read(text):
+        try:
+            return ipaddress.ip_address(text)
+        except ValueError:
+            return None
+
+    given = _addresses()
+    rows = spark.createDataFrame([(a,) for a in given], "a string").select("a", scalars.is_private_ip(F.col("a")).alias("p"), scalars.ipv6_hex(F.col("a")).alias("x"))
+    assert "Python" not in rows._jdf.queryExecution().toString()
+    got = {r["a"]: (r["x"], r["p"]) for r in rows.collect()}
+    want = {a: (f"{int(read(a)):032x}" if read(a) is not None and read(a).version == 6 else None, read(a) is not None and read(a).is_private) for a in given}
+    assert {a: (got[a], want[a]) for a in given if got[a] != want[a]} == {}
+    assert sum(p for _, p in got.values()) > 50
+
+
+def test_private_ipv6_is_not_external(spark):
+    """As for IPv4, a connection to a private address is none of a report's."""
+    rows = [("h", "p.exe", 1, "network", "outbound", a, 443, "tcp", i, f"e{i}") for i, a in enumerate(["fe80::1", "fd00::1", "::1", "::ffff:10.0.0.1", "2a00:1450:4001::5", "8.8.8.8"])]
+    df = spark.createDataFrame(rows, "host string, process_name string, pid long, event_type string, direction string, dest_ip string, dest_port int, protocol string, us long, event_id string")
+    assert sorted(r["dest_ip"] for r in ransomware.outbound_connections(df, ("host", "process_name", "pid")).collect()) == ["2a00:1450:4001::5", "8.8.8.8"]
+
+
 def test_priority(spark):
     row = spark.createDataFrame([(134,)], "p int").select(scalars.syslog_facility(F.col("p")), scalars.syslog_severity(F.col("p"))).first()
     assert tuple(row) == (16, "informational")
