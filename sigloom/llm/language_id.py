@@ -208,15 +208,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_sample(documents: DataFrame, rule: F.Column | None = None) -> DataFrame:
-    """(lang, text): cut texts of about TRAIN_DOCS_PER_LANGUAGE documents a language, chosen by hash."""
+    """(lang, text): cut texts of about TRAIN_DOCS_PER_LANGUAGE different texts a language, chosen by the text's hash.
+
+    Repeats of a text count once and are chosen together, whatever their ids; a language with fewer texts gives all."""
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.filter(rule) if rule is not None else rows
     span = 1 << 62
-    bar = F.lit(-1).cast("long")
-    for lang, n in sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()):
-        bar = F.when(F.col("lang") == lang, F.lit(min(span, span * TRAIN_DOCS_PER_LANGUAGE // n)).cast("long")).otherwise(bar)
-    picked = rows.filter(F.xxhash64("doc_id", "lang").bitwiseAND(F.lit(span - 1)) < bar).select("doc_id", "lang", "text").distinct()
-    return picked.select("lang", "text").mapInArrow(_cut, "lang string, text string")
+    place = F.xxhash64("text").bitwiseAND(F.lit(span - 1))
+    share = F.lit(float(span)) * TRAIN_DOCS_PER_LANGUAGE / F.approx_count_distinct(place, 0.02)
+    bars = rows.groupBy("lang").agg(F.least(F.lit(float(span)), share).cast("long").alias("bar"))
+    picked = rows.select("lang", "text").join(bars, "lang").filter(place < F.col("bar")).select("lang", "text").distinct()
+    return picked.mapInArrow(_cut, "lang string, text string")
 
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,6 +158,20 @@ def test_language_held_out_and_code_switching(spark):
     assert {r["lang_pred"] for r in language_id.identify(rows, empty).collect()} == {"und"}
 
 
+def test_language_sample_counts_texts_not_rows(spark):
+    """One text repeated without end, rows without ids, many languages: none is lost."""
+    rows = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("deutsch wort "), F.col("id")).alias("text"), F.lit("de").alias("lang"))
+    rows = rows.union(spark.range(20_000).select(F.lit(1).cast("long"), F.lit("deutsch wort 1"), F.lit("de")))
+    rows = rows.union(spark.range(1000).select(F.lit(None).cast("long"), F.concat(F.lit("mot "), F.col("id")), F.lit("fr")))
+    rows = rows.union(spark.range(600).select(F.col("id"), F.concat(F.lit("word "), F.col("id")), F.lit("en")))
+    rows = rows.union(spark.range(900).select(F.lit(7).cast("long"), F.lit("x y z"), F.concat(F.lit("l"), F.col("id"))))
+    counts = {r["lang"]: r["count"] for r in language_id.training_sample(rows).groupBy("lang").count().collect()}
+    want = language_id.TRAIN_DOCS_PER_LANGUAGE
+    assert counts["de"] == 50
+    assert all(0.8 * want < counts[lang] < 1.2 * want for lang in ("fr", "en"))
+    assert sum(counts[f"l{i}"] for i in range(900)) == 900
+
+
 def test_gru_gradients():
     rng = np.random.default_rng(2)
     p = {k: v.astype(float) for k, v in toxicity.start_weights(3).items()}
