@@ -171,61 +171,45 @@ def recommended_actions(score: Column) -> Column:
 def process_profile(events: DataFrame, burst_seconds: int = 60, long_minutes: int = 10, key: tuple[str, ...] = KEY) -> DataFrame:
     """All statistics of each process that has file events, before scoring.
 
-    One chain over the events: anchors of the bursts, then rows of (process, window, path), of
-    (process, path), of (process, directory or extension) and of processes.  Every step combines
-    before its shuffle and none deals rows by the process alone until few are left.  The time of a
-    process's last file event comes from a second, narrow read.
+    Three narrow reads that share nothing wide: the time of a process's last file event; its path, level and
+    connections, combined once; and a chain over file rows: anchors of the bursts, then rows of (process, window, path),
+    of (process, path), of (process, directory or extension) and of processes.  Every step combines before its shuffle
+    and none deals rows by the process alone until few are left.
     """
     k = list(key)
     rows = keyed(events, key)
     file = F.coalesce("event_type", F.lit("file")) == "file"
     outbound = (F.col("event_type") == "network") & (F.lower("direction") == "outbound") & (F.coalesce("dest_ip", F.lit("")) != "") & ~is_private_ip(F.col("dest_ip"))
-    given = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("us", "event_id", c))
-    slim = rows.select(
-        *key,
-        "us",
-        file.alias("file"),
-        F.when(file, slashed(F.col("file_path"))).alias("path"),
-        (file & is_mutating(F.col("operation"), F.col("file_path"))).alias("mutating"),
-        F.when(outbound, F.struct("us", "event_id", "dest_ip", "dest_port", "protocol")).alias("connection"),
-        given("process_path").alias("process_path"),
-        given("integrity_level").alias("integrity_level"),
-    )
-    where = (*key, "file")
-    firsts = [F.min("process_path").alias("process_path"), F.min("integrity_level").alias("integrity_level")]
-    joined = F.flatten(F.collect_list("outbound")).alias("outbound")
+    given = lambda c: F.min(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("us", "event_id", c)))[c].alias(c)
+    connection = F.when(outbound, F.struct("us", "event_id", "dest_ip", "dest_port", "protocol"))
+    about = rows.groupBy(*k).agg(F.sort_array(F.collect_list(connection)).alias("outbound"), given("process_path"), given("integrity_level"))
+    slim = rows.filter(file).select(*k, "us", slashed(F.col("file_path")).alias("path"), is_mutating(F.col("operation"), F.col("file_path")).alias("mutating"))
     # a window's changed files; each path once
-    parts = anchored(slim, burst_seconds, where).groupBy(*where, F.when(F.col("file"), F.col("anchor")).alias("anchor"), "path").agg(
-        F.max("mutating").cast("int").alias("changed"), F.max(F.when(F.col("mutating"), F.col("us"))).alias("changed_us"), F.min("us").alias("lo"), F.max("us").alias("hi"), F.count("*").alias("n"), F.collect_list("connection").alias("outbound"), *firsts
+    parts = anchored(slim, burst_seconds, key).groupBy(*k, "anchor", "path").agg(
+        F.max("mutating").cast("int").alias("changed"), F.max(F.when(F.col("mutating"), F.col("us"))).alias("changed_us"), F.min("us").alias("lo"), F.max("us").alias("hi"), F.count("*").alias("n")
     )
-    parts = parts.withColumn("burst", F.sum(F.when(F.col("path").isNotNull(), F.col("changed"))).over(Window.partitionBy(*where, "anchor")))
-    paths = parts.groupBy(*where, "path").agg(F.max("burst").alias("burst"), F.max("changed_us").alias("changed_us"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), joined, *firsts)
-    last = last_seen(rows.filter(file), key)
-    late = F.when(F.col("file") & F.col("path").isNotNull() & (F.col("changed_us") >= F.col("last_us") - long_minutes * 60_000_000), 1)
+    parts = parts.withColumn("burst", F.sum(F.when(F.col("path").isNotNull(), F.col("changed"))).over(Window.partitionBy(*k, "anchor")))
+    paths = parts.groupBy(*k, "path").agg(F.max("burst").alias("burst"), F.max("changed_us").alias("changed_us"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    late = F.when(F.col("path").isNotNull() & (F.col("changed_us") >= F.col("last_us") - long_minutes * 60_000_000), 1)
     folder = F.when(F.instr("path", "/") > 0, directory(F.col("path")))
     kinds = F.array(F.struct(F.lit("folder").alias("kind"), folder.alias("value")), F.struct(F.lit("extension").alias("kind"), extension(F.col("path")).alias("value")))
-    paths = paths.join(last, k).select("*", late.alias("late"), F.when(F.col("path") != "", 1).alias("named"))
-    # the two kinds share a path's rows: sums, lists and firsts count with the folder alone
-    spread = paths.select(*where, "burst", "late", "named", "lo", "hi", "n", "outbound", *("process_path", "integrity_level"), F.explode(F.when(F.col("file"), kinds).otherwise(F.slice(kinds, 1, 1))).alias("of"))
+    paths = paths.join(last_seen(rows.filter(file), key), k).select("*", late.alias("late"), F.when(F.col("path") != "", 1).alias("named"))
+    # the two kinds share a path's rows: sums count with the folder alone
+    spread = paths.select(*k, "burst", "late", "named", "lo", "hi", "n", F.explode(kinds).alias("of"))
+    values = spread.groupBy(*k, "of").agg(F.max("burst").alias("burst"), F.sum("late").alias("late"), F.sum("named").alias("named"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     once = F.col("of.kind") == "folder"
-    values = spread.groupBy(*where, "of").agg(
-        F.max("burst").alias("burst"), F.sum("late").alias("late"), F.sum("named").alias("named"), F.min(F.when(F.col("file"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("file"), F.col("hi"))).alias("hi"),
-        F.sum("n").alias("n"), F.flatten(F.collect_list(F.when(once, F.col("outbound")))).alias("outbound"), *firsts,
-    )
-    mine = lambda c: F.sum(F.when(once & F.col("file"), F.col(c)))
+    mine = lambda c: F.coalesce(F.sum(F.when(once, F.col(c))), F.lit(0))
     item = F.when(~once & (F.col("of.value") != ""), F.struct(F.col("of.value").alias("extension"), F.col("n").alias("count")))
-    out = values.groupBy(*key).agg(
-        F.max(F.when(F.col("file"), F.coalesce("burst", F.lit(0)))).alias("max_burst"),
-        F.coalesce(mine("late"), F.lit(0)).alias("long_files"),
-        F.coalesce(mine("named"), F.lit(0)).alias("unique_files"),
-        F.count(F.when(once & F.col("file"), F.col("of.value"))).alias("directory_spread"),
+    out = values.groupBy(*k).agg(
+        F.max(F.coalesce("burst", F.lit(0))).alias("max_burst"),
+        mine("late").alias("long_files"),
+        mine("named").alias("unique_files"),
+        F.count(F.when(once, F.col("of.value"))).alias("directory_spread"),
         F.min("lo").alias("first_us"),
         F.max("hi").alias("last_us"),
         F.collect_list(item).alias("extensions"),
-        F.sort_array(F.flatten(F.collect_list("outbound"))).alias("outbound"),
-        F.min("process_path")["process_path"].alias("process_path"),
-        F.min("integrity_level")["integrity_level"].alias("integrity_level"),
     )
+    out = out.join(about, k)
     total = F.aggregate("extensions", F.lit(0).cast("long"), lambda s, x: s + x["count"])
     shares = F.transform("extensions", lambda x: F.struct(x["extension"].alias("extension"), x["count"].alias("count"), (x["count"] / total).alias("ratio")))
     odd = F.filter(shares, lambda x: ((F.length(x["extension"]) > 5) | x["extension"].isin(*REPORT_EXTENSIONS)) & (x["ratio"] >= EXTENSION_SHARE))
