@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import severity
 from sigloom.operators import sequences
+from sigloom.operators.health import SIGNALS, Layers, layer_hits
 
 SECOND = 1_000_000
 
@@ -39,24 +39,15 @@ def bruteforce(failures: DataFrame, least: int = 5, seconds: int = 120, edges: l
     return rows.select("host", "src_ip", "event_id", "us", F.lit("T1110.001").alias("technique"))
 
 
-def union_layers(events: DataFrame, layers: list[tuple[str, Callable[[], Column]]]) -> tuple[DataFrame, dict[str, str]]:
+def union_layers(events: DataFrame, layers: Layers) -> tuple[DataFrame, dict[str, str]]:
     """All layers' signals in one pass over the events; a layer that cannot be planned is left out and reported.
 
-    A layer makes an array of structs (signal_type, score, tactic, technique).
+    A layer makes an array of structs (signal_type, score, tactic, technique).  health.run_layers() also counts, and
+    survives a layer that fails while running.
     """
-    columns = ("signal_type", "score", "tactic", "technique")
-    parts, failed = [], {}
-    for name, make in layers:
-        try:
-            layer = F.lit(name).alias("layer")
-            hits = F.transform(make(), lambda h: F.struct(*[h[c].alias(c) for c in columns], layer))  # noqa: B023  called here
-            events.select(hits)
-        except Exception as error:  # noqa: BLE001  a layer's failure is reported, not raised
-            failed[name] = str(error).splitlines()[0]
-            continue
-        parts.append(hits)
-    none = F.array().cast("array<struct<signal_type:string,score:double,tactic:string,technique:string,layer:string>>")
-    return events.select("event_id", "host", F.explode(F.concat(*parts) if parts else none).alias("s")).select("event_id", "host", "s.*"), failed
+    hits, failed = layer_hits(events, layers)
+    everything = F.concat(*hits.values()) if hits else F.array()
+    return events.select("event_id", "host", F.explode(everything.cast(SIGNALS)).alias("s")).select("event_id", "host", "s.*"), failed
 
 
 def dedup(signals: DataFrame, step: float = 0.05) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigloom.operators.health import Run
+
 
 def top_signals(signals: DataFrame, k: int = 10) -> DataFrame:
     return signals.orderBy(F.desc("score"), "signal_id").limit(k)
@@ -44,8 +46,11 @@ def hunt(events: DataFrame, wildcards: tuple[str, ...], by: tuple[str, ...], val
     return events.filter(test).groupBy(*by).agg(*agg)
 
 
-def run_counters(raw: DataFrame, events: DataFrame, signals: DataFrame, alert_rows: DataFrame) -> DataFrame:
-    """(stage, kind, n): lines, events, signals by type, alerts by severity."""
-    total = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), F.lit("all").alias("kind"), "n")
+def run_counters(run: Run, alert_rows: DataFrame) -> DataFrame:
+    """(stage, kind, n): lines, events, signals by type, alerts by severity.
+
+    Lines and events were counted on the pass that wrote the signals; no events are read for them."""
+    spark = alert_rows.sparkSession
     each = lambda df, name, c: df.groupBy(F.col(c).alias("kind")).agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "kind", "n")
-    return total(raw, "lines").unionByName(total(events, "events")).unionByName(each(signals, "signals", "signal_type")).unionByName(each(alert_rows, "alerts", "severity"))
+    total = spark.createDataFrame([("lines", "all", run.events), ("events", "all", run.events)], "stage string, kind string, n long")
+    return total.unionByName(each(run.signals, "signals", "signal_type")).unionByName(each(alert_rows, "alerts", "severity"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import decoded_command, process_key
-from sigloom.operators import correlate, packs, proctree, ransomware, reports, rules
+from sigloom.operators import correlate, health, packs, proctree, ransomware, reports, rules
 from sigloom.plans.behaviour import _WINDOWS, BURST, SEC
 from sigloom.plans.fixtures import scratch, sec_events
 from sigloom.sources.parsers import task_name
@@ -209,14 +209,14 @@ def ssh_bruteforce(spark, sf_dir):
 def signals(spark, sf_dir) -> DataFrame:
     """(event_id, host, us, signal_type, score, confidence, tactic, technique) of the single-event layers."""
     events = sec_events(spark, sf_dir)
-    return _signals(events)[0]
+    return correlate.union_layers(events, _layers())[0]
 
 
-def _signals(events: DataFrame):
+def _layers() -> list:
     named = lambda hits: F.transform(hits, lambda h: F.struct(F.concat(F.lit("lotl."), h["rule_id"]).alias("signal_type"), h["score"].alias("score"), h["tactic"].alias("tactic"), h["technique"].alias("technique")))
     script = lambda hits: F.transform(hits, lambda h: F.struct(h["signal_type"].alias("signal_type"), h["score"].alias("score"), F.lit("").alias("tactic"), F.lit("T1059.001").alias("technique")))
     process = lambda hits: F.filter(hits, lambda _: F.col("event_type") == "process")
-    return correlate.union_layers(events, [("lotl", lambda: named(rules.lotl_hits())), ("task", lambda: process(rules.task_hits())), ("ps", lambda: script(rules.ps_hits()))])
+    return [("lotl", lambda: named(rules.lotl_hits())), ("task", lambda: process(rules.task_hits())), ("ps", lambda: script(rules.ps_hits()))]
 
 
 def signal_union(spark, sf_dir):
@@ -324,8 +324,8 @@ def hunt_certutil(spark, sf_dir):
 
 
 def run_counters(spark, sf_dir):
-    events = sec_events(spark, sf_dir)
-    return reports.run_counters(events, events, signals(spark, sf_dir), correlate.alerts(_behaviour(spark, sf_dir)))
+    run = health.run_layers(sec_events(spark, sf_dir), _layers(), f"{scratch(spark)}/signals")
+    return reports.run_counters(run, correlate.alerts(_behaviour(spark, sf_dir)))
 
 
 _LOTL = """lo AS (SELECT event_id, host, us, 'LOTL-' || r AS rule_id, score, CASE WHEN r = '001' THEN 0.9 ELSE score END AS confidence, tactic, technique FROM sec JOIN (VALUES

@@ -39,7 +39,7 @@ def src_jsonl(spark, sf_dir):
 
 
 def rfc5424_line():
-    return F.concat(F.lit("<"), (F.col("k") + 30).cast("string"), F.lit(">1 "), _iso(), F.lit("Z "), F.col("host"), F.lit(" app "), F.col("pid").cast("string"), F.lit(' - [x@1 a="b"] '), F.to_json(F.struct("event_id", "process_name")))
+    return F.concat(F.lit("<"), (F.col("k") + 30).cast("string"), F.lit(">1 "), _iso(), F.lit("Z "), F.col("host"), F.lit(" app "), F.col("pid").cast("string"), F.lit(' - [x@1 a="b"][y@2 c="v'), F.col("k").cast("string"), F.lit('\\]" d="say \\"] it\\""] '), F.to_json(F.struct("event_id", "process_name")))
 
 
 def _rfc5424(events: DataFrame) -> DataFrame:
@@ -49,7 +49,9 @@ def _rfc5424(events: DataFrame) -> DataFrame:
 def src_rfc5424(spark, sf_dir):
     p = parsers.rfc5424(F.col("value"))
     rows = _rfc5424(sec_events(spark, sf_dir)).select("event_id", p.alias("p"))
-    return rows.select("event_id", "p.priority", "p.host", F.col("p.procid").cast("long").alias("pid"), F.get_json_object("p.message", "$.process_name").alias("process_name"), F.unix_micros(F.col("p.time").try_cast("timestamp")).alias("us"))
+    second = F.get(parsers.structured_data(F.col("p.structured")), 1)
+    params = F.array_join(F.transform(second["params"], lambda x: F.concat(x["name"], F.lit("="), x["value"])), ",")
+    return rows.select("event_id", "p.priority", "p.host", second["id"].alias("sd_id"), params.alias("sd_params"), F.col("p.procid").cast("long").alias("pid"), F.get_json_object("p.message", "$.process_name").alias("process_name"), F.unix_micros(F.col("p.time").try_cast("timestamp")).alias("us"))
 
 
 def rfc3164_line():
@@ -314,7 +316,7 @@ QUERIES = {
 }
 ORACLES = {
     "src_jsonl": f"{SEC} SELECT host, event_type, process_name, pid, file_path, operation, dest_ip, command_line, us FROM sec WHERE k % 50 NOT IN (7, 9)",
-    "src_rfc5424": f"{SEC} SELECT event_id, k + 30 AS priority, host, pid, process_name, us FROM sec",
+    "src_rfc5424": f"{SEC} SELECT event_id, k + 30 AS priority, host, 'y@2' AS sd_id, 'c=v' || k || '],d=say \"] it\"' AS sd_params, pid, process_name, us FROM sec",
     "src_rfc3164": f"{SEC} SELECT event_id, host, pid, 'proc' AS tag, 'hello: ' || process_name AS message, us // 1000000 AS \"at\" FROM sec",
     "src_cef": f"{SEC} SELECT event_id, 'Ven|dor' AS vendor, CAST(k AS VARCHAR) AS class_id, 'Name of' AS name, 5 AS severity, host, process_name, coalesce(command_line, 'none at all') AS command_line, 'bob' AS \"user\", coalesce(dest_port, 0) AS dest_port FROM sec",
     "src_windows_json": f"{SEC} SELECT event_id, host, event_code, image, command_line, username AS \"user\" FROM sec WHERE event_type = 'process'",

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from sigloom.functions.scalars import canonical_json, event_type_coerced, row_json, stable_event_id, syslog_facility, syslog_severity
 
 # Line formats
-RFC5424 = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|\[[^\]]*\]) ?(.*)$"
+# structured data: none, or elements one behind the other, in whose quoted values `"`, `]` and `\` are escaped
+_ELEMENTS = r'(?:\[(?:[^\]"\\]|\\.|"(?:\\.|[^"\\])*+")*+\])++'
+RFC5424 = rf"^<(\d{{1,3}})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|{_ELEMENTS}) ?(.*)$"
 RFC3164 = r"^<(\d{1,3})>(\w{3}) +(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\S+) ([^:\[\s]+)(?:\[(\d+)\])?: ?(.*)$"
 JSON_SCHEMA = "timestamp STRING, host STRING, event_type STRING, source STRING, process_name STRING, pid BIGINT, ppid BIGINT, process_path STRING, command_line STRING, integrity_level STRING, username STRING, file_path STRING, operation STRING, direction STRING, dest_ip STRING, dest_port INT, protocol STRING"
 CEF_FIELDS = {"host": ("shost", "dhost"), "user": ("suser", "duser"), "process_name": ("sproc", "dproc"), "command_line": ("cs1",), "parent_image": ("cs2",), "file_path": ("fname",), "dest_ip": ("dst",), "dest_port": ("dpt",), "operation": ("act",)}
@@ -44,10 +46,20 @@ def rfc5424(line: Column) -> Column:
         at[3].alias("app"),
         at[4].alias("procid"),
         at[5].alias("msgid"),
-        F.nullif(F.regexp_replace(at[6], r"^(?:-|\[[^\]]*\]) ?", ""), F.lit("")).alias("message"),
+        F.nullif(F.regexp_replace(at[6], rf"^(?:-|{_ELEMENTS}) ?", ""), F.lit("")).alias("message"),
+        F.nullif(F.regexp_extract(at[6], rf"^{_ELEMENTS}", 0), F.lit("")).alias("structured"),
     )
 
 
+def structured_data(elements: Column) -> Column:
+    """RFC 5424 structured data as an array of (id, params); escapes in values are undone, a repeated name keeps each value."""
+    param = r'([^\s=\]"\[]+)="((?:\\.|[^"\\])*+)"'
+    value = lambda p: F.regexp_replace(F.regexp_extract(p, param, 2), r'\\(["\\\]])', "$1")
+    pair = lambda p: F.struct(F.regexp_extract(p, param, 1).alias("name"), value(p).alias("value"))
+    one = lambda e: F.struct(F.regexp_extract(e, r"^\[([^\s\]=\"]+)", 1).alias("id"), F.transform(F.regexp_extract_all(e, F.lit(param), 0), pair).alias("params"))
+    return F.transform(F.regexp_extract_all(elements, F.lit(_ELEMENTS.removesuffix("++")), 0), one)
+
+
 def rfc3164(line: Column, year: int) -> Column:
     """The format has no year: it is a parameter."""
     g = lambda i: _group(line, RFC3164, i)
