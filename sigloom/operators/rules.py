@@ -159,11 +159,13 @@ def ai_baseline_observe(observed: DataFrame, known: DataFrame, learned: DataFram
 
 
 def blob_scan(blobs: DataFrame, content: str = "content") -> DataFrame:
-    """(id columns, rule) for each binary rule that the content matches."""
-    text, tests = F.hex(content), []
+    """(id columns, rule) for each binary rule that the content matches; bytes are read as one text of as many characters."""
+    text, tests = F.col("__text"), []
     for rule, (names, least, magic, pattern) in packs.BLOB_RULES.items():
-        count = sum((F.when(F.instr(F.col("__text"), n) > 0, 1).otherwise(0) for n in names), F.lit(0))
-        bytes_at = "^(?:[0-9A-F]{2})*?" + pattern.replace("??", "[0-9A-F]{2}")
-        tests.append(F.when(text.startswith(magic) & (count >= least) & text.rlike(bytes_at), rule))
+        count = sum((F.when(F.instr(text, n) > 0, 1).otherwise(0) for n in names), F.lit(0))
+        codes = [pattern[i : i + 2] for i in range(0, len(pattern), 2)]
+        bytes_at = "(?s)" + "".join("." if c == "??" else rf"\x{c}" for c in codes)
+        starts = F.substring(content, 1, len(magic) // 2) == F.unhex(F.lit(magic))
+        tests.append(F.when(starts & (count >= least) & text.rlike(bytes_at), rule))
     rows = blobs.withColumn("__text", F.decode(content, "ISO-8859-1"))
     return rows.select(*[c for c in blobs.columns if c != content], F.explode(F.array_compact(F.array(*tests))).alias("rule"))
