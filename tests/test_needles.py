@@ -74,9 +74,10 @@ def test_binary_files(spark, tmp_path):
     assert found == {n: None if n.startswith("big") else hashlib.sha256(content[n]).hexdigest() for n in models}
     hits = {(short(r["path"]), r["rule"]) for r in binaries.scanned(spark, f"{tmp_path}/in", most=4000).collect()}
     assert hits == {("sample", "exact_sample"), ("family", "family"), ("big.safetensors", "too_long")}
-    base = binaries.file_hashes(spark, f"{tmp_path}/in").withColumn("host", F.lit("h"))
+    lazy = binaries.file_hashes(spark, f"{tmp_path}/in").withColumn("host", F.lit("h"))
+    base = spark.createDataFrame(lazy.collect(), lazy.schema)
     (tmp_path / "in" / "m2.GGUF").write_bytes(b"changed")
-    assert [short(r["path"]) for r in binaries.changed_models(spark, f"{tmp_path}/in", "h", spark.createDataFrame(base.collect(), base.schema)).collect()] == ["m2.GGUF"]
+    assert [short(r["path"]) for r in binaries.changed_models(spark, f"{tmp_path}/in", "h", base).collect()] == ["m2.GGUF"]
     plan = binaries.binaries(spark, f"{tmp_path}/in").filter("length <= 10").select("path", "length")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,10)" in plan
     assert "content" not in plan
