@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, slices, text_bytes, words
 
+LANGUAGES_SENT = 10_000  # with a number each
 TRAIN_DOCS_PER_LANGUAGE = 400
 TRAIN_WORDS = 120
 NGRAMS = 4
@@ -217,6 +218,9 @@ def training_sample(documents: DataFrame, rule: F.Column | None = None) -> DataF
     place = F.xxhash64("text").bitwiseAND(F.lit(span - 1))
     share = F.lit(float(span)) * TRAIN_DOCS_PER_LANGUAGE / F.approx_count_distinct(place, 0.02)
     bars = rows.groupBy("lang").agg(F.least(F.lit(float(span)), share).cast("long").alias("bar"))
+    few = bars.limit(LANGUAGES_SENT + 1).collect()
+    if len(few) <= LANGUAGES_SENT:  # else Spark shuffles texts by language
+        bars = F.broadcast(documents.sparkSession.createDataFrame(few, bars.schema))
     picked = rows.select("lang", "text").join(bars, "lang").filter(place < F.col("bar")).select("lang", "text").distinct()
     return picked.mapInArrow(_cut, "lang string, text string")
 
