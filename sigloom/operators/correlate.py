@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import severity
@@ -124,21 +125,81 @@ def kill_chain(signals: DataFrame, stages: tuple[str, ...] = ("T1059", "T1053.00
     return rows.filter("start_us IS NOT NULL").select("host", "event_id", "us", "start_us")
 
 
-def not_habitual(spawns: DataFrame, history: DataFrame, days: int = 3) -> DataFrame:
-    """Spawns whose (host, username, parent, child) was not seen on `days` different days of history."""
-    key = ["host", "username", "parent", "child"]
-    known = history.groupBy(*key).agg(F.count_distinct(F.floor(F.col("us") / (86400 * SECOND))).alias("d")).filter(F.col("d") >= days)
-    return spawns.join(known, key, "left_anti")
+HABIT = ("host", "username", "parent", "child")
 
 
-def iocs(texts: DataFrame, feed: DataFrame) -> DataFrame:
-    """(ioc, kind, n, reputation): addresses, URLs and hashes of the texts, each once, with a local feed."""
+def habits(history: DataFrame) -> DataFrame:
+    """(HABIT, block, days): on which days each spawn was seen, 64 days a block, a bit each.
+
+    A day's habits are made from that day's rows alone and merged() into those of the days before."""
+    day = F.floor(F.col("us") / (86400 * SECOND))
+    bit = F.expr("shiftleft(1L, CAST(pmod(day, 64) AS INT))")
+    rows = history.select(*HABIT, day.alias("day")).select(*HABIT, F.floor(F.col("day") / 64).alias("block"), bit.alias("bit"))
+    return rows.groupBy(*HABIT, "block").agg(F.bit_or("bit").alias("days"))
+
+
+def merged(*parts: DataFrame) -> DataFrame:
+    """Habits of several spans of time together; days that are in more than one count once."""
+    return reduce(DataFrame.unionByName, parts).groupBy(*HABIT, "block").agg(F.bit_or("days").alias("days"))
+
+
+def not_habitual(spawns: DataFrame, known: DataFrame, days: int = 3) -> DataFrame:
+    """Spawns whose (host, username, parent, child) was not seen on `days` different days; known: habits()."""
+    often = known.groupBy(*HABIT).agg(F.sum(F.bit_count("days")).alias("d")).filter(F.col("d") >= days)
+    return spawns.join(often, list(HABIT), "left_anti")
+
+
+def iocs(texts: DataFrame) -> DataFrame:
+    """(kind, ioc, n): addresses, URLs and hashes of the texts, each once."""
     # Patterns of indicators
     patterns = {"ip": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "url": r"https?://[^ \"']+", "sha256": r"\b[0-9a-f]{64}\b"}
     named = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("ioc"))
     found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 0), named(k)) for k, p in patterns.items()]))
-    rows = texts.select(F.explode(found).alias("i")).select("i.*").groupBy("kind", "ioc").agg(F.count("*").alias("n"))
-    return rows.join(feed, "ioc", "left")
+    return texts.select(F.explode(found).alias("i")).select("i.*").groupBy("kind", "ioc").agg(F.count("*").alias("n"))
+
+
+class IocStore:
+    """Indicators that were looked up before, with what the feed said, in a folder; none is looked up twice.
+
+    Stored rows are in partitions by a hash of the indicator, so a run reads only the partitions of its own
+    indicators (Spark prunes them by the keys of the smaller side, and filters rows by a Bloom filter of these)."""
+
+    BUCKETS = 64
+    SCHEMA = "ioc string, reputation string"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        """(ioc, reputation, bucket), each indicator once even where a run was repeated."""
+        try:
+            stored = self.spark.read.schema(f"{self.SCHEMA}, bucket int").parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = self.spark.createDataFrame([], f"{self.SCHEMA}, bucket int")
+        return stored.groupBy("bucket", "ioc").agg(F.max("reputation").alias("reputation"))
+
+    def bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.crc32(F.col("ioc").cast("binary")), F.lit(self.BUCKETS)).cast("int"))
+
+    def look_up(self, found: DataFrame, feed: DataFrame) -> int:
+        """Look up what the store does not have yet, and store it, also where the feed knows nothing; how many these were."""
+        new = self.bucketed(found.select("ioc").distinct()).join(self.rows().select("bucket", "ioc"), ["bucket", "ioc"], "left_anti")
+        seen = Observation()
+        known = feed.groupBy("ioc").agg(F.max("reputation").alias("reputation"))
+        rows = new.join(known, "ioc", "left").observe(seen, F.count("*").alias("n"))
+        rows.select("ioc", "reputation", "bucket").repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
+        return seen.get["n"]
+
+    def enriched(self, found: DataFrame) -> DataFrame:
+        """Indicators with their stored reputation."""
+        return self.bucketed(found).join(self.rows(), ["bucket", "ioc"], "left").drop("bucket")
+
+
+def enrich(found: DataFrame, feed: DataFrame) -> DataFrame:
+    """(ioc, kind, n, reputation) of iocs() by a local feed of any size; IocStore keeps what was looked up."""
+    return found.join(feed, "ioc", "left").select("ioc", "kind", "n", "reputation")
 
 
 def response_plan(alert_rows: DataFrame) -> DataFrame:

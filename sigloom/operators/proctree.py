@@ -20,10 +20,16 @@ def parents(tree: DataFrame) -> DataFrame:
     return tree.join(above, ["host", "ppid"], "left").withColumn("parent", F.coalesce("parent_image", "above", F.lit("root"))).drop("above")
 
 
+def child_images(with_parents: DataFrame) -> DataFrame:
+    """(parent, image, n): child nodes of each parent by image, a row each."""
+    return with_parents.groupBy("parent", "image").agg(F.count("*").alias("n"))
+
+
 def children(with_parents: DataFrame) -> DataFrame:
-    """(parent, n_children, child_images): number of child nodes and all their distinct images."""
-    each = with_parents.groupBy("parent", "image").agg(F.count("*").alias("n"))
-    return each.groupBy("parent").agg(F.sum("n").alias("n_children"), F.sort_array(F.collect_list("image")).alias("child_images"))
+    """(parent, n_children, child_images): number of child nodes and all their distinct images.
+
+    The images are one row's value; child_images() has them as rows."""
+    return child_images(with_parents).groupBy("parent").agg(F.sum("n").alias("n_children"), F.sort_array(F.collect_list("image")).alias("child_images"))
 
 
 def ancestors(tree: DataFrame, scratch: str, depth: int = 10) -> DataFrame:

@@ -268,13 +268,15 @@ def kill_chain(spark, sf_dir):
 def legit_baseline(spark, sf_dir):
     events = sec_events(spark, sf_dir)
     rows = proctree.spawn_report(events, tree(spark, sf_dir)).join(events.select("event_id", "us"), "event_id")
-    return correlate.not_habitual(rows, rows, 4).select("event_id", "host", "username", "parent", "child")
+    return correlate.not_habitual(rows, correlate.habits(rows), 4).select("event_id", "host", "username", "parent", "child")
 
 
 def ioc_enrich(spark, sf_dir):
     texts = sec_events(spark, sf_dir).select(F.concat_ws(" ", "command_line", "dest_ip").alias("text"))
     feed = spark.createDataFrame([("10.0.0.5", "internal"), ("http://x/y", "bad")], "ioc string, reputation string")
-    return correlate.iocs(texts, F.broadcast(feed))
+    found, store = correlate.iocs(texts), correlate.IocStore(spark, f"{scratch(spark)}/iocs")
+    store.look_up(found, feed)
+    return store.enriched(found)
 
 
 def b64_decode(spark, sf_dir):

@@ -78,8 +78,23 @@ def cef(line: Column) -> Column:
 
 
 def windows_json(line: Column) -> Column:
-    """Both collectors' JSON layouts to the same fields."""
-    return F.struct(*[F.coalesce(F.get_json_object(line, NXLOG[f]), F.get_json_object(line, WINLOGBEAT[f])).alias(f) for f in NXLOG])
+    """Both collectors' JSON layouts to the same fields; a line is parsed once, to a VARIANT value."""
+    return variant_fields(F.try_parse_json(line), {f: (NXLOG[f], WINLOGBEAT[f]) for f in NXLOG})
+
+
+def variant_fields(value: Column, paths: dict[str, tuple[str, ...]]) -> Column:
+    """A struct of texts out of a VARIANT: for each name the first of its paths that holds something."""
+    text = lambda v, path: F.try_variant_get(v, path, "string")
+    made = lambda v: F.struct(*[F.coalesce(*[text(v, p) for p in several]).alias(name) for name, several in paths.items()])
+    return F.get(F.transform(F.array(value), made), 0)
+
+
+def raw_schema(rows: DataFrame, column: str = "value") -> DataFrame:
+    """(layout, n): the layouts of JSON lines, as schemas of their VARIANT values, most frequent first; lines that
+    are no JSON have a null one.  What all of them have together is in `merged`."""
+    made = rows.select(F.try_parse_json(column).alias("v"))
+    each = made.groupBy(F.schema_of_variant("v").alias("layout")).agg(F.count("*").alias("n"), F.schema_of_variant_agg("v").alias("merged"))
+    return each.orderBy(F.desc("n"), "layout")
 
 
 def task_name(raw: Column) -> Column:
@@ -147,9 +162,11 @@ def snort(line: Column) -> Column:
     return F.struct(g(3).try_cast("int").alias("sid"), g(5).alias("message"), g(7).try_cast("int").alias("priority"), g(8).alias("protocol"), g(9).alias("src_ip"), g(11).alias("dest_ip"), g(12).try_cast("int").alias("dest_port"))
 
 
-def read_csv(spark, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header line; without a schema every column is text.  Quotes in values are doubled."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+def read_csv(spark, path: str, schema: str | None = None, multiline: bool = True) -> DataFrame:
+    """CSV with a header line; without a schema every column is text.  Quotes in values are doubled.
+
+    multiline: values may hold line ends, and a file is one task; without it large files are split."""
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

@@ -22,9 +22,8 @@ def report(processes: DataFrame, **parameters: object) -> DataFrame:
 
 def document(processes: DataFrame, most: int = 10_000, **parameters: object) -> DataFrame:
     """One JSON document of the run's parameters and all processes, for small results: more than
-    `most` rows are an error, as one document is one row's value."""
+    `most` rows are an error, as one document is one row's value.  No more than that are gathered."""
     rows = F.sort_array(F.collect_list(F.struct(*processes.columns)))
-    n = F.count("*")
-    checked = F.when(n > most, F.raise_error(F.concat(n.cast("string"), F.lit(f" processes are too many for one document of {most}")))).otherwise(rows)
+    checked = F.when(F.count("*") > most, F.raise_error(F.lit(f"more than {most} processes are too many for one document"))).otherwise(rows)
     made = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(parameters.items())], F.col("suspicious_processes")))
-    return processes.agg(checked.alias("suspicious_processes")).select(made.alias("value"))
+    return processes.limit(most + 1).agg(checked.alias("suspicious_processes")).select(made.alias("value"))
