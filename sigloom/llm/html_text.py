@@ -46,6 +46,9 @@ BOILER_TAGS = set("nav aside footer form menu dialog".split())
 CONTENT_NAMES = set("article content post entry story main text articlebody body".split())
 BOILER_NAMES = set("ad ads advert advertisement adverts banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond reply disqus cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup share sharing social related recommended widget login search pagination toolbar complementary contentinfo alert skip copyright legal".split())
 HEADER_NAMES = {"header", "masthead"}
+# Words that say where an element is or what shape it has, and nothing of what it holds
+PLACE_NAMES = set("area aside bar block body bottom box btn button buttons cell col cols column container content feed fixed float form global grid group head holder icon icons inner item items left level line link links list lists lower main margin menu mini mobile module nav outer page panel placeholder posts primary rail region right row secondary section sidebar site slot slots stack sticky strip tab tabs text thread title top unit upper view widget wide wrap wrapper zone".split())
+_SIZE = re.compile(r"\d+(?:x\d+)?")
 DENIED = {"no", "has", "with", "without", "hide", "non"}  # `no-sidebar` is a name of the page, not of a side bar
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -118,10 +121,22 @@ class Block:
     content: bool
     boilerplate: bool
     heading: bool
+    form: bool = False
+
+
+def _names_boilerplate(parts: list[str]) -> bool:
+    """Whether the words of a class or id name boilerplate: the last one does (`reader-comments`), or an earlier one
+    does and what follows only says where and how (`cookie-bar-inner`).  `share-price` and `login-form-guide` do not."""
+    for i in range(len(parts) - 1, -1, -1):
+        if parts[i] in BOILER_NAMES:
+            return True
+        if parts[i] not in PLACE_NAMES and parts[i] not in HEADER_NAMES and not _SIZE.fullmatch(parts[i]):
+            return False
+    return False
 
 
 def _marks(name: str, attributes: str, inside_content: bool) -> tuple[bool, bool]:
-    """Whether an element begins content or boilerplate."""
+    """Whether an element begins content or boilerplate; no name makes an article or main element boilerplate."""
     content, boiler = name in CONTENT_TAGS, name in BOILER_TAGS
     if name == "header":
         boiler = not inside_content
@@ -137,7 +152,9 @@ def _marks(name: str, attributes: str, inside_content: bool) -> tuple[bool, bool
                     continue
                 own = bool(CONTENT_NAMES.intersection(parts))
                 content |= own
-                boiler |= not BOILER_NAMES.isdisjoint(parts)
+                if name in CONTENT_TAGS:
+                    continue
+                boiler |= _names_boilerplate(parts)
                 # the header of a page is boilerplate, that of an article is not
                 boiler |= not inside_content and not own and not HEADER_NAMES.isdisjoint(parts)
     return content, boiler
@@ -169,19 +186,19 @@ class _Reader:
             if self.link:
                 self.linked.append(text)
 
-    def emit(self, boiler: bool) -> None:
+    def emit(self, boiler: bool, form: bool = False) -> None:
         words = entities.unescape("".join(self.pieces)).split()
         if words:
             top = self.stack[-1]
             linked = len(entities.unescape("".join(self.linked)).split()) if self.linked else 0
-            self.out.append(Block(" ".join(words), len(words), min(len(words), linked), top.content, boiler, top.name in HEADINGS))
+            self.out.append(Block(" ".join(words), len(words), min(len(words), linked), top.content, boiler, top.name in HEADINGS, form))
 
     def close(self) -> None:
         """A block ends."""
         while self.aside:
             self.resume()
         if self.pieces:
-            self.emit(self.stack[-1].boiler or self.stack[-1].form)
+            self.emit(self.stack[-1].boiler, self.stack[-1].form)
             self.pieces, self.linked = [], []
 
     def interrupt(self, name: str) -> None:
@@ -271,6 +288,11 @@ def blocks(page: str) -> list[Block]:
     if not skip:
         read.add(page[at:])
     read.close()
+    # a form is boilerplate, unless it is wrapped around the page
+    words = lambda some: sum(b.words for b in read.out if some(b))
+    if 2 * words(lambda b: b.form and not b.boilerplate) < words(lambda b: not b.boilerplate):
+        for b in read.out:
+            b.boilerplate |= b.form
     return read.out
 
 

@@ -97,6 +97,28 @@ def test_main_text_of_given_pages(spark):
         assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (want, len(want))
 
 
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        ('<article class="post login-form-guide"><h1>How to log in</h1>{}</article>', True),
+        ('<article><h1>A title</h1><section class="share-price">{}</section></article>', True),
+        ('<article><div class="social-history">{}</div></article>', True),
+        ('<article><section class="copyright-law">{}</section></article>', True),
+        ('<article><section id="alert-history">{}</section></article>', True),
+        ('<form action="/page"><div class="nav-menu"><a href="1">one</a> <a href="2">two</a></div><h1>A title of it</h1>{}</form>', True),
+        ('<article><p>{0}</p></article><div class="reader-comments">{1}</div>', False),
+        ('<article><p>{0}</p></article><div class="cookie-bar-inner">{1}</div>', False),
+        ('<article><p>{0}</p></article><div id="ad-slot-300x250">{1}</div>', False),
+        ('<article><p>{0}</p></article><form>{1}</form>', False),
+    ],
+)
+def test_names_do_not_take_articles_away(page, kept):
+    body = "<p>" + "word " * 60 + "</p><p>" + "more " * 50 + "</p>"
+    made = page.format(body) if kept else page.format("right " * 70, "<p>" + "wrong " * 40 + "</p>")
+    text = html_text.main_text(made, html_text.train())[0]
+    assert text.count("word") == 60 and text.count("more") == 50 if kept else "wrong" not in text and text.count("right") == 70
+
+
 def test_extract_keeps_every_row(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (None, None, None, None)], "page_id long, url string, html string, text int")
     got = html_text.extract(rows).collect()
