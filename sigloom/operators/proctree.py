@@ -36,7 +36,7 @@ def ancestors(tree: DataFrame, scratch: str, depth: int = 10) -> DataFrame:
     """(host, pid, chain): ancestors' pids from oldest to nearest; stops at depth and at a pid seen before.
 
     The nodes are written below `scratch` once, then each round doubles the length of the known
-    chains; chains that ended are out of the joins.
+    chains, which are written every second round; chains that ended are out of the joins.
     """
     spark = tree.sparkSession
     write = lambda df, name: (df.write.parquet(f"{scratch}/{name}"), spark.read.schema(df.schema).parquet(f"{scratch}/{name}"))[1]
@@ -48,7 +48,8 @@ def ancestors(tree: DataFrame, scratch: str, depth: int = 10) -> DataFrame:
     chains = start.select("host", "pid", F.when(F.col("known"), F.array("ppid")).otherwise(none).alias("up"), F.when(F.col("known"), F.col("ppid")).alias("top"))
     length, round_ = 1, 0
     while length < depth:
-        chains = write(chains, f"chains-{round_}")
+        if round_ and round_ % 2 == 0:
+            chains = write(chains, f"chains-{round_}")
         more = chains.filter("size(up) > 0").select("host", F.col("pid").alias("top"), F.col("up").alias("further"), F.col("top").alias("end"))
         grown = chains.filter("top IS NOT NULL").join(more, ["host", "top"], "left")
         grown = grown.select("host", "pid", F.concat("up", F.coalesce("further", none)).alias("up"), "end")
