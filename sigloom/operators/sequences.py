@@ -1,7 +1,7 @@
 """Scans over the rows of a key in time order, in two levels, for keys with any share of the rows.
 
-Times are cut into buckets that hold about as many rows each (quantiles of all rows' times, one
-narrow pass).  A bucket of a key is summarised to a state by a partial aggregation, the states
+Times are cut into buckets that hold about as many rows each (a count, and quantiles of all rows'
+times where there are more than fit into one).  A bucket of a key is summarised to a state by a partial aggregation, the states
 of a key's buckets are scanned, and each bucket starts from the state that reaches it.  So a key
 with nearly all rows is the work of many tasks, and what meets in one task for a key is one
 state a bucket.  A single bucket needs no states: then a scan is one window.
@@ -23,10 +23,11 @@ FOREVER = (1 << 63) - 1
 
 def splits(rows: DataFrame, us: str = "us", size: int | None = None) -> list[int]:
     """Ascending times between buckets of about `size` rows; none where all fit into one."""
-    most = 1 << SPLIT_BITS
-    found = rows.agg(F.count(us).alias("n"), F.percentile_approx(us, [i / most for i in range(1, most)], 1 << (SPLIT_BITS + 2)).alias("at")).first()
-    many = min(most, math.ceil(found["n"] / (size or ROWS)))
-    return sorted({found["at"][i * most // many - 1] for i in range(1, many)}) if many > 1 else []
+    times = rows.select(us)
+    many = min(1 << SPLIT_BITS, math.ceil(times.filter(F.col(us).isNotNull()).count() / (size or ROWS)))
+    if many < 2:
+        return []
+    return sorted(set(times.agg(F.percentile_approx(us, [i / many for i in range(1, many)], 4 * many)).first()[0]))
 
 
 def bucket(us: Column, edges: list[int]) -> Column:
