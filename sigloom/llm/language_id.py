@@ -34,6 +34,7 @@ from .common import mix, slices, text_bytes, words
 LANGUAGES_SENT = 10_000  # with a number each
 TRAIN_DOCS_PER_LANGUAGE = 400
 TRAIN_WORDS = 120
+BLOCK = 2048  # words of a long chain that are taken one behind the other
 NGRAMS = 4
 TABLE_BITS = 18
 SLICE = 4 << 20
@@ -87,23 +88,24 @@ def emissions(model_weights: np.ndarray, data: np.ndarray, start: np.ndarray, en
     return np.add.reduceat(model_weights[ids], heads, axis=0)[inverse]
 
 
-def forward_backward(e: np.ndarray, offsets: np.ndarray, a: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+def forward_backward(e: np.ndarray, offsets: np.ndarray, a: np.ndarray, pairs: np.ndarray | None = None, into: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
     """Posteriors of each word. e: scores > 0, words x languages; offsets: words of each chain.
 
     The expected transitions (sums of pairwise marginals) of all chains are added to pairs.
+    into, after: for chains that are parts of longer ones, the messages that reach their first word and their last.
     """
     length = np.diff(offsets)
     order = np.argsort(-length, kind="stable")
     begin, length = offsets[:-1][order], length[order]
     active = len(length) - np.searchsorted(length[::-1], np.arange(1, (length[0] if len(length) else 0) + 1), "left")
     alpha = np.empty_like(e)
-    x = np.full((len(length), e.shape[1]), 1.0 / e.shape[1], e.dtype)
+    x = np.full((len(length), e.shape[1]), 1.0 / e.shape[1], e.dtype) if into is None else into[order]
     for t, m in enumerate(active.tolist()):
         at = begin[:m] + t
         x = e[at] * (x[:m] @ a if t else x[:m])
         x /= x.sum(1, keepdims=True)
         alpha[at] = x
-    y = np.ones((len(length), e.shape[1]), e.dtype)
+    y = np.ones((len(length), e.shape[1]), e.dtype) if after is None else after[order]
     for t in range(len(active) - 1, -1, -1):
         m = int(active[t])
         at = begin[:m] + t
@@ -117,6 +119,45 @@ def forward_backward(e: np.ndarray, offsets: np.ndarray, a: np.ndarray, pairs: n
     return alpha / alpha.sum(1, keepdims=True)
 
 
+def posteriors(e: np.ndarray, offsets: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """forward_backward() with long chains cut into blocks of BLOCK words that advance side by side.
+
+    A block's words multiply to one languages x languages matrix; these, in order, give the messages that reach each
+    block from both sides, and with them the blocks are chains of their own.  The result is the same."""
+    length = np.diff(offsets)
+    if not len(length) or length.max() <= BLOCK:
+        return forward_backward(e, offsets, a)
+    k, cuts = e.shape[1], [np.arange(0, max(1, n), BLOCK) for n in length.tolist()]
+    chain = np.repeat(np.arange(len(length)), [len(c) for c in cuts])
+    begin = offsets[:-1][chain] + np.concatenate(cuts)
+    edges = np.append(begin, offsets[-1])
+    first = np.concatenate(([True], chain[1:] != chain[:-1]))
+    parts = np.flatnonzero(length[chain] > BLOCK)
+    parts = parts[np.argsort(-np.diff(edges)[parts], kind="stable")]
+    size = np.diff(edges)[parts]
+    product = np.where(first[parts][:, None, None], np.eye(k), a.astype(float))
+    for t in range(int(size[0])):
+        m = int(np.searchsorted(-size, -t, "left"))  # blocks of more than t words
+        step = product[:m] @ a if t else product[:m]
+        step = step * e[begin[parts[:m]] + t][:, None, :]
+        product[:m] = step / step.max((1, 2), keepdims=True)
+    into, after = np.full((len(chain), k), 1.0 / k, e.dtype), np.ones((len(chain), k), e.dtype)
+    order = np.argsort(parts)
+    parts, product = parts[order], product[order]
+    f = np.ones(k) / k
+    for i, p in enumerate(parts.tolist()):
+        f = np.ones(k) / k if first[p] else f
+        into[p] = f if first[p] else f @ a
+        f = f @ product[i]
+        f /= f.sum()
+    for i in range(len(parts) - 1, -1, -1):
+        p = int(parts[i])
+        y = np.ones(k) if i == len(parts) - 1 or first[parts[i + 1]] else y / y.sum() * k
+        after[p] = y
+        y = product[i] @ y
+    return forward_backward(e, edges, a, None, into, after)
+
+
 def _scores(logits: np.ndarray) -> np.ndarray:
     return np.exp(np.maximum(logits - logits.max(1, keepdims=True), -30)).astype(np.float32)
 
@@ -258,7 +299,7 @@ def _posteriors(model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndar
     e, of = np.concatenate(scores), np.cumsum(np.concatenate(counts))
     if not len(e):
         return e, of
-    return forward_backward(e, of, np.exp(model.transitions - model.transitions.max()).astype(np.float32)), of
+    return posteriors(e, of, np.exp(model.transitions - model.transitions.max()).astype(np.float32)), of
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:

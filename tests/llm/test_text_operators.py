@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from html.parser import HTMLParser
@@ -139,6 +140,28 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(got[lo:hi], want / want.sum(1, keepdims=True))
 
 
+@pytest.mark.parametrize("block", [1, 3, 7])
+def test_long_chains_in_blocks_equal_whole_ones(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    offsets = np.cumsum([0, 0, 5, 1, 40, 0, 3, 7, 8, 200, 2, 0])
+    e, a = np.exp(rng.normal(size=(offsets[-1], 4)) * 4), np.exp(rng.normal(size=(4, 4)) * 2)
+    assert np.allclose(language_id.posteriors(e, offsets, a), language_id.forward_backward(e, offsets, a))
+
+
+def test_a_text_of_many_megabytes(spark):
+    """One chain of millions of words takes seconds, not minutes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs)
+    text = " ".join(r["text"] for r in docs.filter("lang = 'de'").select("text").limit(100).collect())
+    text = text * (8_000_000 // len(text) + 1)
+    part = pa.RecordBatch.from_pydict({"text": [text, "kurz"]})
+    began = time.perf_counter()
+    post, of = language_id._posteriors(model, part)
+    assert time.perf_counter() - began < 30
+    assert model.languages[int(post[: of[1]].sum(0).argmax())] == "de"
+
+
 def test_crf_gradient_equals_finite_differences():
     rng = np.random.default_rng(4)
     sample = [("a", "ka lo mi ka"), ("b", "zu ka pe"), ("a", "lo lo"), ("b", "pe zu zu mi ka lo"), ("a", "")]
