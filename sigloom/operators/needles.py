@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,7 +129,7 @@ def sigma_many(events: DataFrame, packs: Packs, lower: bool = False) -> DataFram
                 hit.setdefault(t, set()).update(of[n])
             given = batch.column("field").is_valid().to_numpy(zero_copy_only=False)
             also = batch.column("also")
-            for t in np.flatnonzero(pa.compute.list_value_length(also).to_numpy() > 0).tolist():
+            for t in np.flatnonzero(pc.list_value_length(also).to_numpy() > 0).tolist():
                 hit.setdefault(t, set()).update(also[t].as_py())
             ids, hosts = batch.column("event_id"), batch.column("host")
             out = []
