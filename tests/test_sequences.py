@@ -85,6 +85,15 @@ def test_lifetimes_equal_loop(spark, mode):
     assert got == want
 
 
+def test_looking_ahead_takes_each_row_once(spark, mode):
+    """No frame reaches to the end of a key: such a frame is added up anew for each of its rows, which is quadratic."""
+    rows = _rows(5, ["4688", "4689"], lambda k: ("h", k), n=60)
+    df = spark.createDataFrame(rows, "host string, pid long, us long, event_id string, event_code string")
+    plan = correlate.lifetimes(df, _edges(df, mode))._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan
+    assert "unboundedfollowing" not in plan
+
+
 def test_kill_chain_equals_loop(spark, mode):
     rows = _rows(4, ["T1059.001", "T1053.005", "T1047", "T9999", None], lambda k: (None if k is None else f"h{k}", "x"))
     df = spark.createDataFrame(rows, "host string, x string, us long, event_id string, technique string")
