@@ -71,6 +71,22 @@ def test_alert_state_ends_and_survives_restarts(spark, tmp_path):
     assert _run(spark, base, ends=True)[0].count() == rows
 
 
+def test_ids_of_a_bucket_share_its_state_and_timer(spark, tmp_path):
+    """State has a row for a bucket, not for an id; each id opens once, and ends by its own last row."""
+    base = str(tmp_path)
+    _batch(spark, f"{base}/in", [(f"a{i}", i * S, 0.5) for i in range(1, 61) for _ in range(2)])
+    _batch(spark, f"{base}/in", [("a3", 61 * S, 0.9), ("a60", 62 * S, 0.9), ("a60", 61 * S, 0.8)])
+    _batch(spark, f"{base}/in", [("a3", 75 * S, 0.9), ("b", 76 * S, 0.1)])
+    _batch(spark, f"{base}/in", [("c", 1000 * S, 0.1)])
+    found, progress = _run(spark, base, ends=True, buckets=4)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 4
+    opened = found.filter("status = 'open'").collect()
+    assert sorted(r["signal_id"] for r in opened) == sorted(["b", "c", *[f"a{i}" for i in range(1, 61)]])
+    assert {r["score"] for r in opened if r["signal_id"].startswith("a")} == {0.5}
+    ended = {r["signal_id"]: ((r["first_us"] - EPOCH) // S, (r["last_us"] - EPOCH) // S, r["n"]) for r in found.filter("status = 'ended'").collect()}
+    assert ended == {**{f"a{i}": (i, i, 2) for i in range(1, 61)}, "a3": (3, 75, 4), "a60": (60, 62, 4), "b": (76, 76, 1)}
+
+
 def test_alert_state_with_ttl(spark, tmp_path):
     base = str(tmp_path)
     _batch(spark, f"{base}/in", [("a", 1, 0.5), ("a", 2, 0.6), (None, 3, 0.1), ("b", None, 0.1)])
