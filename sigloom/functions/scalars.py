@@ -153,8 +153,10 @@ def _ascii(json: Column) -> Column:
         outside = F.when(n > 0xFFFF, F.concat(four(high), four(low))).otherwise(four(n))
         return F.when(token.startswith("\\u"), F.lower(token)).when((F.char_length(token) == 1) & ((n < 32) | (n > 126)), outside).otherwise(token)
 
-    tokens = F.regexp_extract_all(json, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\.|."), 0)
-    return F.when(json.rlike(r"\\u|[^ -~]"), F.array_join(F.transform(tokens, escaped), "")).otherwise(json)
+    # an escaped backslash before a `u` is no escaped character; what needs no change is one token
+    odd = lambda text: text.rlike("[^ -~]") | F.replace(text, F.lit("\\\\"), F.lit("")).contains("\\u")
+    tokens = lambda text: F.regexp_extract_all(text, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\.|[ -\[\]-~]+|."), 0)
+    return _let(json, lambda text: F.when(odd(text), F.array_join(F.transform(tokens(text), escaped), "")).otherwise(text))
 
 
 def _sorted(value: Column, kind: T.DataType) -> Column:

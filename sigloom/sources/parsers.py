@@ -31,9 +31,13 @@ def lines(df: DataFrame) -> DataFrame:
 
 
 def jsonl(df: DataFrame) -> DataFrame:
-    """JSON lines to typed columns; `malformed` marks lines that are no JSON object, raw keeps the line."""
-    rows = lines(df).withColumn("j", F.from_json("value", JSON_SCHEMA + ", _corrupt_record STRING", {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    return rows.select("j.*", F.col("value").alias("raw")).withColumn("malformed", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record").withColumn("ts", F.col("timestamp").try_cast("timestamp"))
+    """JSON lines to typed columns; `malformed` marks lines that are no JSON object, raw keeps the line.
+
+    Exploding the one row keeps filters behind from making and parsing a line once more."""
+    parsed = F.from_json("value", JSON_SCHEMA + ", _corrupt_record STRING", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    made = F.when(F.trim("value") != "", F.array(F.struct(parsed.alias("j"), F.col("value").alias("raw"))))
+    rows = df.select(F.explode(made).alias("r")).select("r.j.*", "r.raw")
+    return rows.withColumn("malformed", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record").withColumn("ts", F.col("timestamp").try_cast("timestamp"))
 
 
 def rfc5424(line: Column) -> Column:

@@ -332,3 +332,24 @@ def test_episodes_close_after_the_gap(spark, tmp_path):
     jobs.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").select(F.unix_seconds("session_window.start"), F.unix_seconds("session_window.end"), "n")
     assert sorted(tuple(r) for r in got.collect()) == [(0, 290, 3), (500, 630, 2)]
+
+
+def test_canonical_json_equals_the_standard_library(spark):
+    """Backslashes before a `u`, escapes, controls and text beyond ASCII, in all orders."""
+    rng = random.Random(7)
+    parts = ["\\", "\\", "u", "u0041", "\"", "/", "\n", "\x1f", "\x7f", "\u00e9", "\U0001f5a5", "[]", "~ ", "C:\\Users\\u1"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(8))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, json.dumps({"b": t, "a": i}, ensure_ascii=i % 2 == 0)) for i, t in enumerate(texts)], "i int, raw string")
+    got = {r["i"]: r["json"] for r in rows.select("i", scalars.canonical_json(F.col("raw")).alias("json")).collect()}
+    assert got == {i: json.dumps({"a": i, "b": t}, separators=(",", ":")) for i, t in enumerate(texts)}
+
+
+def test_json_is_made_and_parsed_once(spark):
+    """A filter behind the parser repeats neither it nor what makes its lines; canonical JSON is made once."""
+    made = spark.range(10).select(F.to_json(F.struct("id", F.col("id").alias("pid"))).alias("value"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    parsed = plan(parsers.jsonl(made).filter("NOT malformed AND pid > 3"))
+    assert parsed.count("from_json(") == 1
+    assert parsed.count("StructsToJsonEvaluator") == 1
+    lines = spark.range(10).select(F.concat(F.lit('{"a":'), F.col("id").cast("string"), F.lit("}")).alias("value"))
+    assert plan(lines.select(scalars.canonical_json(F.col("value")).alias("x"))).count("parseJson(") == 1
