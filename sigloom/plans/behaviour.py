@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.operators import learning, ransomware
-from sigloom.plans.fixtures import sec_events, sql
+from sigloom.plans.fixtures import scratch, sec_events, sql
 
 BURST = 21600  # the fixture has 67 events a user over 30 days, so windows are wide
 LONG = 10080
@@ -187,6 +187,13 @@ def ml_split(spark, sf_dir):
     return learning.split(learning.label_join(ml_rows(spark, sf_dir), labels(spark, sf_dir))).select("process_name", "pid", "label", "train")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table: what reads it several times, as fitting does, makes it from the events once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ml_train(spark, sf_dir):
     data = learning.split(learning.label_join(ml_rows(spark, sf_dir), labels(spark, sf_dir)))
     return learning.importances(learning.train(data.filter("train")))
@@ -198,9 +205,9 @@ def ml_evaluate(spark, sf_dir):
 
 
 def ml_rank(spark, sf_dir):
-    rows = ml_rows(spark, sf_dir)
-    model = learning.train(learning.split(learning.label_join(rows, labels(spark, sf_dir))).filter("train"))
-    return learning.rank(model, rows).select("process_name", "pid", "probability", "predicted", "rank")
+    rows = _written(ml_rows(spark, sf_dir))
+    data = _written(learning.split(_written(learning.label_join(rows, labels(spark, sf_dir)))))
+    return learning.rank(learning.train(data.filter("train")), rows).select("process_name", "pid", "probability", "predicted", "rank")
 
 
 _LABELS = f", lb AS (SELECT DISTINCT {KEY}, CASE WHEN u = 1 THEN 1 ELSE 0 END AS label FROM sec WHERE pid % 4 <> 3)"

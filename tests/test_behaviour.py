@@ -353,3 +353,17 @@ def test_json_is_made_and_parsed_once(spark):
     assert parsed.count("StructsToJsonEvaluator") == 1
     lines = spark.range(10).select(F.concat(F.lit('{"a":'), F.col("id").cast("string"), F.lit("}")).alias("value"))
     assert plan(lines.select(scalars.canonical_json(F.col("value")).alias("x"))).count("parseJson(") == 1
+
+
+@pytest.mark.parametrize("name", ["ml_rank"])
+def test_fitting_does_not_read_the_events_again(spark, monkeypatch, name):
+    """What the forest is fitted to and what it ranks are tables of processes, written once."""
+    from sigloom.plans import behaviour
+
+    read = []
+    for step, place in (("train", 0), ("rank", 1)):
+        kept = getattr(learning, step)
+        monkeypatch.setattr(learning, step, lambda *a, kept=kept, place=place, **b: (read.extend(a[place].inputFiles()), kept(*a, **b))[1])
+    assert behaviour.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert read
+    assert not [f for f in read if "events.parquet" in f]
