@@ -195,7 +195,7 @@ def _written(df: DataFrame) -> DataFrame:
 
 
 def ml_train(spark, sf_dir):
-    data = learning.split(learning.label_join(ml_rows(spark, sf_dir), labels(spark, sf_dir)))
+    data = _written(learning.split(_written(learning.label_join(ml_rows(spark, sf_dir), labels(spark, sf_dir)))))
     return learning.importances(learning.train(data.filter("train")))
 
 

@@ -355,7 +355,7 @@ def test_json_is_made_and_parsed_once(spark):
     assert plan(lines.select(scalars.canonical_json(F.col("value")).alias("x"))).count("parseJson(") == 1
 
 
-@pytest.mark.parametrize("name", ["ml_rank"])
+@pytest.mark.parametrize("name", ["ml_train", "ml_rank"])
 def test_fitting_does_not_read_the_events_again(spark, monkeypatch, name):
     """What the forest is fitted to and what it ranks are tables of processes, written once."""
     from sigloom.plans import behaviour
